@@ -1,0 +1,101 @@
+"""The whole run: ledger in, three tables, issue log, quality metrics and run record out."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerloom import contract as C
+from ledgerloom.operators import anomaly, facts, issues, quality
+from ledgerloom.operators.normalize import normalize, project
+from ledgerloom.operators.split import DETAIL, ROUTE, route
+from ledgerloom.rules import MonthRange, RuleSet
+from ledgerloom.session import stage
+from ledgerloom.sinks import tables
+
+
+@dataclass(frozen=True)
+class CostRun:
+    """Lazy outputs over two staged tables: the routed ledger and the quantity facts."""
+
+    rules: RuleSet
+    months: MonthRange | None
+    reader_rows: DataFrame
+    routed: DataFrame
+    facts: DataFrame
+
+    @property
+    def prepared(self) -> DataFrame:
+        return facts.prepare_routed(self.routed, self.rules)
+
+    @property
+    def detail_table(self) -> DataFrame:
+        return project(self.routed.where(F.col(ROUTE) == DETAIL), C.DETAIL_LAYOUT)
+
+    @property
+    def quantity_table(self) -> DataFrame:
+        return facts.quantity_table(self.facts, self.rules)
+
+    def scored(self) -> DataFrame:
+        """Scored work orders. The rows are staged because every statistic reads them again."""
+        return anomaly.score(stage(anomaly.prepare(self.facts, self.rules), "work_orders"))
+
+    def analysis_table(self, ordered: bool = False) -> DataFrame:
+        return anomaly.analysis_table(self.scored(), self.rules, ordered)
+
+    @property
+    def issues(self) -> DataFrame:
+        return issues.issue_log(self.prepared.where(F.col(ROUTE) == DETAIL), self.facts, self.rules)
+
+    @property
+    def counts(self) -> DataFrame:
+        """One row with all counts of the run."""
+        parts = (
+            self.reader_rows,
+            self.routed.agg(F.count(F.lit(1)).alias("ledger_rows")),
+            quality.ledger_counts(self.prepared),
+            quality.fact_counts(self.facts),
+        )
+        out = parts[0].withColumn("_k", F.lit(1))
+        for part in parts[1:]:
+            out = out.join(part.withColumn("_k", F.lit(1)), "_k")
+        return out.drop("_k")
+
+    @property
+    def quality(self) -> DataFrame:
+        return quality.quality_metrics(self.counts, months_filtered=bool(self.months))
+
+    def record(self, inputs: DataFrame | None = None, outputs: dict[str, str] | None = None) -> DataFrame:
+        span = (self.months.start, self.months.end) if self.months else (None, None)
+        counts = issues.issue_counts(self.issues)
+        return quality.run_record(self.rules.name, span, self.counts, self.quality, counts, inputs, outputs)
+
+    def publish(self, target: str, fmt: str = "parquet", inputs: DataFrame | None = None) -> dict[str, str]:
+        """Write the tables, the issue log and, last of all, the run record."""
+        outputs = tables.publish(
+            {
+                C.DETAIL_TABLE: tables.typed(self.detail_table),
+                C.QTY_TABLE: tables.typed(self.quantity_table),
+                C.ANALYSIS_TABLE: self.analysis_table(ordered=True),
+            },
+            target,
+            fmt,
+        )
+        tables.publish_record(self.record(inputs, outputs), target)
+        return outputs
+
+
+def run(ledger: DataFrame, rules: RuleSet, months: MonthRange | None = None) -> CostRun:
+    """Plan a run. Two tables are staged: every output is derived from one of them.
+
+    The routed ledger is partitioned by route, so each output reads only its own part;
+    the facts hold one row per valid quantity row.
+    """
+    reader_rows = ledger.agg(F.count(F.lit(1)).alias("reader_rows"))
+    routed = stage(route(normalize(ledger, months)), "routed", partition_by=(ROUTE,))
+    prepared = facts.prepare_routed(routed, rules)
+    summary = facts.work_order_summary(prepared, rules)
+    built = facts.build_facts(facts.valid_qty(prepared), summary, rules)
+    return CostRun(rules, months, reader_rows, routed, stage(built, "facts"))
