@@ -28,13 +28,3 @@ def as_decimal(df: DataFrame, name: str, kind: str = MONEY) -> Column:
         return c.try_cast(kind)
     # dates and other kinds carry no amount
     return F.lit(None).cast(kind)
-
-
-def total(c: Column) -> Column:
-    """Exact sum, brought back to MONEY so that later arithmetic keeps its scale."""
-    return F.sum(c).try_cast(MONEY)
-
-
-def unit_cost(amount: Column, qty: Column) -> Column:
-    """amount / qty; NULL on a zero divisor or when the quotient does not fit."""
-    return F.try_divide(amount, qty)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from ledgerloom.functions.text import cell_text, clean
 from ledgerloom.operators import robust
 from ledgerloom.operators.facts import DONE, TOTAL
 from ledgerloom.rules import MAX_BROADCAST_PRODUCTS, RuleSet
+from ledgerloom.session import stage
 
 RANK = "product_rank"
 POOL = ["pool_code", "pool_name", "scope"]
@@ -74,19 +72,18 @@ def with_scope(rows: DataFrame) -> DataFrame:
 
 def with_logs(rows: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """``log_<metric>`` of positive unit costs on analyzable rows, else NULL."""
-    return rows.withColumns(
-        {
-            f"log_{m}": F.when(F.col("can_analyze") & (F.col(f"unit_{m}") > 0), F.ln(F.col(f"unit_{m}").cast("double")))
-            for m in metrics
-        }
+    return rows.selectExpr(
+        "*",
+        *[f"CASE WHEN can_analyze AND unit_{m} > 0 THEN ln(CAST(unit_{m} AS double)) END AS log_{m}" for m in metrics],
     )
 
 
-def unpivot_metrics(
-    rows: DataFrame, ids: list[str], values: dict[str, Column], value_name: str = "value"
-) -> DataFrame:
-    """One row per (row, metric) with a non-NULL value: a narrow expansion before partial sums."""
-    wide = rows.select(*ids, *[c.alias(m) for m, c in values.items()])
+def unpivot_metrics(rows: DataFrame, ids: list[str], values: dict[str, str], value_name: str = "value") -> DataFrame:
+    """One row per (row, metric) with a non-NULL value: a narrow expansion before partial sums.
+
+    ``values`` maps a metric to the SQL expression of its value.
+    """
+    wide = rows.selectExpr(*ids, *[f"{expr} AS {m}" for m, expr in values.items()])
     return wide.unpivot(ids, list(values), "metric", value_name).where(F.col(value_name).isNotNull())
 
 
@@ -94,7 +91,7 @@ def _widen(stats: DataFrame, pool: list[str], metrics: tuple[str, ...], columns:
     """Pool statistics with one column per (statistic, metric)."""
     return stats.groupBy(*pool).agg(
         *[
-            F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{prefix}_{m}")
+            F.expr(f"max(CASE WHEN metric = '{m}' THEN {c} END) AS {prefix}_{m}")
             for m in metrics
             for c, prefix in columns.items()
         ]
@@ -113,31 +110,30 @@ def metric_statistics(
     Long rows exist only on the way into partial sums; the deviations are built from
     wide rows joined once with the wide centers.
     """
-    logs = {m: F.col(f"log_{m}") for m in metrics}
     keys = [*pool, "metric"]
-    centers = robust.weighted_median(
-        unpivot_metrics(rows, [*pool, weight], logs), keys, "value", weight, buckets
-    ).where(F.col("pool_rows") >= C.MIN_POOL_SIZE)
-    wide = _widen(centers, pool, metrics, {"median": "center", "pool_rows": "n"})
-    gaps = {m: F.abs(F.col(f"log_{m}") - F.col(f"center_{m}")) for m in metrics}
+    logs = unpivot_metrics(rows, [*pool, weight], {m: f"log_{m}" for m in metrics})
+    centers = robust.weighted_median(logs, keys, "value", weight, buckets)
+    centers = centers.where(F.col("pool_rows") >= C.MIN_POOL_SIZE)
+    # One short row per pool. Written once, it is not derived again at every later step.
+    wide = stage(_widen(centers, pool, metrics, {"median": "center", "pool_rows": "n"}), "centers")
     spread = rows.select(*pool, weight, *[f"log_{m}" for m in metrics]).join(wide, pool)
-    mads = robust.weighted_median(
-        unpivot_metrics(spread, [*pool, weight], gaps), keys, "value", weight, buckets, "mad"
-    )
+    gaps = unpivot_metrics(spread, [*pool, weight], {m: f"abs(log_{m} - center_{m})" for m in metrics})
+    mads = robust.weighted_median(gaps, keys, "value", weight, buckets, "mad")
     return wide.join(_widen(mads, pool, metrics, {"mad": "mad"}), pool)
 
 
 def with_scores(rows: DataFrame, stats: DataFrame, pool: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Effective MAD and modified z-score of every metric, computed inside one row."""
     joined = rows.join(stats, pool, "left")
-    joined = joined.withColumns(
-        {f"mad_eff_{m}": F.when(F.col(f"mad_{m}").isNotNull(), robust.effective_mad(F.col(f"mad_{m}"))) for m in metrics}
-    )
-    return joined.withColumns(
-        {
-            f"z_{m}": robust.modified_z(F.col(f"log_{m}"), F.col(f"center_{m}"), F.col(f"mad_eff_{m}"))
+    floored = joined.selectExpr(
+        "*",
+        *[
+            f"CASE WHEN mad_{m} IS NOT NULL THEN greatest(mad_{m}, {C.MIN_LOG_MAD}D) END AS mad_eff_{m}"
             for m in metrics
-        }
+        ],
+    )
+    return floored.selectExpr(
+        "*", *[f"{C.Z_SCALE}D * (log_{m} - center_{m}) / mad_eff_{m} AS z_{m}" for m in metrics]
     )
 
 
@@ -147,62 +143,59 @@ def with_verdict(rows: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFra
     Ties name several sources, unless the total is among them. Rows without a known
     scope get neither; normal rows name no source.
     """
-    sizes = {m: F.abs(F.col(f"z_{m}")) for m in metrics}
-    rows = rows.withColumn("z_max", F.greatest(*sizes.values()) if len(sizes) > 1 else next(iter(sizes.values())))
-    top = {m: F.coalesce(size == F.col("z_max"), F.lit(False)) for m, size in sizes.items()}
-    several = reduce(add, [t.cast("int") for t in top.values()]) > 1
-    single = F.coalesce(*[F.when(t, C.METRICS[m][1]) for m, t in top.items()])
-    source = F.when(top["total"], C.METRICS["total"][1]) if "total" in top else F.when(F.lit(False), "")
-    source = source.when(several, C.SEVERAL_SOURCES).otherwise(single)
-    known = F.col("scope") != C.SCOPE_UNKNOWN
-    flagged = known & F.coalesce(F.col("z_max") > C.WATCH_LIMIT, F.lit(False))
-    return rows.withColumns(
-        {
-            "anomaly_level": F.when(
-                known, F.coalesce(robust.grade(F.col("z_max")), F.lit(C.LEVEL_NORMAL))
-            ).otherwise(""),
-            "anomaly_source": F.when(flagged, source).otherwise(""),
-        }
+    sizes = ", ".join(f"abs(z_{m})" for m in metrics)
+    biggest = f"greatest({sizes})" if len(metrics) > 1 else sizes
+    rows = rows.selectExpr("*", f"{biggest} AS z_max")
+    ties = " + ".join(f"CASE WHEN abs(z_{m}) = z_max THEN 1 ELSE 0 END" for m in metrics)
+    total = f"WHEN abs(z_total) = z_max THEN '{C.METRICS['total'][1]}'" if "total" in metrics else ""
+    single = " ".join(f"WHEN abs(z_{m}) = z_max THEN '{C.METRICS[m][1]}'" for m in metrics)
+    return rows.selectExpr(
+        "*",
+        f"""CASE WHEN scope = '{C.SCOPE_UNKNOWN}' THEN ''
+                 WHEN z_max > {C.HIGH_LIMIT}D THEN '{C.LEVEL_HIGH}'
+                 WHEN z_max > {C.WATCH_LIMIT}D THEN '{C.LEVEL_WATCH}'
+                 ELSE '{C.LEVEL_NORMAL}' END AS anomaly_level""",
+        f"""CASE WHEN scope = '{C.SCOPE_UNKNOWN}' OR z_max IS NULL OR z_max <= {C.WATCH_LIMIT}D THEN ''
+                 {total} WHEN {ties} > 1 THEN '{C.SEVERAL_SOURCES}' {single} END AS anomaly_source""",
     )
 
 
-def review_reasons(metrics: tuple[str, ...] = METRICS) -> Column:
-    """``;``-joined reasons: unknown scope first, then each metric without a positive value."""
+def review_reasons(metrics: tuple[str, ...] = METRICS) -> str:
+    """SQL of the ``;``-joined reasons: unknown scope first, then each metric without a positive value."""
     missing = [
-        F.when(~F.coalesce(F.col(f"unit_{m}") > 0, F.lit(False)), C.METRICS[m][0] + C.NON_POSITIVE_SUFFIX)
+        f"CASE WHEN NOT coalesce(unit_{m} > 0, false) THEN '{C.METRICS[m][0]}{C.NON_POSITIVE_SUFFIX}' END"
         for m in metrics
     ]
-    return F.concat_ws(";", F.when(F.col("scope") == C.SCOPE_UNKNOWN, C.UNKNOWN_SCOPE_REASON), *missing)
-
+    unknown = f"CASE WHEN scope = '{C.SCOPE_UNKNOWN}' THEN '{C.UNKNOWN_SCOPE_REASON}' END"
+    return f"concat_ws(';', {', '.join([unknown, *missing])})"
 
-def _fixed(c: Column, digits: int) -> Column:
-    return F.call_function("format_number", c.cast("double"), F.lit("0." + "0" * digits))
 
+def explanation(metrics: tuple[str, ...] = METRICS) -> str:
+    """SQL of the ``; ``-joined account of every metric graded above normal."""
 
-def explanation(metrics: tuple[str, ...] = METRICS) -> Column:
-    """``; ``-joined account of every metric graded above normal."""
+    def fixed(expr: str, digits: int) -> str:
+        return f"format_number(CAST({expr} AS double), '0.{'0' * digits}')"
 
-    def entry(m: str) -> Column:
-        log, center, mad = F.col(f"log_{m}"), F.col(f"center_{m}"), F.col(f"mad_{m}")
-        gap = log - center
-        level = robust.grade(F.col(f"z_{m}"))
+    def entry(m: str) -> str:
+        gap = f"log_{m} - center_{m}"
+        level = f"CASE WHEN abs(z_{m}) > {C.HIGH_LIMIT}D THEN '{C.LEVEL_HIGH}' ELSE '{C.LEVEL_WATCH}' END"
         fields = (
-            ("当前值", _fixed(F.col(f"unit_{m}"), 2)),
-            ("当前log", _fixed(log, 4)),
-            ("基准值", _fixed(F.exp(center), 2)),
-            ("基准log", _fixed(center, 4)),
-            ("log偏离", _fixed(gap, 4)),
-            ("相对偏离", F.concat(_fixed(F.expm1(gap) * 100, 2), F.lit("%"))),
-            ("score", _fixed(F.col(f"z_{m}"), 2)),
-            ("有效工单数", F.col(f"n_{m}").cast("string")),
-            ("原始MAD", _fixed(mad, 4)),
-            ("有效MAD", _fixed(F.col(f"mad_eff_{m}"), 4)),
+            (f"{C.METRICS[m][2]}: ", level),
+            ("当前值=", fixed(f"unit_{m}", 2)),
+            ("当前log=", fixed(f"log_{m}", 4)),
+            ("基准值=", fixed(f"exp(center_{m})", 2)),
+            ("基准log=", fixed(f"center_{m}", 4)),
+            ("log偏离=", fixed(gap, 4)),
+            ("相对偏离=", f"concat({fixed(f'expm1({gap}) * 100', 2)}, '%')"),
+            ("score=", fixed(f"z_{m}", 2)),
+            ("有效工单数=", f"CAST(n_{m} AS string)"),
+            ("原始MAD=", fixed(f"mad_{m}", 4)),
+            ("有效MAD=", fixed(f"mad_eff_{m}", 4)),
         )
-        head = F.concat(F.lit(C.METRICS[m][2] + ": "), level)
-        text = F.concat_ws(", ", head, *[F.concat(F.lit(k + "="), v) for k, v in fields])
-        return F.when(F.abs(F.col(f"z_{m}")) > C.WATCH_LIMIT, text)
+        text = ", ".join(f"concat('{label}', {value})" for label, value in fields)
+        return f"CASE WHEN abs(z_{m}) > {C.WATCH_LIMIT}D THEN concat_ws(', ', {text}) END"
 
-    return F.concat_ws("; ", *[entry(m) for m in metrics])
+    return f"concat_ws('; ', {', '.join(entry(m) for m in metrics)})"
 
 
 def prepare(facts: DataFrame, rules: RuleSet) -> DataFrame:
@@ -214,7 +207,7 @@ def score(prepared: DataFrame) -> DataFrame:
     """Scores, verdict, explanation and reasons. ``prepared`` is read several times: stage it."""
     stats = metric_statistics(prepared, POOL)
     scored = with_verdict(with_scores(prepared, stats, POOL))
-    return scored.withColumns({"explanation": explanation(), "review_reason": review_reasons()})
+    return scored.selectExpr("*", f"{explanation()} AS explanation", f"{review_reasons()} AS review_reason")
 
 
 def analysis_columns(rules: RuleSet) -> list[str]:

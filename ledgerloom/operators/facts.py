@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import contract as C
-from ledgerloom.functions.numbers import MONEY, QUANTITY, as_decimal, total, unit_cost
+from ledgerloom.functions.numbers import MONEY, QUANTITY, as_decimal
 from ledgerloom.functions.text import cell_text, clean, key_value
 from ledgerloom.operators import joins
 from ledgerloom.operators.normalize import require
@@ -54,18 +51,18 @@ def cost_bucket(item: Column, standalone: dict[str, str]) -> Column:
     return bucket
 
 
-def bucket_sums(bucket: Column, amount: Column, standalone: dict[str, str]) -> list[Column]:
-    """One exact sum per bucket; a component counts in the overhead total as well."""
-    zero = F.lit(0).cast(MONEY)
-
-    def sum_of(cond: Column, name: str) -> Column:
-        return F.coalesce(total(F.when(cond, amount)), zero).alias(name)
+def bucket_sums(standalone: dict[str, str], bucket: str = BUCKET, amount: str = AMOUNT) -> list[Column]:
+    """One exact sum per bucket; a component counts in the overhead total as well.
 
+    A NULL amount counts as zero. Sums return to MONEY so that later arithmetic keeps its scale.
+    """
+    members = {b: (b,) for b in (*BASE_BUCKETS, *standalone)} | {"moh": ("moh", *COMPONENTS)}
     out = []
-    for name in BASE_BUCKETS:
-        cond = bucket.isin("moh", *COMPONENTS) if name == "moh" else bucket == name
-        out.append(sum_of(cond, name))
-    return out + [sum_of(bucket == name, name) for name in standalone]
+    for name, parts in members.items():
+        listed = ", ".join(f"'{p}'" for p in parts)
+        total = f"try_cast(sum(CASE WHEN {bucket} IN ({listed}) THEN {amount} END) AS {MONEY})"
+        out.append(F.expr(f"coalesce({total}, CAST(0 AS {MONEY})) AS {name}"))
+    return out
 
 
 # ------------------------------------------------------------------ prepared rows
@@ -110,8 +107,7 @@ def valid_qty(prepared: DataFrame) -> DataFrame:
 def bucket_amounts(prepared_detail: DataFrame, rules: RuleSet) -> DataFrame:
     """One row per key with all bucket sums; unmapped rows take no part."""
     mapped = prepared_detail.where(F.col(BUCKET).isNotNull())
-    amount = F.coalesce(F.col(AMOUNT), F.lit(0).cast(MONEY))
-    return mapped.groupBy(KEY).agg(*bucket_sums(F.col(BUCKET), amount, rules.standalone_buckets()))
+    return mapped.groupBy(KEY).agg(*bucket_sums(rules.standalone_buckets()))
 
 
 def key_counts(valid: DataFrame) -> DataFrame:
@@ -152,9 +148,8 @@ def work_order_summary(prepared: DataFrame, rules: RuleSet) -> DataFrame:
     Detail and quantity rows share the key, so one shuffle of partial sums serves both.
     """
     is_valid = F.col(VALIDITY) == VALID
-    amount = F.coalesce(F.col(AMOUNT), F.lit(0).cast(MONEY))
     return prepared.groupBy(KEY).agg(
-        *bucket_sums(F.col(BUCKET), amount, rules.standalone_buckets()),
+        *bucket_sums(rules.standalone_buckets()),
         F.count_if(is_valid).alias("key_rows"),
         F.min(F.when(is_valid, F.col(ROW_ID))).alias("first_row"),
     )
@@ -170,45 +165,36 @@ def join_facts(
     hot = joins.hot_keys(valid, [KEY], rows_per_salt)
     joined = joins.lookup_join(valid, summary, [KEY], hot, ROW_ID)
     buckets = (*BASE_BUCKETS, *rules.standalone_buckets())
-    zero = F.lit(0).cast(MONEY)
-    return joined.withColumns(
-        {
-            **{b: F.coalesce(F.col(b), zero) for b in buckets},
-            "is_first": F.col(ROW_ID) == F.col("first_row"),
-        }
-    ).drop("first_row")
+    kept = [f"`{c}`" for c in joined.columns if c not in buckets and c != "first_row"]
+    zeroed = [f"coalesce({b}, CAST(0 AS {MONEY})) AS {b}" for b in buckets]
+    return joined.selectExpr(*kept, *zeroed, f"{ROW_ID} = first_row AS is_first")
 
 
 # ------------------------------------------------------------------ checks and unit costs
 def with_checks(facts: DataFrame, rules: RuleSet) -> DataFrame:
     """Exact reconciliation of components and total, with reason text and status."""
-    parts = ("dm", "dl", "moh", *rules.standalone_buckets())
-    facts = facts.withColumns(
-        {
-            "moh_components": reduce(add, [F.col(c) for c in COMPONENTS]).cast(MONEY),
-            "derived_total": reduce(add, [F.col(c) for c in parts]).cast(MONEY),
-        }
-    )
-    facts = facts.withColumns(
-        {
-            "moh_matches": F.col("moh_components") == F.col("moh"),
-            "total_matches": F.col("derived_total") == F.col(TOTAL),
-        }
+    components = " + ".join(COMPONENTS)
+    derived = " + ".join(("dm", "dl", "moh", *rules.standalone_buckets()))
+    sums = facts.selectExpr(
+        "*", f"CAST({components} AS {MONEY}) AS moh_components", f"CAST({derived} AS {MONEY}) AS derived_total"
     )
+    checked = sums.selectExpr("*", "moh_components = moh AS moh_matches", f"derived_total = {TOTAL} AS total_matches")
     reason = F.concat_ws(
         ";",
         F.when(~F.col("moh_matches"), C.MOH_CHECK_REASON),
         F.when(~F.col("total_matches"), rules.total_expression + C.TOTAL_CHECK_SUFFIX),
     )
-    return facts.withColumn("check_reason", reason).withColumn(
-        "check_status", F.when(F.col("check_reason") == "", C.PASSED).otherwise(C.NEEDS_REVIEW)
-    )
+    status = F.when(F.col("moh_matches") & F.col("total_matches"), C.PASSED).otherwise(C.NEEDS_REVIEW)
+    return checked.withColumns({"check_reason": reason, "check_status": status})
 
 
 def with_unit_costs(facts: DataFrame, rules: RuleSet) -> DataFrame:
-    """``unit_<metric>`` for the total, the eight buckets and the standalone items."""
+    """``unit_<metric>`` for the total, the eight buckets and the standalone items.
+
+    NULL on a zero divisor or when the quotient does not fit.
+    """
     sources = {"total": TOTAL, **{b: b for b in (*BASE_BUCKETS, *rules.standalone_buckets())}}
-    return facts.withColumns({f"unit_{m}": unit_cost(F.col(c), F.col(DONE)) for m, c in sources.items()})
+    return facts.selectExpr("*", *[f"try_divide({c}, {DONE}) AS unit_{m}" for m, c in sources.items()])
 
 
 def build_facts(

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import contract as C
@@ -35,26 +35,19 @@ def _crossing(weights: DataFrame, pool: list[str], by: str, weight: str = "_w")
 
     Input columns ``_below`` and ``_total`` of an earlier step are carried along.
     """
-    in_order = Window.partitionBy(*pool).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum(weight).over(in_order)
+    keys = ", ".join(pool)
+    upto = f"sum({weight}) OVER (PARTITION BY {keys} ORDER BY {by} ROWS UNBOUNDED PRECEDING)"
+    carried = ["_below", "_total", "_pool_n"]
     if "_total" not in weights.columns:
-        weights = weights.withColumns(
-            {
-                "_total": F.sum(weight).over(Window.partitionBy(*pool)),
-                "_pool_n": F.sum("_n").over(Window.partitionBy(*pool)),
-                "_below": F.lit(0),
-            }
-        )
-    marked = weights.withColumn("_upto", F.col("_below") + upto)
-    passed = marked.where(
-        (F.col("_upto") * 2 > F.col("_total")) & ((F.col("_upto") - F.col(weight)) * 2 <= F.col("_total"))
-    )
-    return passed.select(
-        *pool,
-        by,
-        (F.col("_upto") - F.col(weight)).cast(WEIGHT).alias("_below"),
-        F.col("_total").cast(WEIGHT).alias("_total"),
-        "_pool_n",
+        carried = [
+            "0 AS _below",
+            f"sum({weight}) OVER (PARTITION BY {keys}) AS _total",
+            f"sum(_n) OVER (PARTITION BY {keys}) AS _pool_n",
+        ]
+    running = weights.selectExpr(*pool, by, weight, *carried, f"{upto} AS _upto")
+    before = f"_below + _upto - {weight}"
+    return running.where(f"(_below + _upto) * 2 > _total AND ({before}) * 2 <= _total").selectExpr(
+        *pool, by, f"CAST({before} AS {WEIGHT}) AS _below", f"CAST(_total AS {WEIGHT}) AS _total", "_pool_n"
     )
 
 
