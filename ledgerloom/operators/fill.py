@@ -121,7 +121,8 @@ def ordered_fill(
     def filled(out: str) -> Column:
         source = columns[out]
         latest = _latest(seeds[out], order)
-        return F.coalesce(latest, F.col(f"`{source}`")) if source in df.columns else latest
+        # in place, a blank with nothing above it stays as it is
+        return F.coalesce(latest, F.col(f"`{source}`")) if source == out else latest
 
     both = both.withColumns({f"_f{seeds[o]}": filled(o) for o in free})
     if guarded:

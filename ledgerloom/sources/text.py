@@ -66,10 +66,8 @@ def apply_aliases(names: Column) -> Column:
     targets = ((C.CHILD_MATERIAL, C.CHILD_MATERIAL_ALIASES), (C.COST_ITEM, C.COST_ITEM_ALIASES))
     found = []
     for canonical, aliases in targets:
-        def matches(n, aliases=aliases):
-            return n.rlike("|".join(aliases))
-
-        first = F.get(F.filter(names, matches), F.lit(0))
+        pattern = "|".join(aliases)
+        first = F.get(F.filter(names, lambda n: n.rlike(pattern)), F.lit(0))  # noqa: B023
         found.append((canonical, F.when(~F.array_contains(names, canonical), first)))
     # a column that fits both targets goes to the later one, as both map by name
     (material, m), (item, i) = found

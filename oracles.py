@@ -27,8 +27,11 @@ SO_FAR = "(ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 # ------------------------------------------------------------------ the derived ledger
 LEDGER = """li AS (SELECT *, row_number() OVER () - 1 AS rn FROM lineitem),
-base AS (SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents
+priced AS (SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents
   FROM li JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+base AS (SELECT *, cents * (35 + l_partkey % 13) // 100 AS material, cents * (5 + l_partkey % 11) // 100 AS labor,
+  cents * (3 + l_suppkey % 7) // 100 AS other, cents * (2 + l_linenumber) // 100 AS moh_labor,
+  cents * (1 + l_orderkey % 5) // 100 AS consumables, cents * (1 + (l_partkey + l_suppkey) % 3) // 100 AS even FROM priced),
 raw AS (SELECT rn * 16 + step AS id, step,
   CASE step WHEN 0 THEN concat(year(o_orderdate), '年', month(o_orderdate), '期') WHEN 11 THEN '合计' END AS period,
   CASE WHEN step = 0 THEN CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 5 = 0 THEN '集成车间'
@@ -52,12 +55,11 @@ raw AS (SELECT rn * 16 + step AS id, step,
     ELSE CAST(l_quantity AS DECIMAL(18,6)) END END AS qty,
   CAST(CAST(CASE step
     WHEN 0 THEN CASE WHEN l_orderkey % 83 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN cents + 1 ELSE cents END
-    WHEN 1 THEN cents // 2 WHEN 2 THEN cents // 2
-    WHEN 3 THEN CASE WHEN l_partkey % 53 = 0 THEN NULL ELSE cents * (5 + l_partkey % 11) // 100 END
-    WHEN 4 THEN cents // 20 WHEN 5 THEN cents // 25 WHEN 6 THEN cents // 50
-    WHEN 7 THEN cents // 100 WHEN 8 THEN cents // 100 WHEN 9 THEN cents // 25
-    WHEN 10 THEN cents - cents // 2 - cents * (5 + l_partkey % 11) // 100 - cents // 20 - cents // 25 * 2
-                 - cents // 50 - cents // 100 * 2
+    WHEN 1 THEN material WHEN 2 THEN material
+    WHEN 3 THEN CASE WHEN l_partkey % 53 = 0 THEN NULL ELSE labor END
+    WHEN 4 THEN other WHEN 5 THEN moh_labor WHEN 6 THEN consumables WHEN 7 THEN even WHEN 8 THEN even
+    WHEN 9 THEN cents // 25
+    WHEN 10 THEN cents - material - labor - other - moh_labor - consumables - even * 2 - cents // 25
     ELSE cents END AS DECIMAL(18,0)) * 0.01 AS DECIMAL(28,10)) AS amount
   FROM base, range(0, 12) AS s(step)),
 kept AS (SELECT * FROM raw WHERE NOT coalesce(contains(period, '合计'), false)),
@@ -178,7 +180,6 @@ scores AS (SELECT id, metric, unit, lg, center, mad, c.pool_rows AS n, greatest(
   {C.Z_SCALE}::DOUBLE * (lg - center) / greatest(mad, {C.MIN_LOG_MAD}) AS z
   FROM long JOIN centers c USING ({POOL}) JOIN mads USING ({POOL}))"""
 LABELS = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{C.METRICS[m][1]}'" for m in C.METRICS) + " END"
-PLACE = "CASE metric " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(C.METRICS)) + " END"
 VERDICT = f"""tops AS (SELECT id, max(abs(z)) AS z_max FROM scores GROUP BY id),
 winners AS (SELECT id, any_value(z_max) AS z_max, count(*) AS n, bool_or(metric = 'total') AS has_total, min({LABELS}) AS label
   FROM scores JOIN tops USING (id) WHERE abs(z) = z_max GROUP BY id),
@@ -187,16 +188,6 @@ verdicts AS (SELECT w.*, CASE WHEN scope = '未归类' THEN '' WHEN z_max > 3.5
   CASE WHEN scope = '未归类' OR z_max IS NULL OR z_max <= 2.5 THEN '' WHEN has_total THEN '总成本异常'
     WHEN n > 1 THEN '多项同时异常' ELSE label END AS anomaly_source
   FROM work_orders w LEFT JOIN winners USING (id))"""
-EXPLAINED = " || ', ' || ".join(
-    f"'{label}' || printf('{fmt}', {value})"
-    for label, fmt, value in (
-        ("当前值=", "%.2f", "unit"), ("当前log=", "%.4f", "lg"), ("基准值=", "%.2f", "exp(center)"),
-        ("基准log=", "%.4f", "center"), ("log偏离=", "%.4f", "lg - center"),
-        ("相对偏离=", "%.2f%%", "(exp(lg - center) - 1) * 100"), ("score=", "%.2f", "z"),
-        ("有效工单数=", "%d", "n"), ("原始MAD=", "%.4f", "mad"), ("有效MAD=", "%.4f", "mad_eff"),
-    )
-)
-SHOWN = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{C.METRICS[m][2]}'" for m in C.METRICS) + " END"
 REASONS = ", ".join(
     f"CASE WHEN unit_{m} <= 0 THEN '{C.METRICS[m][0]}{C.NON_POSITIVE_SUFFIX}' END" for m in C.METRICS
 )
@@ -434,13 +425,6 @@ def all_oracles() -> dict[str, str]:
             select="SELECT work_order_key, concat_ws(';', CASE WHEN scope = '未归类' "
             f"THEN '{C.UNKNOWN_SCOPE_REASON}' END, {REASONS}) AS review_reason FROM work_orders",
         ),
-        "explanations": ledger(
-            FACTS,
-            SCORES,
-            f"""texts AS (SELECT id, string_agg({SHOWN} || ': ' || CASE WHEN abs(z) > 3.5 THEN '高度可疑' ELSE '关注' END
-              || ', ' || {EXPLAINED}, '; ' ORDER BY {PLACE}) AS explanation FROM scores WHERE abs(z) > 2.5 GROUP BY id)""",
-            select="SELECT work_order_key, coalesce(explanation, '') AS explanation FROM work_orders LEFT JOIN texts USING (id)",
-        ),
         "metric_scores": ledger(
             FACTS,
             SCORES,
@@ -481,7 +465,7 @@ def all_oracles() -> dict[str, str]:
             "(0, 'event_id', a), (1, 'kind', b), (2, 'paid', c), (3, 'actor', d)) AS t(position, column_name, have)",
         ),
         "text_ledger_scan": """SELECT o_orderkey AS order_no, strftime(o_orderdate, '%Y-%m') AS period_key,
-            CASE WHEN o_orderkey // 20000 % 2 = 0 THEN concat(o_orderpriority, ', ","') END AS cost_item,
+            CASE WHEN o_orderkey % 2 = 0 THEN concat(o_orderpriority, ', ","') END AS cost_item,
             CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CAST(NULL AS VARCHAR) AS material FROM orders""",
         "cell_diff": with_(VERSIONS, CELLS, select="SELECT * FROM cells"),
         "cell_diff_report": with_(

@@ -57,14 +57,22 @@ LEDGER_STEPS = """CASE step
     WHEN 7 THEN CASE WHEN l_partkey % 41 = 0 THEN '制造费用_未分类' ELSE '制造费用_折旧' END
     WHEN 8 THEN '制造费用_水电费' WHEN 9 THEN '委外加工费'
     WHEN 10 THEN CASE WHEN l_partkey % 31 = 0 THEN '未映射费用' ELSE '软件费用' END END"""
+# Shares of a line's price in hundredths; depreciation and utilities are equal on purpose.
+LEDGER_SHARES = {
+    "material": "35 + l_partkey % 13",
+    "labor": "5 + l_partkey % 11",
+    "other": "3 + l_suppkey % 7",
+    "moh_labor": "2 + l_linenumber",
+    "consumables": "1 + l_orderkey % 5",
+    "even": "1 + (l_partkey + l_suppkey) % 3",
+}
 LEDGER_CENTS = """CASE step
     WHEN 0 THEN CASE WHEN l_orderkey % 83 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN cents + 1 ELSE cents END
-    WHEN 1 THEN cents div 2 WHEN 2 THEN cents div 2
-    WHEN 3 THEN CASE WHEN l_partkey % 53 = 0 THEN NULL ELSE cents * (5 + l_partkey % 11) div 100 END
-    WHEN 4 THEN cents div 20 WHEN 5 THEN cents div 25 WHEN 6 THEN cents div 50
-    WHEN 7 THEN cents div 100 WHEN 8 THEN cents div 100 WHEN 9 THEN cents div 25
-    WHEN 10 THEN cents - cents div 2 - cents * (5 + l_partkey % 11) div 100 - cents div 20 - cents div 25 * 2
-                 - cents div 50 - cents div 100 * 2
+    WHEN 1 THEN material WHEN 2 THEN material
+    WHEN 3 THEN CASE WHEN l_partkey % 53 = 0 THEN NULL ELSE labor END
+    WHEN 4 THEN other WHEN 5 THEN moh_labor WHEN 6 THEN consumables WHEN 7 THEN even WHEN 8 THEN even
+    WHEN 9 THEN cents div 25
+    WHEN 10 THEN cents - material - labor - other - moh_labor - consumables - even * 2 - cents div 25
     ELSE cents END"""
 
 
@@ -77,9 +85,9 @@ def derived_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     base = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
-    steps = base.selectExpr(
-        "*", "CAST(CAST(l_extendedprice AS decimal(18,2)) * 100 AS bigint) AS cents", "explode(sequence(0, 11)) AS step"
-    )
+    base = base.selectExpr("*", "CAST(CAST(l_extendedprice AS decimal(18,2)) * 100 AS bigint) AS cents")
+    shares = [f"cents * ({share}) div 100 AS {name}" for name, share in LEDGER_SHARES.items()]
+    steps = base.selectExpr("*", *shares, "explode(sequence(0, 11)) AS step")
     identity = [f"CASE WHEN step = 0 THEN {expr} END AS `{name}`" for name, expr in LEDGER_COLUMNS.items()]
     identity[0] = f"CASE step WHEN 0 THEN {LEDGER_COLUMNS[C.PERIOD]} WHEN 11 THEN '合计' END AS `{C.PERIOD}`"
     return steps.selectExpr(
@@ -248,7 +256,7 @@ def check_status(spark, sf_dir):
 
 
 def unit_cost(spark, sf_dir):
-    units = [f"round(unit_{m}, 8) AS unit_{m}" for m in (*C.METRICS, "standalone_0", "standalone_1")]
+    units = [f"CAST(round(unit_{m}, 8) AS double) AS unit_{m}" for m in (*C.METRICS, "standalone_0", "standalone_1")]
     return derived_run(spark, sf_dir).facts.selectExpr(f"{ROW_ID} AS source_row", *units)
 
 
@@ -256,7 +264,7 @@ def quantity_table(spark, sf_dir):
     """The quantity output under its labels."""
     return derived_run(spark, sf_dir).quantity_table.select(
         *[F.col(c).alias(a) for c, a in QTY_OUTPUT.items()],
-        *[F.round(F.col(c), 8).alias(a) for c, a in QTY_UNITS.items()],
+        *[F.round(F.col(c), 8).cast("double").alias(a) for c, a in QTY_UNITS.items()],
     )
 
 
@@ -361,7 +369,7 @@ def analysis_table(spark, sf_dir):
     out = anomaly.analysis_table(_scores(spark, sf_dir), DERIVED_RULES)
     return out.select(
         *[F.col(c).alias(a) for c, a in ANALYSIS_OUTPUT.items()],
-        *[F.round(F.col(c), 8).alias(a) for c, a in ANALYSIS_UNITS.items()],
+        *[F.round(F.col(c), 8).cast("double").alias(a) for c, a in ANALYSIS_UNITS.items()],
     )
 
 
@@ -393,7 +401,7 @@ def weighted_median(spark, sf_dir):
     """Weighted median unit price per pool. Prices are positive, so log-width buckets order them."""
     buckets = (lambda v: F.floor(F.ln(v.cast("double")) * 64), lambda v: F.floor(v * 16))
     return robust.weighted_median(_prices(spark, sf_dir), PRICE_POOL, "price", "weight", buckets).select(
-        *PRICE_POOL, F.round("median", 8).alias("median"), "pool_rows"
+        *PRICE_POOL, F.round("median", 8).cast("double").alias("median"), "pool_rows"
     )
 
 
@@ -457,12 +465,12 @@ def content_identity(spark, sf_dir):
 def text_ledger_scan(spark, sf_dir):
     """Orders written as delimited ledger files with metadata and header rows, then scanned back.
 
-    One file per 20,000 order keys, in two header layouts.
+    Files of at most 20,000 orders, in two header layouts.
     """
     rows = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey div 20000 AS book",
+        "o_orderkey % 2 + o_orderkey div 40000 * 2 AS book",
         "o_orderkey + 10 AS at",
-        """CASE WHEN o_orderkey div 20000 % 2 = 0
+        """CASE WHEN o_orderkey % 2 = 0
            THEN concat_ws(',', concat(year(o_orderdate), '年', month(o_orderdate), '期'), o_orderkey,
                           concat('"', o_orderpriority, ', "",""', '"'), o_totalprice, 'beyond')
            ELSE concat_ws(',', o_orderkey, concat(year(o_orderdate), '年', month(o_orderdate), '期'), o_totalprice)
@@ -473,7 +481,7 @@ def text_ledger_scan(spark, sf_dir):
         "book",
         """inline(CASE WHEN book % 2 = 0 THEN array(
                struct(0L AS at, 'Export' AS line), struct(1L AS at, 'Generated data' AS line),
-               struct(2L AS at, '年期,工单,费用, 本期完工' AS line), struct(3L AS at, ',编号,项目,金额' AS line))
+               struct(2L AS at, '年期,工单编号,费用, 本期完工' AS line), struct(3L AS at, ',,项目,金额' AS line))
            ELSE array(
                struct(0L AS at, '工单编号,年期,本期完工金额,物料编码' AS line),
                struct(1L AS at, ',,本期完工金额,Unnamed: 3' AS line)) END)""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import time
+import traceback
 from collections import Counter
 from decimal import Decimal
 from pathlib import Path
@@ -77,6 +78,8 @@ def main():
             problem = mismatch(spark, con, query, sqls[name], sf_dir) if name in sqls else f"rows only: {query(spark, sf_dir).count()}"
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:600]}"
+            if only:
+                traceback.print_exc()
         bad += bool(problem) and name in sqls
         print(f"{'ok  ' if not problem else 'DIFF'} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
     print("mismatching:", bad)
