@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.text import clean, is_blank
+from ledgerloom.session import stage
 from ledgerloom.sources.rows import ROW_ID, SRC_ID
 
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 14
 # blocks per group in the pass over the block table
 GROUP_BLOCKS = 1 << 12
 
@@ -51,17 +52,17 @@ def _carry(blocks: DataFrame, scope: list[str], columns: list[str]) -> DataFrame
     """Replace each block's own last values by what it inherits from earlier blocks."""
     blocks = blocks.withColumn("_group", F.floor(F.col("_block") / GROUP_BLOCKS))
     groups = blocks.groupBy(*scope, "_group").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_block"))).alias(c) for c in columns]
+        *[F.max_by(f"`{c}`", F.when(F.col(f"`{c}`").isNotNull(), F.col("_block"))).alias(c) for c in columns]
     )
     earlier = Window.partitionBy(*scope).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select(*scope, "_group", *[_latest(c, earlier).alias(f"_g_{c}") for c in columns])
+    groups = groups.select(*scope, "_group", *[_latest(f"`{c}`", earlier).alias(f"_g_{c}") for c in columns])
     inside = (
         Window.partitionBy(*scope, "_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
     keep = [c for c in blocks.columns if c not in {*scope, "_group", *columns}]
-    own = blocks.select(*scope, "_group", *keep, *[_latest(c, inside).alias(c) for c in columns])
+    own = blocks.select(*scope, "_group", *keep, *[_latest(f"`{c}`", inside).alias(c) for c in columns])
     return own.join(groups, [*scope, "_group"]).select(
-        *scope, *keep, *[F.coalesce(F.col(c), F.col(f"_g_{c}")).alias(c) for c in columns]
+        *scope, *keep, *[F.coalesce(F.col(f"`{c}`"), F.col(f"`_g_{c}`")).alias(c) for c in columns]
     )
 
 
@@ -80,65 +81,91 @@ def ordered_fill(
     must not cross. ``guards`` refer to output names; a guard column must be filled too.
     """
     scope_keys = list(scope)
+    keys = [*scope_keys, "_block"]
     data = df.withColumn("_block", F.floor(F.col(row) / block_rows))
     guards = tuple(g for g in guards if g.column in columns and set(g.columns) & set(columns))
     guarded = {c: g for g in guards for c in g.columns if c in columns}
-    free = [out for out in columns if out not in guarded]
-
-    seeds = {out: f"_s{i}" for i, out in enumerate(columns)}
-    slim = data.select(
-        *scope_keys, "_block", F.col(row).alias("_at"), *[_seed(df, columns[o]).alias(seeds[o]) for o in columns]
-    )
-    keys = [*scope_keys, "_block"]
-
-    def last_seed(c: str, usable: Column | None = None) -> Column:
-        there = F.col(c).isNotNull() if usable is None else F.col(c).isNotNull() & usable
-        return F.max_by(c, F.when(there, F.col("_at")))
+    sources = list(dict.fromkeys(columns.values()))
+    free = list(dict.fromkeys(columns[o] for o in columns if o not in guarded))
 
-    carries = slim.groupBy(*keys).agg(*[last_seed(seeds[o]).alias(seeds[o]) for o in free])
-    carries = _carry(carries, scope_keys, [seeds[o] for o in free])
+    # One short row per block: written once, so that no later step scans the rows for it again.
+    carries = _carry(stage(_block_ends(data, keys, row, free), "block_ends"), scope_keys, free)
     for guard in guards:
-        held = [seeds[o] for o in guard.columns if o in columns]
-        g = seeds[guard.column]
-        seen = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-        known = slim.select(*keys, "_at", *held, _latest(g, seen).alias("_g"))
-        open_row = clean(F.col("_g").cast("string")) != guard.value
-        candidates = known.groupBy(*keys).agg(
-            *[last_seed(h, F.coalesce(open_row, F.lit(True))).alias(f"{h}_open") for h in held],
-            *[last_seed(h, F.coalesce(open_row, F.lit(False))).alias(f"{h}_shut") for h in held],
-        )
-        inherits = F.coalesce(clean(F.col(g).cast("string")) == guard.value, F.lit(False))
-        chosen = candidates.join(carries.select(*keys, g), keys).select(
-            *keys, *[F.when(inherits, F.col(f"{h}_shut")).otherwise(F.col(f"{h}_open")).alias(h) for h in held]
+        held = [columns[o] for o in guard.columns if o in columns]
+        ends = stage(_guarded_ends(data, keys, row, columns[guard.column], guard.value, held), "guarded_ends")
+        inherits = _is_value(F.col(f"`{columns[guard.column]}`"), guard.value)
+        known = carries.select(*keys, inherits.alias("_shut"))
+        chosen = ends.join(known, keys, "left").select(
+            *keys,
+            *[F.when(F.col("_shut"), F.col(f"_shut_{h}")).otherwise(F.col(f"_open_{h}")).alias(h) for h in held],
         )
+        # blocks without any value of their own still inherit
+        chosen = carries.select(*keys).join(chosen, keys, "left")
         carries = carries.join(_carry(chosen, scope_keys, held), keys)
+    carries = stage(carries, "carries")
 
-    rows = data.select("*", F.lit(1).alias("_kind"), *[_seed(df, columns[o]).alias(seeds[o]) for o in columns])
-    heads = carries.withColumn("_kind", F.lit(0))
+    # What a block inherits goes in front of it as an ordinary row of the same columns.
+    heads = carries.select(*keys, *[F.col(f"`{c}`") for c in sources], F.lit(0).alias("_kind"))
+    both = data.withColumn("_kind", F.lit(1)).unionByName(heads, allowMissingColumns=True)
     order = Window.partitionBy(*keys).orderBy("_kind", row).rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(heads, allowMissingColumns=True)
+    temp = {out: f"_f{i}" for i, out in enumerate(columns)}
 
-    def filled(out: str) -> Column:
-        source = columns[out]
-        latest = _latest(seeds[out], order)
+    def filled(out: str, seed: Column) -> Column:
+        latest = _latest(seed, order)
         # in place, a blank with nothing above it stays as it is
-        return F.coalesce(latest, F.col(f"`{source}`")) if source == out else latest
+        return F.coalesce(latest, F.col(f"`{out}`")) if columns[out] == out else latest
 
-    both = both.withColumns({f"_f{seeds[o]}": filled(o) for o in free})
+    both = both.withColumns({temp[o]: filled(o, _seed(df, columns[o])) for o in columns if o not in guarded})
     if guarded:
-        shut = {
-            o: (F.col("_kind") == 1)
-            & F.coalesce(clean(F.col(f"_f{seeds[g.column]}").cast("string")) == g.value, F.lit(False))
-            for o, g in guarded.items()
-        }
-        both = both.withColumns({seeds[o]: F.when(~shut[o], F.col(seeds[o])) for o in guarded})
+        flags = {g.column: f"_shut{i}" for i, g in enumerate(guards)}
+        both = both.withColumns(
+            {flags[g.column]: (F.col("_kind") == 1) & _is_value(F.col(temp[g.column]), g.value) for g in guards}
+        )
         both = both.withColumns(
             {
-                f"_f{seeds[o]}": F.when(shut[o], F.col(f"`{columns[o]}`")).otherwise(filled(o))
-                for o in guarded
+                temp[o]: F.when(F.col(flags[g.column]), F.col(f"`{columns[o]}`")).otherwise(
+                    filled(o, F.when(~F.col(flags[g.column]), _seed(df, columns[o])))
+                )
+                for o, g in guarded.items()
             }
         )
-    results = {o: F.col(f"_f{seeds[o]}") for o in columns}
-    kept = [results[c].alias(c) if c in results else F.col(f"`{c}`") for c in df.columns]
-    added = [results[o].alias(o) for o in columns if o not in df.columns]
+    kept = [F.col(temp[c]).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns]
+    added = [F.col(temp[o]).alias(o) for o in columns if o not in df.columns]
     return both.where("_kind = 1").select(*kept, *added)
+
+
+def _is_value(c: Column, value: str) -> Column:
+    return F.coalesce(clean(c.cast("string")) == value, F.lit(False))
+
+
+def _block_ends(data: DataFrame, keys: list[str], row: str, columns: list[str]) -> DataFrame:
+    """Last non-blank value of each column per block, combined on the map side."""
+    slim = data.select(*keys, F.col(row).alias("_at"), *[_seed(data, c).alias(c) for c in columns])
+    return slim.groupBy(*keys).agg(
+        *[F.max_by(f"`{c}`", F.when(F.col(f"`{c}`").isNotNull(), F.col("_at"))).alias(c) for c in columns]
+    )
+
+
+def _guarded_ends(
+    data: DataFrame, keys: list[str], row: str, guard: str, value: str, held: list[str]
+) -> DataFrame:
+    """Last usable value of each held column per block: ``_open_`` and ``_shut_`` candidates.
+
+    They differ where the rows before the first guard value of the block count. Only rows
+    that set the guard or a held column matter, so the others are not shuffled.
+    """
+    slim = data.select(
+        *keys, F.col(row).alias("_at"), _seed(data, guard).alias("_g"), *[_seed(data, h).alias(h) for h in held]
+    )
+    telling = F.col("_g").isNotNull()
+    for h in held:
+        telling = telling | F.col(f"`{h}`").isNotNull()
+    so_far = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    seen = slim.where(telling).withColumn("_g", clean(_latest("_g", so_far).cast("string")))
+    candidates = []
+    for prefix, unknown in (("_open_", True), ("_shut_", False)):
+        usable = F.coalesce(F.col("_g") != value, F.lit(unknown))
+        for h in held:
+            at = F.when(F.col(f"`{h}`").isNotNull() & usable, F.col("_at"))
+            candidates.append(F.max_by(f"`{h}`", at).alias(f"{prefix}{h}"))
+    return seen.groupBy(*keys).agg(*candidates)

@@ -81,7 +81,8 @@ def derived_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     one material subtotal and one total row. Identity columns stand on the quantity row only.
     """
     wanted = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
-    lines = read_table(spark, f"{sf_dir}/lineitem.parquet", wanted)
+    # the table may be one row group, read by one task; runs of rows are spread before they multiply
+    lines = read_table(spark, f"{sf_dir}/lineitem.parquet", wanted).repartition(F.floor(F.col(ROW_ID) / 1024))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     base = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
