@@ -24,7 +24,8 @@ def clean(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """NULL or nothing but whitespace; never NULL itself."""
-    return c.isNull() | (clean(c) == "")
+    # trimming one side is enough, and stops at the first character that is no whitespace
+    return c.isNull() | (F.ltrim(c, F.lit(WHITESPACE)) == "")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -67,12 +68,3 @@ def period_key(text: Column) -> Column:
         (F.length(digits) >= 5) & month.between(1, 12),
         F.concat(F.substring(digits, 1, 4), F.lit("-"), F.lpad(month.cast("string"), 2, "0")),
     )
-
-
-def month_label(text: Column) -> Column:
-    """``YYYY年MM期`` when the text names a period, else the trimmed text; blanks are NULL."""
-    t = clean(text)
-    key = period_key(t)
-    label = F.concat(F.substring(key, 1, 4), F.lit("年"), F.substring(key, 6, 2), F.lit("期"))
-    named = t.contains("年") & t.contains("期") & key.isNotNull()
-    return F.when(t == "", F.lit(None).cast("string")).when(named, label).otherwise(t)

@@ -15,6 +15,8 @@ the blocks picks the one that holds.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,12 +40,6 @@ class Guard:
     columns: tuple[str, ...]
 
 
-def _seed(df: DataFrame, name: str) -> Column:
-    """The value of ``name`` where it is not blank, else NULL."""
-    c = F.col(f"`{name}`")
-    return F.when(~is_blank(c), c) if isinstance(df.schema[name].dataType, T.StringType) else c
-
-
 def _latest(c: Column | str, over) -> Column:
     return F.last(c, ignorenulls=True).over(over)
 
@@ -82,11 +78,24 @@ def ordered_fill(
     """
     scope_keys = list(scope)
     keys = [*scope_keys, "_block"]
-    data = df.withColumn("_block", F.floor(F.col(row) / block_rows))
     guards = tuple(g for g in guards if g.column in columns and set(g.columns) & set(columns))
     guarded = {c: g for g in guards for c in g.columns if c in columns}
     sources = list(dict.fromkeys(columns.values()))
     free = list(dict.fromkeys(columns[o] for o in columns if o not in guarded))
+    # In the working rows blanks are NULL. The rare whitespace-only text is kept aside.
+    texts = [c for c in sources if isinstance(df.schema[c].dataType, T.StringType)]
+    seeds = {c: f"_s{i}" for i, c in enumerate(texts)}
+    seeded = df.withColumns({seeds[c]: F.when(~is_blank(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in texts})
+    odd = {c: F.col(f"`{c}`").isNotNull() & F.col(seeds[c]).isNull() for c in texts}
+    spaces = F.when(
+        reduce(or_, odd.values(), F.lit(False)), F.array(*[F.when(odd[c], F.col(f"`{c}`")) for c in texts])
+    )
+    data = seeded.select(
+        *[F.col(seeds[c]).alias(c) if c in seeds else F.col(f"`{c}`") for c in df.columns],
+        spaces.cast("array<string>").alias("_spaces"),
+        F.floor(F.col(row) / block_rows).alias("_block"),
+    )
+    space_of = {c: F.get("_spaces", F.lit(i)) for i, c in enumerate(texts)}
 
     # One short row per block: written once, so that no later step scans the rows for it again.
     carries = _carry(stage(_block_ends(data, keys, row, free), "block_ends"), scope_keys, free)
@@ -110,27 +119,30 @@ def ordered_fill(
     order = Window.partitionBy(*keys).orderBy("_kind", row).rowsBetween(Window.unboundedPreceding, 0)
     temp = {out: f"_f{i}" for i, out in enumerate(columns)}
 
-    def filled(out: str, seed: Column) -> Column:
-        latest = _latest(seed, order)
-        # in place, a blank with nothing above it stays as it is
-        return F.coalesce(latest, F.col(f"`{out}`")) if columns[out] == out else latest
+    def restored(value: Column, out: str) -> Column:
+        # in place, a blank with nothing above it stays as it was
+        source = columns[out]
+        return F.coalesce(value, space_of[source]) if source == out and source in space_of else value
 
-    both = both.withColumns({temp[o]: filled(o, _seed(df, columns[o])) for o in columns if o not in guarded})
+    both = both.withColumns({temp[o]: _latest(f"`{columns[o]}`", order) for o in columns if o not in guarded})
     if guarded:
         flags = {g.column: f"_shut{i}" for i, g in enumerate(guards)}
         both = both.withColumns(
             {flags[g.column]: (F.col("_kind") == 1) & _is_value(F.col(temp[g.column]), g.value) for g in guards}
         )
+        passing = {o: F.when(~F.col(flags[g.column]), F.col(f"`{columns[o]}`")) for o, g in guarded.items()}
+        both = both.withColumns({f"_p{temp[o]}": c for o, c in passing.items()})
+        both = both.withColumns({temp[o]: _latest(f"_p{temp[o]}", order) for o in guarded})
         both = both.withColumns(
             {
-                temp[o]: F.when(F.col(flags[g.column]), F.col(f"`{columns[o]}`")).otherwise(
-                    filled(o, F.when(~F.col(flags[g.column]), _seed(df, columns[o])))
-                )
+                temp[o]: F.when(F.col(flags[g.column]), F.col(f"`{columns[o]}`")).otherwise(F.col(temp[o]))
                 for o, g in guarded.items()
             }
         )
-    kept = [F.col(temp[c]).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns]
-    added = [F.col(temp[o]).alias(o) for o in columns if o not in df.columns]
+    results = {o: restored(F.col(temp[o]), o) for o in columns}
+    untouched = {c: F.coalesce(F.col(f"`{c}`"), space_of[c]) for c in texts if c not in columns}
+    kept = [results.get(c, untouched.get(c, F.col(f"`{c}`"))).alias(c) for c in df.columns]
+    added = [results[o].alias(o) for o in columns if o not in df.columns]
     return both.where("_kind = 1").select(*kept, *added)
 
 
@@ -140,7 +152,7 @@ def _is_value(c: Column, value: str) -> Column:
 
 def _block_ends(data: DataFrame, keys: list[str], row: str, columns: list[str]) -> DataFrame:
     """Last non-blank value of each column per block, combined on the map side."""
-    slim = data.select(*keys, F.col(row).alias("_at"), *[_seed(data, c).alias(c) for c in columns])
+    slim = data.select(*keys, F.col(row).alias("_at"), *[f"`{c}`" for c in columns])
     return slim.groupBy(*keys).agg(
         *[F.max_by(f"`{c}`", F.when(F.col(f"`{c}`").isNotNull(), F.col("_at"))).alias(c) for c in columns]
     )
@@ -155,7 +167,7 @@ def _guarded_ends(
     that set the guard or a held column matter, so the others are not shuffled.
     """
     slim = data.select(
-        *keys, F.col(row).alias("_at"), _seed(data, guard).alias("_g"), *[_seed(data, h).alias(h) for h in held]
+        *keys, F.col(row).alias("_at"), F.col(f"`{guard}`").alias("_g"), *[f"`{h}`" for h in held]
     )
     telling = F.col("_g").isNotNull()
     for h in held:

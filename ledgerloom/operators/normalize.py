@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ledgerloom import contract as C
 from ledgerloom.errors import InvalidInput
-from ledgerloom.functions.text import cell_text, month_label, period_key
+from ledgerloom.functions.text import cell_text, clean, period_key
 from ledgerloom.operators.fill import BLOCK_ROWS, Guard, ordered_fill
 from ledgerloom.rules import MonthRange
 
@@ -61,7 +61,15 @@ def with_month(df: DataFrame, period: str = C.PERIOD, month: str = C.MONTH) -> D
     """Derive the month label right after the period column; no period, no change."""
     if period not in df.columns:
         return df
-    return put_column(df, month, month_label(cell_text(df, period)), after=period)
+    # stepwise, so that each intermediate text is computed once per row
+    steps = df.withColumn("_text", clean(cell_text(df, period)))
+    steps = steps.withColumn("_digits", F.regexp_replace("_text", "[^0-9]+", ""))
+    steps = steps.withColumn("_no", F.substring("_digits", 5, 2).try_cast("int"))
+    named = F.col("_text").contains("年") & F.col("_text").contains("期")
+    valid = (F.length("_digits") >= 5) & F.col("_no").between(1, 12)
+    text = F.concat(F.substring("_digits", 1, 4), F.lit("年"), F.lpad(F.col("_no").cast("string"), 2, "0"), F.lit("期"))
+    label = F.when(named & valid, text).otherwise(F.nullif(F.col("_text"), F.lit("")))
+    return put_column(steps, month, label, after=period).drop("_text", "_digits", "_no")
 
 
 def in_months(df: DataFrame, months: MonthRange | None, columns: tuple[str, ...] = (C.MONTH, C.PERIOD)) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import contract as C
-from ledgerloom.functions.text import blank_to_null, cell_text
+from ledgerloom.functions.text import cell_text, clean, is_blank
 
 ROUTE = "_route"
 QTY, DETAIL, OTHER = "qty", "detail", "other"
@@ -14,15 +14,13 @@ QTY, DETAIL, OTHER = "qty", "detail", "other"
 
 def route(ledger: DataFrame) -> DataFrame:
     """Tag every row with its route and give detail rows the filled cost item, in one pass."""
-    material = blank_to_null(cell_text(ledger, C.CHILD_MATERIAL)).isNotNull()
-    item = blank_to_null(cell_text(ledger, C.COST_ITEM))
-    has_order = (
-        blank_to_null(cell_text(ledger, C.ORDER_NO)).isNotNull() if C.ORDER_NO in ledger.columns else F.lit(True)
-    )
-    expense = ~material & item.isNotNull() & (item != C.DIRECT_MATERIAL)
+    material = ~is_blank(cell_text(ledger, C.CHILD_MATERIAL))
+    item = cell_text(ledger, C.COST_ITEM)
+    has_order = ~is_blank(cell_text(ledger, C.ORDER_NO)) if C.ORDER_NO in ledger.columns else F.lit(True)
     tag = (
-        F.when(~material & item.isNull() & has_order, QTY)
-        .when(material | F.coalesce(expense, F.lit(False)), DETAIL)
+        F.when(material, DETAIL)
+        .when(is_blank(item), F.when(has_order, QTY).otherwise(OTHER))
+        .when(clean(item) != C.DIRECT_MATERIAL, DETAIL)
         .otherwise(OTHER)
     )
     tagged = ledger.withColumn(ROUTE, tag)
