@@ -56,13 +56,14 @@ def bucket_sums(standalone: dict[str, str], bucket: str = BUCKET, amount: str =
 
     A NULL amount counts as zero. Sums return to MONEY so that later arithmetic keeps its scale.
     """
-    members = {b: (b,) for b in (*BASE_BUCKETS, *standalone)} | {"moh": ("moh", *COMPONENTS)}
-    out = []
-    for name, parts in members.items():
-        listed = ", ".join(f"'{p}'" for p in parts)
-        total = f"try_cast(sum(CASE WHEN {bucket} IN ({listed}) THEN {amount} END) AS {MONEY})"
-        out.append(F.expr(f"coalesce({total}, CAST(0 AS {MONEY})) AS {name}"))
-    return out
+    zero = f"CAST(0 AS {MONEY})"
+    sums = {
+        b: f"coalesce(try_cast(sum(CASE WHEN {bucket} = '{b}' THEN {amount} END) AS {MONEY}), {zero})"
+        for b in (*BASE_BUCKETS, *standalone)
+    }
+    parts = " + ".join(sums[b] for b in ("moh", *COMPONENTS))
+    sums["moh"] = f"try_cast({parts} AS {MONEY})"
+    return [F.expr(f"{text} AS {b}") for b, text in sums.items()]
 
 
 # ------------------------------------------------------------------ prepared rows
@@ -116,14 +117,15 @@ def key_counts(valid: DataFrame) -> DataFrame:
 
 
 def prepare_routed(routed: DataFrame, rules: RuleSet) -> DataFrame:
-    """Both kinds of prepared rows from one routed ledger, without splitting the scan."""
+    """A routed ledger with what :func:`prepare_detail` and :func:`prepare_qty` add, in one pass."""
     for which, needed in ((C.DETAIL_DATASET, C.REQUIRED_DETAIL), (C.QTY_DATASET, C.REQUIRED_QTY)):
         require(routed, needed, which)
     is_qty = F.col(ROUTE) == QTY
-    rows = routed.where(F.col(ROUTE).isin(QTY, DETAIL)).withColumns(
+    is_detail = F.col(ROUTE) == DETAIL
+    rows = routed.withColumns(
         {
             KEY: work_order_key(routed),
-            BUCKET: F.when(~is_qty, cost_bucket(cell_text(routed, C.COST_ITEM), rules.standalone_buckets())),
+            BUCKET: F.when(is_detail, cost_bucket(cell_text(routed, C.COST_ITEM), rules.standalone_buckets())),
             ITEM_TEXT: cell_text(routed, C.COST_ITEM),
             AMOUNT: as_decimal(routed, C.DONE_AMOUNT),
             AMOUNT_TEXT: cell_text(routed, C.DONE_AMOUNT),

@@ -69,12 +69,15 @@ def ordered_fill(
     row: str = ROW_ID,
     scope: tuple[str, ...] = (SRC_ID,),
     block_rows: int = BLOCK_ROWS,
+    blank_text: bool = True,
 ) -> DataFrame:
     """Fill blanks with the last non-blank value above, in the order of ``row``.
 
     ``columns`` maps output name to source name; an output equal to its source replaces
     it. ``row`` is a BIGINT that rises in file order, ``scope`` names the columns a fill
     must not cross. ``guards`` refer to output names; a guard column must be filled too.
+    Whitespace-only text counts as blank; ``blank_text=False`` says that blanks are NULL
+    already, which saves testing every cell.
     """
     scope_keys = list(scope)
     keys = [*scope_keys, "_block"]
@@ -83,22 +86,24 @@ def ordered_fill(
     sources = list(dict.fromkeys(columns.values()))
     free = list(dict.fromkeys(columns[o] for o in columns if o not in guarded))
     # In the working rows blanks are NULL. The rare whitespace-only text is kept aside.
-    texts = [c for c in sources if isinstance(df.schema[c].dataType, T.StringType)]
+    texts = [c for c in sources if blank_text and isinstance(df.schema[c].dataType, T.StringType)]
     seeds = {c: f"_s{i}" for i, c in enumerate(texts)}
-    seeded = df.withColumns({seeds[c]: F.when(~is_blank(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in texts})
-    odd = {c: F.col(f"`{c}`").isNotNull() & F.col(seeds[c]).isNull() for c in texts}
-    spaces = F.when(
-        reduce(or_, odd.values(), F.lit(False)), F.array(*[F.when(odd[c], F.col(f"`{c}`")) for c in texts])
-    )
-    data = seeded.select(
-        *[F.col(seeds[c]).alias(c) if c in seeds else F.col(f"`{c}`") for c in df.columns],
-        spaces.cast("array<string>").alias("_spaces"),
-        F.floor(F.col(row) / block_rows).alias("_block"),
-    )
+    data = df.withColumn("_block", F.floor(F.col(row) / block_rows))
+    if texts:
+        data = data.withColumns({seeds[c]: F.when(~is_blank(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in texts})
+        odd = {c: F.col(f"`{c}`").isNotNull() & F.col(seeds[c]).isNull() for c in texts}
+        spaces = F.array(*[F.when(odd[c], F.col(f"`{c}`")) for c in texts])
+        data = data.select(
+            *[F.col(seeds[c]).alias(c) if c in seeds else F.col(f"`{c}`") for c in df.columns],
+            F.when(reduce(or_, odd.values()), spaces).alias("_spaces"),
+            "_block",
+        )
     space_of = {c: F.get("_spaces", F.lit(i)) for i, c in enumerate(texts)}
 
     # One short row per block: written once, so that no later step scans the rows for it again.
-    carries = _carry(stage(_block_ends(data, keys, row, free), "block_ends"), scope_keys, free)
+    in_place = [c for c in free if c in columns]
+    ends = _block_ends(data, keys, row, [in_place, [c for c in free if c not in in_place]])
+    carries = _carry(stage(ends, "block_ends"), scope_keys, free)
     for guard in guards:
         held = [columns[o] for o in guard.columns if o in columns]
         ends = stage(_guarded_ends(data, keys, row, columns[guard.column], guard.value, held), "guarded_ends")
@@ -150,12 +155,20 @@ def _is_value(c: Column, value: str) -> Column:
     return F.coalesce(clean(c.cast("string")) == value, F.lit(False))
 
 
-def _block_ends(data: DataFrame, keys: list[str], row: str, columns: list[str]) -> DataFrame:
-    """Last non-blank value of each column per block, combined on the map side."""
-    slim = data.select(*keys, F.col(row).alias("_at"), *[f"`{c}`" for c in columns])
-    return slim.groupBy(*keys).agg(
-        *[F.max_by(f"`{c}`", F.when(F.col(f"`{c}`").isNotNull(), F.col("_at"))).alias(c) for c in columns]
-    )
+def _block_ends(data: DataFrame, keys: list[str], row: str, groups: list[list[str]]) -> DataFrame:
+    """Last non-blank value of each column per block, combined on the map side.
+
+    Columns that are usually set on the same rows share a group; rows that set none of a
+    group's columns are dropped before its aggregate.
+    """
+    found = data.select(*keys).distinct()
+    for group in filter(None, groups):
+        slim = data.select(*keys, F.col(row).alias("_at"), *[f"`{c}`" for c in group])
+        ends = slim.where(reduce(or_, [F.col(f"`{c}`").isNotNull() for c in group])).groupBy(*keys).agg(
+            *[F.max_by(f"`{c}`", F.when(F.col(f"`{c}`").isNotNull(), F.col("_at"))).alias(c) for c in group]
+        )
+        found = found.join(ends, keys, "left")
+    return found
 
 
 def _guarded_ends(

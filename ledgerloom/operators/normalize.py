@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ledgerloom import contract as C
 from ledgerloom.errors import InvalidInput
-from ledgerloom.functions.text import cell_text, clean, period_key
+from ledgerloom.functions.text import cell_text, clean, is_blank, period_key
 from ledgerloom.operators.fill import BLOCK_ROWS, Guard, ordered_fill
 from ledgerloom.rules import MonthRange
 
@@ -48,6 +48,18 @@ def drop_total_rows(df: DataFrame, columns: tuple[str, ...] = C.TOTAL_COLUMNS, m
     return df.where(~reduce(or_, marked)) if marked else df
 
 
+def blank_cells_to_null(df: DataFrame) -> DataFrame:
+    """Empty and whitespace-only text cells as NULL; other text keeps its whitespace."""
+    return df.select(
+        *[
+            F.when(~is_blank(F.col(f"`{f.name}`")), F.col(f"`{f.name}`")).alias(f.name)
+            if isinstance(f.dataType, T.StringType)
+            else F.col(f"`{f.name}`")
+            for f in df.schema.fields
+        ]
+    )
+
+
 def put_column(df: DataFrame, name: str, value: Column, after: str | None = None) -> DataFrame:
     """Replace ``name`` where it stands, or insert it after ``after`` (else at the end)."""
     if name in df.columns:
@@ -101,17 +113,26 @@ def require(df: DataFrame, columns: tuple[str, ...], dataset: str) -> DataFrame:
     return df
 
 
-def normalize(ledger: DataFrame, months: MonthRange | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def normalize(
+    ledger: DataFrame,
+    months: MonthRange | None = None,
+    block_rows: int = BLOCK_ROWS,
+    blank_text: bool = True,
+) -> DataFrame:
     """Clean raw rows. The order is fixed: totals, fill, month label, month filter.
 
-    The month filter stands above the fill, so it never changes a filled value.
+    The month filter stands above the fill, so it never changes a filled value. Text cells
+    holding only whitespace become NULL; ``blank_text=False`` says there are none, as in
+    the rows of :func:`ledgerloom.sources.text.read_ledger`.
     """
     rows = drop_total_rows(canonical_names(ledger))
+    if blank_text:
+        rows = blank_cells_to_null(rows)
     fills = {c: c for c in C.FILL_COLUMNS if c in rows.columns}
     if C.COST_ITEM in rows.columns:
         fills[C.FILLED_COST_ITEM] = C.COST_ITEM
     else:
         rows = put_column(rows, C.FILLED_COST_ITEM, F.lit(None).cast("string"))
     guards = (VENDOR_GUARD,) if C.COST_CENTER in fills else ()
-    filled = ordered_fill(rows, fills, guards, block_rows=block_rows) if fills else rows
+    filled = ordered_fill(rows, fills, guards, block_rows=block_rows, blank_text=False) if fills else rows
     return in_months(with_month(filled), months)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom import contract as C
 from ledgerloom.operators import anomaly, facts, issues, quality
 from ledgerloom.operators.normalize import normalize, project
-from ledgerloom.operators.split import DETAIL, ROUTE, route
+from ledgerloom.operators.split import DETAIL, QTY, ROUTE, route
 from ledgerloom.rules import MonthRange, RuleSet
 from ledgerloom.session import stage
 from ledgerloom.sinks import tables
@@ -28,7 +28,8 @@ class CostRun:
 
     @property
     def prepared(self) -> DataFrame:
-        return facts.prepare_routed(self.routed, self.rules)
+        """Detail and quantity rows with key, bucket and decimals."""
+        return self.routed.where(F.col(ROUTE).isin(QTY, DETAIL))
 
     @property
     def detail_table(self) -> DataFrame:
@@ -87,15 +88,20 @@ class CostRun:
         return outputs
 
 
-def run(ledger: DataFrame, rules: RuleSet, months: MonthRange | None = None) -> CostRun:
+def run(
+    ledger: DataFrame, rules: RuleSet, months: MonthRange | None = None, blank_text: bool = True
+) -> CostRun:
     """Plan a run. Two tables are staged: every output is derived from one of them.
 
-    The routed ledger is partitioned by route, so each output reads only its own part;
-    the facts hold one row per valid quantity row.
+    The routed ledger holds keys, buckets and decimals of every row, so they are computed
+    once. It is partitioned by route, so each output reads only its own part;
+    the facts hold one row per valid quantity row. ``blank_text=False`` is for ledgers whose
+    blank cells are NULL already, such as those of the text reader.
     """
     reader_rows = ledger.agg(F.count(F.lit(1)).alias("reader_rows"))
-    routed = stage(route(normalize(ledger, months)), "routed", partition_by=(ROUTE,))
-    prepared = facts.prepare_routed(routed, rules)
+    routed = facts.prepare_routed(route(normalize(ledger, months, blank_text=blank_text)), rules)
+    routed = stage(routed, "routed", partition_by=(ROUTE,))
+    prepared = routed.where(F.col(ROUTE).isin(QTY, DETAIL))
     summary = facts.work_order_summary(prepared, rules)
     built = facts.build_facts(facts.valid_qty(prepared), summary, rules)
     return CostRun(rules, months, reader_rows, routed, stage(built, "facts"))

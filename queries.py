@@ -110,10 +110,16 @@ def derived_run(spark: SparkSession, sf_dir: str, months: MonthRange | None = No
     """The run over the derived ledger, planned and staged once per session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir, repr(months))
     if key not in _runs:
-        _runs[key] = costing.run(derived_ledger(spark, sf_dir), DERIVED_RULES, months)
+        _runs[key] = costing.run(derived_ledger(spark, sf_dir), DERIVED_RULES, months, blank_text=False)
     return _runs[key]
 
 
+def _plain_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routed ledger of the run without the columns its preparation added."""
+    added = (facts.KEY, facts.BUCKET, facts.ITEM_TEXT, facts.AMOUNT, facts.AMOUNT_TEXT, facts.DONE)
+    return derived_run(spark, sf_dir).routed.drop(*added, facts.TOTAL, facts.VALIDITY)
+
+
 # ------------------------------------------------------------------ normalize
 def total_row_filter(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
@@ -210,9 +216,8 @@ FACT_COLUMNS = ("key_rows", *facts.BASE_BUCKETS, "standalone_0", "standalone_1")
 
 
 def cost_bucket_pivot(spark, sf_dir):
-    run = derived_run(spark, sf_dir)
-    detail = run.prepared.where(F.col(split.ROUTE) == split.DETAIL)
-    return facts.bucket_amounts(detail, DERIVED_RULES)
+    detail = split.part(_plain_ledger(spark, sf_dir), split.DETAIL)
+    return facts.bucket_amounts(facts.prepare_detail(detail, DERIVED_RULES), DERIVED_RULES)
 
 
 def _detail_issues(spark, sf_dir, kind):
@@ -230,12 +235,12 @@ def missing_amount_audit(spark, sf_dir):
 
 
 def qty_validity(spark, sf_dir):
-    qty = split.part(derived_run(spark, sf_dir).routed, split.QTY)
+    qty = split.part(_plain_ledger(spark, sf_dir), split.QTY)
     return facts.prepare_qty(qty).groupBy(facts.VALIDITY).agg(F.count(F.lit(1)).alias("qty_rows"))
 
 
 def duplicate_keys(spark, sf_dir):
-    qty = split.part(derived_run(spark, sf_dir).routed, split.QTY)
+    qty = split.part(_plain_ledger(spark, sf_dir), split.QTY)
     return facts.key_counts(facts.valid_qty(facts.prepare_qty(qty))).where("key_rows > 1")
 
 
