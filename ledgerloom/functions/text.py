@@ -53,13 +53,17 @@ def cell_text(df: DataFrame, name: str) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def key_value(text: Column) -> Column:
-    """One part of a composite key: trimmed, and ``123.0`` becomes ``123``."""
-    t = clean(text)
+def whole_number(t: Column) -> Column:
+    """``123.0`` as ``123``; any other text as it is."""
     whole = F.substring(t, F.lit(1), F.length(t) - 2)
     return F.when(t.endswith(".0") & whole.rlike("^[0-9]+$"), whole).otherwise(t)
 
 
+def key_value(text: Column) -> Column:
+    """One part of a composite key: trimmed, and ``123.0`` becomes ``123``."""
+    return whole_number(clean(text))
+
+
 def period_key(text: Column) -> Column:
     """``YYYY-MM`` from the digits of a period text, NULL when there is no valid month."""
     digits = F.regexp_replace(text, "[^0-9]", "")

@@ -119,7 +119,7 @@ def metric_statistics(
     spread = rows.select(*pool, weight, *[f"log_{m}" for m in metrics]).join(wide, pool)
     gaps = unpivot_metrics(spread, [*pool, weight], {m: f"abs(log_{m} - center_{m})" for m in metrics})
     mads = robust.weighted_median(gaps, keys, "value", weight, buckets, "mad")
-    return wide.join(_widen(mads, pool, metrics, {"mad": "mad"}), pool)
+    return stage(wide.join(_widen(mads, pool, metrics, {"mad": "mad"}), pool), "metric_statistics")
 
 
 def with_scores(rows: DataFrame, stats: DataFrame, pool: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -204,8 +204,13 @@ def prepare(facts: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 def score(prepared: DataFrame) -> DataFrame:
-    """Scores, verdict, explanation and reasons. ``prepared`` is read several times: stage it."""
-    stats = metric_statistics(prepared, POOL)
+    """Scores, verdict, explanation and reasons.
+
+    The statistics read a narrow table of pools, weights and logs, written once. The scores
+    are computed on the full rows, which are read a single time.
+    """
+    narrow = stage(prepared.select(*POOL, DONE, *[f"log_{m}" for m in METRICS]).where("can_analyze"), "logs")
+    stats = metric_statistics(narrow, POOL)
     scored = with_verdict(with_scores(prepared, stats, POOL))
     return scored.selectExpr("*", f"{explanation()} AS explanation", f"{review_reasons()} AS review_reason")
 

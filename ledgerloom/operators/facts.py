@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import contract as C
 from ledgerloom.functions.numbers import MONEY, QUANTITY, as_decimal
-from ledgerloom.functions.text import cell_text, clean, key_value
+from ledgerloom.functions.text import cell_text, clean, key_value, whole_number
 from ledgerloom.operators import joins
 from ledgerloom.operators.normalize import require
 from ledgerloom.operators.split import DETAIL, QTY, ROUTE
@@ -16,9 +16,7 @@ from ledgerloom.sources.rows import ROW_ID
 
 KEY = "work_order_key"
 BUCKET = "bucket"
-ITEM_TEXT = "item_text"
 AMOUNT = "amount"
-AMOUNT_TEXT = "amount_text"
 DONE = "done_qty"
 TOTAL = "done_total"
 VALIDITY = "validity"
@@ -36,12 +34,12 @@ def work_order_key(df: DataFrame, parts: tuple[str, ...] | None = None) -> Colum
     return F.concat_ws("|", *[key_value(cell_text(df, p)) for p in parts])
 
 
-def cost_bucket(item: Column, standalone: dict[str, str]) -> Column:
+def cost_bucket(item: Column, standalone: dict[str, str], trimmed: bool = False) -> Column:
     """Bucket of a cost item, NULL when it is not mapped.
 
     Overhead items without a known component get the bucket ``moh``.
     """
-    item = clean(item)
+    item = item if trimmed else clean(item)
     bucket = F.when(item == C.DIRECT_MATERIAL, "dm").when(item == C.DIRECT_LABOR, "dl")
     for name, label in C.OVERHEAD_ITEMS.items():
         bucket = bucket.when(item == label, name)
@@ -67,18 +65,26 @@ def bucket_sums(standalone: dict[str, str], bucket: str = BUCKET, amount: str =
 
 
 # ------------------------------------------------------------------ prepared rows
+def _with_key(df: DataFrame) -> DataFrame:
+    """Add the key. The parts are trimmed in a step of their own, once per row."""
+    first = C.MONTH if C.MONTH in df.columns else C.PERIOD
+    parts = [p for p in (first, C.PRODUCT_CODE, C.ORDER_NO, C.ORDER_LINE)]
+    trimmed = df.withColumns({f"_part{i}": clean(cell_text(df, p)) for i, p in enumerate(parts)})
+    names = [f"_part{i}" for i in range(len(parts))]
+    return trimmed.withColumn(KEY, F.concat_ws("|", *[whole_number(F.col(n)) for n in names])).drop(*names)
+
+
+def _with_bucket(df: DataFrame, rules: RuleSet, rows: Column | None = None) -> DataFrame:
+    """Add the cost bucket of the rows chosen, with the item trimmed once per row."""
+    bucket = cost_bucket(F.col("_item"), rules.standalone_buckets(), trimmed=True)
+    tagged = df.withColumn("_item", clean(cell_text(df, C.COST_ITEM)))
+    return tagged.withColumn(BUCKET, bucket if rows is None else F.when(rows, bucket)).drop("_item")
+
+
 def prepare_detail(detail: DataFrame, rules: RuleSet) -> DataFrame:
-    """Detail rows with key, bucket, item text, amount (missing counts as 0) and amount text."""
+    """Detail rows with key, bucket and amount; an amount that is no number is NULL."""
     require(detail, C.REQUIRED_DETAIL, C.DETAIL_DATASET)
-    return detail.withColumns(
-        {
-            KEY: work_order_key(detail),
-            BUCKET: cost_bucket(cell_text(detail, C.COST_ITEM), rules.standalone_buckets()),
-            ITEM_TEXT: cell_text(detail, C.COST_ITEM),
-            AMOUNT: as_decimal(detail, C.DONE_AMOUNT),
-            AMOUNT_TEXT: cell_text(detail, C.DONE_AMOUNT),
-        }
-    )
+    return _with_bucket(_with_key(detail), rules).withColumn(AMOUNT, as_decimal(detail, C.DONE_AMOUNT))
 
 
 def prepare_qty(qty: DataFrame) -> DataFrame:
@@ -87,21 +93,18 @@ def prepare_qty(qty: DataFrame) -> DataFrame:
     The quantity is tested first: a bad quantity with a missing total counts once.
     """
     require(qty, C.REQUIRED_QTY, C.QTY_DATASET)
-    rows = qty.withColumns(
-        {
-            KEY: work_order_key(qty),
-            DONE: as_decimal(qty, C.DONE_QTY, QUANTITY),
-            TOTAL: as_decimal(qty, C.DONE_AMOUNT),
-        }
-    )
+    rows = _with_key(qty).withColumns({DONE: as_decimal(qty, C.DONE_QTY, QUANTITY), AMOUNT: as_decimal(qty, C.DONE_AMOUNT)})
+    return rows.withColumn(VALIDITY, _validity())
+
+
+def _validity() -> Column:
     positive = F.coalesce(F.col(DONE) > 0, F.lit(False))
-    return rows.withColumn(
-        VALIDITY, F.when(~positive, BAD_QTY).when(F.col(TOTAL).isNull(), NO_TOTAL).otherwise(VALID)
-    )
+    return F.when(~positive, BAD_QTY).when(F.col(AMOUNT).isNull(), NO_TOTAL).otherwise(VALID)
 
 
 def valid_qty(prepared: DataFrame) -> DataFrame:
-    return prepared.where(F.col(VALIDITY) == VALID)
+    """Rows that passed, with their completed total."""
+    return prepared.where(F.col(VALIDITY) == VALID).withColumn(TOTAL, F.col(AMOUNT))
 
 
 # ------------------------------------------------------------------ aggregation and join
@@ -120,28 +123,10 @@ def prepare_routed(routed: DataFrame, rules: RuleSet) -> DataFrame:
     """A routed ledger with what :func:`prepare_detail` and :func:`prepare_qty` add, in one pass."""
     for which, needed in ((C.DETAIL_DATASET, C.REQUIRED_DETAIL), (C.QTY_DATASET, C.REQUIRED_QTY)):
         require(routed, needed, which)
-    is_qty = F.col(ROUTE) == QTY
-    is_detail = F.col(ROUTE) == DETAIL
-    rows = routed.withColumns(
-        {
-            KEY: work_order_key(routed),
-            BUCKET: F.when(is_detail, cost_bucket(cell_text(routed, C.COST_ITEM), rules.standalone_buckets())),
-            ITEM_TEXT: cell_text(routed, C.COST_ITEM),
-            AMOUNT: as_decimal(routed, C.DONE_AMOUNT),
-            AMOUNT_TEXT: cell_text(routed, C.DONE_AMOUNT),
-            DONE: as_decimal(routed, C.DONE_QTY, QUANTITY),
-        }
-    )
-    positive = F.coalesce(F.col(DONE) > 0, F.lit(False))
-    return rows.withColumns(
-        {
-            TOTAL: F.col(AMOUNT),
-            VALIDITY: F.when(
-                is_qty,
-                F.when(~positive, BAD_QTY).when(F.col(AMOUNT).isNull(), NO_TOTAL).otherwise(VALID),
-            ),
-        }
+    rows = _with_bucket(_with_key(routed), rules, F.col(ROUTE) == DETAIL).withColumns(
+        {AMOUNT: as_decimal(routed, C.DONE_AMOUNT), DONE: as_decimal(routed, C.DONE_QTY, QUANTITY)}
     )
+    return rows.withColumn(VALIDITY, F.when(F.col(ROUTE) == QTY, _validity()))
 
 
 def work_order_summary(prepared: DataFrame, rules: RuleSet) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import contract as C
-from ledgerloom.functions.text import is_blank, plain_number
-from ledgerloom.operators.facts import AMOUNT, AMOUNT_TEXT, BUCKET, ITEM_TEXT, KEY, TOTAL
+from ledgerloom.functions.text import cell_text, is_blank, plain_number
+from ledgerloom.operators.facts import AMOUNT, BUCKET, KEY, TOTAL
 from ledgerloom.rules import RuleSet
 from ledgerloom.sources.rows import ROW_ID
 
@@ -41,13 +41,14 @@ def _explode(df: DataFrame, findings: list[Column]) -> DataFrame:
 
 def detail_issues(prepared_detail: DataFrame) -> DataFrame:
     """Unmapped cost items and missing amounts. A blank unmapped item is no finding."""
-    unmapped = F.col(BUCKET).isNull() & ~is_blank(F.col(ITEM_TEXT))
+    item, amount = cell_text(prepared_detail, C.COST_ITEM), cell_text(prepared_detail, C.DONE_AMOUNT)
+    unmapped = F.col(BUCKET).isNull() & ~is_blank(item)
     missing = F.col(BUCKET).isNotNull() & F.col(AMOUNT).isNull()
     return _explode(
         prepared_detail.where(unmapped | missing),
         [
-            _finding(unmapped, "UNMAPPED_COST_ITEM", F.col(ITEM_TEXT), 0),
-            _finding(missing, "MISSING_AMOUNT", F.col(AMOUNT_TEXT), 0),
+            _finding(unmapped, "UNMAPPED_COST_ITEM", item, 0),
+            _finding(missing, "MISSING_AMOUNT", amount, 0),
         ],
     )
 

@@ -15,12 +15,12 @@ QTY, DETAIL, OTHER = "qty", "detail", "other"
 def route(ledger: DataFrame) -> DataFrame:
     """Tag every row with its route and give detail rows the filled cost item, in one pass."""
     material = ~is_blank(cell_text(ledger, C.CHILD_MATERIAL))
-    item = cell_text(ledger, C.COST_ITEM)
+    item = clean(cell_text(ledger, C.COST_ITEM))
     has_order = ~is_blank(cell_text(ledger, C.ORDER_NO)) if C.ORDER_NO in ledger.columns else F.lit(True)
     tag = (
         F.when(material, DETAIL)
-        .when(is_blank(item), F.when(has_order, QTY).otherwise(OTHER))
-        .when(clean(item) != C.DIRECT_MATERIAL, DETAIL)
+        .when(item == "", F.when(has_order, QTY).otherwise(OTHER))
+        .when(item != C.DIRECT_MATERIAL, DETAIL)
         .otherwise(OTHER)
     )
     tagged = ledger.withColumn(ROUTE, tag)

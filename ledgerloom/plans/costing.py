@@ -40,8 +40,8 @@ class CostRun:
         return facts.quantity_table(self.facts, self.rules)
 
     def scored(self) -> DataFrame:
-        """Scored work orders. The rows are staged because every statistic reads them again."""
-        return anomaly.score(stage(anomaly.prepare(self.facts, self.rules), "work_orders"))
+        """Scored work orders."""
+        return anomaly.score(anomaly.prepare(self.facts, self.rules))
 
     def analysis_table(self, ordered: bool = False) -> DataFrame:
         return anomaly.analysis_table(self.scored(), self.rules, ordered)

@@ -116,8 +116,8 @@ def derived_run(spark: SparkSession, sf_dir: str, months: MonthRange | None = No
 
 def _plain_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The routed ledger of the run without the columns its preparation added."""
-    added = (facts.KEY, facts.BUCKET, facts.ITEM_TEXT, facts.AMOUNT, facts.AMOUNT_TEXT, facts.DONE)
-    return derived_run(spark, sf_dir).routed.drop(*added, facts.TOTAL, facts.VALIDITY)
+    added = (facts.KEY, facts.BUCKET, facts.AMOUNT, facts.DONE, facts.VALIDITY)
+    return derived_run(spark, sf_dir).routed.drop(*added)
 
 
 # ------------------------------------------------------------------ normalize
