@@ -196,7 +196,7 @@ DOC_TYPE_SCOPES = {
 LEVEL_HIGH, LEVEL_WATCH, LEVEL_NORMAL = "高度可疑", "关注", "正常"
 HIGH_LIMIT, WATCH_LIMIT = 3.5, 2.5
 Z_SCALE = 0.6745
-MIN_LOG_MAD = 0.004987541511038968  # log1p(0.005)
+MIN_LOG_MAD = 0.004987541511038968  # about log1p(0.005)
 MIN_POOL_SIZE = 3
 # metric -> (unit-cost column, source label, label in explanations), in report order
 METRICS = {

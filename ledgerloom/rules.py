@@ -15,6 +15,11 @@ from ledgerloom.functions.text import clean
 PRODUCT_SCHEMA = "code string, name string, display_order int"
 # A whitelist is configuration. Above this size it is joined without a broadcast.
 MAX_BROADCAST_PRODUCTS = 10_000
+# breaches in the order in which they are reported
+PROBLEMS = (
+    "blank_code", "untrimmed_code", "blank_name", "untrimmed_name", "duplicate_code", "duplicate_pair",
+    "duplicate_display_order", "display_order_not_increasing",
+)
 _MONTH = re.compile(r"[0-9]{4}-(0[1-9]|1[0-2])", re.ASCII)
 
 
@@ -116,7 +121,8 @@ def validate(spark: SparkSession, rules: RuleSet) -> RuleSet:
     table = spark.createDataFrame(
         [(i, *p) for i, p in enumerate(rules.products)], "position int, " + PRODUCT_SCHEMA
     )
-    problem = product_problems(table, "position").orderBy("problem", "display_order").first()
+    rank = F.array_position(F.array(*[F.lit(p) for p in PROBLEMS]), F.col("problem"))
+    problem = product_problems(table, "position").orderBy(rank, "display_order").first()
     if problem is not None:
         raise InvalidInput(f"product list: {problem['problem']} at {problem['code']!r}")
     return rules

@@ -39,7 +39,7 @@ def typed(df: DataFrame, kind: str = "decimal(38,18)") -> DataFrame:
     number = {c: F.btrim(F.col(f"`{c}`")).try_cast(kind) for c in texts}
     odd = F.array(
         *[
-            F.when(F.col(f"`{c}`").isNotNull() & number[c].isNull(), F.struct(F.lit(c), F.col(f"`{c}`")))
+            F.when(F.col(f"`{c}`").isNotNull() & number[c].isNull(), F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("text")))
             for c in texts
         ]
     )

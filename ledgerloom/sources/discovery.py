@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from ledgerloom.errors import InputNotFound, InvalidInput
 from ledgerloom.functions.text import is_blank
@@ -22,13 +22,9 @@ def caseless_glob(pattern: str) -> str:
 
 def discover(spark: SparkSession, folder: str, pattern: str, exactly_one: bool = True) -> DataFrame:
     """Files ``(path, length)`` in ``folder`` whose name matches ``pattern``."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", caseless_glob(pattern))
-        .load(folder)
-        .select("path", "length")
-    )
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", caseless_glob(pattern))
     try:
+        files = reader.load(folder).select("path", "length")
         found = files.take(2)
     except AnalysisException as error:
         raise InputNotFound(f"{folder}: {pattern}") from error
