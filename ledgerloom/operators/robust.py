@@ -125,7 +125,11 @@ def grade(score: Column) -> Column:
 def pool_statistics(
     df: DataFrame, pool: list[str], value: str, weight: str, buckets: tuple[Bucket, ...] = LOG_BUCKETS
 ) -> DataFrame:
-    """Median, raw MAD and size of each pool with at least MIN_POOL_SIZE values."""
+    """Median, raw MAD and size of each pool with at least MIN_POOL_SIZE values.
+
+    The few columns needed are written once, as every search step reads them again.
+    """
+    df = stage(df.select(*pool, value, weight), "pool_values")
     centers = weighted_median(df, pool, value, weight, buckets).where(F.col("pool_rows") >= C.MIN_POOL_SIZE)
     centers = stage(centers, "centers")
     mads = weighted_mad(df, pool, value, weight, centers, buckets)

@@ -405,15 +405,16 @@ PRICE_POOL = ["p_brand", "p_type"]
 
 def weighted_median(spark, sf_dir):
     """Weighted median unit price per pool. Prices are positive, so log-width buckets order them."""
-    buckets = (lambda v: F.floor(F.ln(v.cast("double")) * 64), lambda v: F.floor(v * 16))
-    return robust.weighted_median(_prices(spark, sf_dir), PRICE_POOL, "price", "weight", buckets).select(
+    buckets = (lambda v: F.floor(F.ln(v.cast("double")) * 8), lambda v: F.floor(v * 16))
+    prices = stage(_prices(spark, sf_dir).select(*PRICE_POOL, "price", "weight"), "prices")
+    return robust.weighted_median(prices, PRICE_POOL, "price", "weight", buckets).select(
         *PRICE_POOL, F.round("median", 8).cast("double").alias("median"), "pool_rows"
     )
 
 
 def weighted_mad(spark, sf_dir):
-    prices = _prices(spark, sf_dir)
-    centers = robust.weighted_median(prices, PRICE_POOL, "log_price", "weight")
+    prices = stage(_prices(spark, sf_dir).select(*PRICE_POOL, "log_price", "weight"), "prices")
+    centers = stage(robust.weighted_median(prices, PRICE_POOL, "log_price", "weight"), "centers")
     return robust.weighted_mad(prices, PRICE_POOL, "log_price", "weight", centers).select(
         *PRICE_POOL, F.round("mad", 8).alias("mad")
     )
