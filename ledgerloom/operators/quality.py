@@ -97,8 +97,9 @@ def run_record(
 ) -> DataFrame:
     """One audit row: status, rule set, filter, inputs, outputs, counts, metrics and issues.
 
-    Only report-sized tables (ten metrics, at most six issue types, the input files of
-    the run) are gathered.
+    Only report-sized tables (ten metrics, at most six issue types) are gathered. Inputs,
+    of which there may be many, are summed up: number, bytes, the SHA-256 of a single file,
+    and a fingerprint over all of them that does not depend on their order.
     """
     metrics = quality.agg(
         F.array_sort(F.collect_list(F.struct("position", "category", "metric", "value", "description"))).alias(
@@ -115,7 +116,14 @@ def run_record(
     for part in (metrics, issues):
         out = out.join(part.withColumn("_k", F.lit(1)), "_k")
     if inputs is not None:
-        files = inputs.agg(F.array_sort(F.collect_list(F.struct(*inputs.columns))).alias("inputs"))
+        files = inputs.agg(
+            F.struct(
+                F.count(F.lit(1)).alias("files"),
+                F.sum("size").alias("bytes"),
+                F.when(F.count(F.lit(1)) == 1, F.max("sha256")).alias("sha256"),
+                F.bit_xor(F.xxhash64("path", "sha256")).alias("fingerprint"),
+            ).alias("inputs")
+        )
         out = out.join(files.withColumn("_k", F.lit(1)), "_k")
     targets = F.create_map(*[F.lit(x) for kv in (outputs or {}).items() for x in kv]) if outputs else F.lit(None)
     return out.drop("_k").select(

@@ -74,7 +74,7 @@ class CostRun:
         return quality.run_record(self.rules.name, span, self.counts, self.quality, counts, inputs, outputs)
 
     def publish(self, target: str, fmt: str = "parquet", inputs: DataFrame | None = None) -> dict[str, str]:
-        """Write the tables, the issue log and, last of all, the run record."""
+        """Write the tables, the issue log, the input list and, last of all, the run record."""
         outputs = tables.publish(
             {
                 C.DETAIL_TABLE: tables.typed(self.detail_table),
@@ -84,7 +84,10 @@ class CostRun:
             target,
             fmt,
         )
-        tables.publish_record(self.record(inputs, outputs), target)
+        tables.publish_log(self.issues.orderBy(*issues.ORDER).select(*issues.FIELDS), target, tables.ISSUE_LOG)
+        if inputs is not None:
+            tables.publish_log(inputs, target, tables.INPUT_LIST)
+        tables.publish_log(self.record(inputs, outputs), target, tables.RUN_RECORD)
         return outputs
 
 

@@ -11,6 +11,8 @@ from ledgerloom import contract as C
 from ledgerloom.errors import InvalidInput, OutputExists
 
 RUN_RECORD = "run_record"
+ISSUE_LOG = "issue_log"
+INPUT_LIST = "inputs"
 NON_NUMERIC = "non_numeric_cells"
 
 
@@ -71,10 +73,10 @@ def publish(tables: dict[str, DataFrame], target: str, fmt: str = "parquet") ->
     return paths
 
 
-def publish_record(record: DataFrame, target: str) -> str:
-    """Write the run record as JSON; it is written last and so marks a finished run."""
-    path = f"{target.rstrip('/')}/{RUN_RECORD}"
-    if exists(record.sparkSession, path):
+def publish_log(rows: DataFrame, target: str, name: str) -> str:
+    """Write an audit table as JSON. The run record comes last and so marks a finished run."""
+    path = f"{target.rstrip('/')}/{name}"
+    if exists(rows.sparkSession, path):
         raise OutputExists(path)
-    record.write.mode("errorifexists").json(path)
+    rows.write.mode("errorifexists").json(path)
     return path

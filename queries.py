@@ -12,7 +12,7 @@ from ledgerloom import rules as R
 from ledgerloom.functions import text as X
 from ledgerloom.operators import anomaly, diff, facts, issues, normalize, robust, split
 from ledgerloom.operators.fill import Guard, ordered_fill
-from ledgerloom.plans import costing
+from ledgerloom.plans import ledger_run
 from ledgerloom.rules import MonthRange, RuleSet
 from ledgerloom.session import stage, staging_root
 from ledgerloom.sources import discovery
@@ -103,14 +103,14 @@ def derived_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_runs: dict[tuple[str, str, str], costing.CostRun] = {}
+_runs: dict[tuple[str, str, str], ledger_run.CostRun] = {}
 
 
-def derived_run(spark: SparkSession, sf_dir: str, months: MonthRange | None = None) -> costing.CostRun:
+def derived_run(spark: SparkSession, sf_dir: str, months: MonthRange | None = None) -> ledger_run.CostRun:
     """The run over the derived ledger, planned and staged once per session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir, repr(months))
     if key not in _runs:
-        _runs[key] = costing.run(derived_ledger(spark, sf_dir), DERIVED_RULES, months, blank_text=False)
+        _runs[key] = ledger_run.run(derived_ledger(spark, sf_dir), DERIVED_RULES, months, blank_text=False)
     return _runs[key]
 
 

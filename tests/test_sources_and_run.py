@@ -7,7 +7,7 @@ from ledgerloom import contract as C
 from ledgerloom import rules as R
 from ledgerloom.errors import InputNotFound, InvalidInput, OutputExists
 from ledgerloom.operators import diff, issues
-from ledgerloom.plans import costing
+from ledgerloom.plans import ledger_run
 from ledgerloom.rules import MonthRange, RuleSet
 from ledgerloom.sinks import tables
 from ledgerloom.sources import discovery
@@ -81,7 +81,7 @@ def test_null_profile(spark):
 # ------------------------------------------------------------------ whole run
 def test_synthetic_ledger_run(spark, tmp_path):
     rules = RuleSet("sk", C.STANDALONE_ITEMS["sk"])
-    run = costing.run(synthetic_ledger(spark, SK, 50), rules)
+    run = ledger_run.run(synthetic_ledger(spark, SK, 50), rules)
     counts = run.counts.first()
     assert (counts["reader_rows"], counts["detail_rows"], counts["qty_output_rows"]) == (55, 4, 50)
     # the direct-material row has no child material, so it is neither detail nor quantity
@@ -90,8 +90,13 @@ def test_synthetic_ledger_run(spark, tmp_path):
     record = run.record(outputs={"t": "p"}).first()
     assert record["rule_set"] == "sk" and record["issue_total"] == sum(by_type.values())
     assert record["issue_type_counts"] == by_type and len(record["quality_metrics"]) == 10
-    paths = run.publish(str(tmp_path / "out"))
+    files = spark.createDataFrame([("p", 3, "ab")], "path string, size bigint, sha256 string")
+    paths = run.publish(str(tmp_path / "out"), inputs=files)
     assert list(paths) == list(C.OUTPUT_TABLES)
+    written = spark.read.json(str(tmp_path / "out" / tables.RUN_RECORD)).first()["inputs"]
+    assert (written["files"], written["bytes"], written["sha256"]) == (1, 3, "ab")
+    log = [r["issue_type"] for r in spark.read.json(str(tmp_path / "out" / tables.ISSUE_LOG)).collect()]
+    assert len(log) == sum(by_type.values()) and log[0] == "TOTAL_COST_MISMATCH"
     assert spark.read.parquet(paths[C.QTY_TABLE]).count() == 50
     assert spark.read.json(str(tmp_path / "out" / tables.RUN_RECORD)).count() == 1
     with pytest.raises(OutputExists):
@@ -99,7 +104,7 @@ def test_synthetic_ledger_run(spark, tmp_path):
 
 
 def test_month_filter_that_leaves_nothing(spark):
-    run = costing.run(synthetic_ledger(spark, GB, 3), OPEN_GB, MonthRange("2030-01"))
+    run = ledger_run.run(synthetic_ledger(spark, GB, 3), OPEN_GB, MonthRange("2030-01"))
     values = [r["value"] for r in run.quality.orderBy("position").collect()]
     assert values == ["0", "0", "0", "0", "0", "0", "N/A", "0", "0", "N/A"]
 
@@ -110,7 +115,7 @@ def test_text_file_to_tables_with_whitespace_cells(spark, tmp_path):
         "2026年1期,P,N,W1,1,,10,105,汇报入库-普通生产,n/a", "　, , ,,,直接人工,,100,,", ",,,,,委外加工费,,5,,7", "合计,,,,,,,205,,",
     ]
     (tmp_path / "in.csv").write_text("\n".join(lines) + "\n")
-    run = costing.run(read_ledger(spark, str(tmp_path / "in.csv")), OPEN_GB)
+    run = ledger_run.run(read_ledger(spark, str(tmp_path / "in.csv")), OPEN_GB)
     fact = run.facts.first()
     assert (fact["dl"], fact["standalone_0"], fact["total_matches"], fact["work_order_key"]) == (100, 5, True, "2026年01期|P|W1|1")
     assert run.detail_table.count() == 2
