@@ -15,7 +15,7 @@ SAMPLE_DOCS = 128
 SAMPLE_CHARS = 2_000
 DICTIONARY_BYTES = 64_000
 MAX_LANGUAGES = 200
-LEVEL = 1
+LEVEL = 6
 # A result is rejected if the second language needs less than this share of bytes more.
 MIN_MARGIN = 0.005
 # How fast the score leaves 0.5 with the ratio of the two smallest sizes.
@@ -50,12 +50,11 @@ def learn_dictionaries(
     rows = sampled.limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    # zstandard finds matches near the end of a dictionary cheapest; any order will do
-    return {r["lang"]: "\n".join(x["text"] for x in r["rows"]).encode()[:DICTIONARY_BYTES] for r in rows}
+    return {r["lang"]: "\n".join(x["text"] for x in r["rows"]).lower().encode()[:DICTIONARY_BYTES] for r in rows}
 
 
 class Compressors:
-    """Smallest encoding over the languages' dictionaries."""
+    """Smallest encoding of lower-cased text over the languages' dictionaries."""
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
         self.coders = []
@@ -73,7 +72,7 @@ class Compressors:
         """
         if not self.coders or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0, False
-        data = text.encode()
+        data = text.lower().encode()
         sizes = sorted((len(coder.compress(data)), lang) for lang, coder in self.coders)
         best, lang = sizes[0]
         second = sizes[1][0] if len(sizes) > 1 else 2 * best

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, mixing, quality_model, quality_rules, simhash
+from ledgerloom.llm import embeddings, langid, mixing, packing, quality_model, quality_rules, simhash, warc
 from ledgerloom.llm.common import fold, table
+from ledgerloom.session import stage, staging_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,11 +23,40 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of equal-label vectors at cosine 0.93."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document by weighted fair queueing."""
     return mixing.fair_mix(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives and read back, revisits resolved."""
+    path = f"{staging_root(spark)}/ledgerloom/{uuid.uuid4().hex}/archives"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    read = warc.payloads(warc.reassemble(warc.read_records(spark, path)))
+    known = stage(
+        read.select(
+            "record_id",
+            F.col("page_id").cast("long").alias("page_id"),
+            F.col("type").alias("record_type"),
+            "refers_to",
+            F.octet_length("payload").cast("long").alias("payload_bytes"),
+            F.sha2("payload", 256).alias("payload_digest"),
+        ),
+        "pages_read",
+    )
+    full = known.where("record_type = 'response'")
+    revisits = known.where("record_type = 'revisit'").select("page_id", "record_type", F.col("refers_to").alias("record_id"))
+    referred = full.select("record_id", F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    resolved = revisits.join(referred, "record_id", "left")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return full.withColumn("refers_to", F.lit(None).cast("long")).select(names).unionByName(resolved.select(names))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of risk-controlled rules per language."""
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -44,11 +75,24 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 ids along a Hilbert curve."""
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op4_fair_mix": op4_fair_mix,
+        "op5_warc": op5_warc,
         "op6_quality_rules": op6_quality_rules,
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
+        "op10_curve_packing": op10_curve_packing,
     }
