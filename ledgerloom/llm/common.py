@@ -58,13 +58,15 @@ def map_frames(df: DataFrame, function: Callable, schema) -> DataFrame:
     return df.mapInPandas(function, schema)
 
 
-def text_slices(batches: Iterator[pd.DataFrame], text: str = "text") -> Iterator[pd.DataFrame]:
-    """Cut batches of rows into runs of at most SLICE_CHARS characters; a longer text stands alone.
+def text_slices(
+    batches: Iterator[pd.DataFrame], text: str = "text", most: int = SLICE_CHARS
+) -> Iterator[pd.DataFrame]:
+    """Cut batches of rows into runs of about ``most`` characters; a longer text ends its run.
 
     Null texts become empty ones.
     """
     for frame in batches:
         frame = frame.assign(**{text: frame[text].fillna("")})
-        ends = frame[text].str.len().cumsum().to_numpy() // SLICE_CHARS
+        ends = frame[text].str.len().cumsum().to_numpy() // most
         for _, part in frame.groupby(ends, sort=False):
             yield part

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import embeddings, langid, mixing, packing, quality_model, quality_rules, simhash, warc
+from ledgerloom.llm import embeddings, langid, mixing, packing, quality_model, quality_rules, simhash, suffix, warc
 from ledgerloom.llm.common import fold, table
 from ledgerloom.session import stage, staging_root
 
@@ -62,6 +62,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a 100-byte string starting earlier covers."""
+    cut = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language by the smallest encoding; learned outside fold 2 of 4."""
     docs = table(spark, sf_dir, "documents")
@@ -92,6 +105,7 @@ def llm_queries() -> dict[str, Query]:
         "op4_fair_mix": op4_fair_mix,
         "op5_warc": op5_warc,
         "op6_quality_rules": op6_quality_rules,
+        "op7_repeated_passages": op7_repeated_passages,
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
         "op10_curve_packing": op10_curve_packing,
