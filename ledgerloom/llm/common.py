@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import stage
+
 # Words are runs of anything but these six bytes; bytes.split() cuts at the same six.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 # Characters a task handles at a time, so that its memory follows the longest text only.
@@ -70,3 +72,14 @@ def text_slices(
         ends = frame[text].str.len().cumsum().to_numpy() // most
         for _, part in frame.groupby(ends, sort=False):
             yield part
+
+
+def with_row(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Written copy of ``docs`` with a column that numbers its rows, and that column's name.
+
+    The written copy fixes the numbers: rows that repeat an id stay apart in every later join.
+    """
+    column = "_row"
+    while column in docs.columns:
+        column += "_"
+    return stage(docs.withColumn(column, F.monotonically_increasing_id()), name), column

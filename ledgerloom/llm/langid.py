@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_frames, text_slices
+from ledgerloom.llm.common import map_frames, ship, text_slices
 
 UNKNOWN = "und"
 # Bounds of the training sample of a language: documents, characters of each, dictionary bytes.
@@ -108,11 +109,13 @@ def identify(
 
 
 def accepted_rows(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns as they are, whose language is told apart by a wide enough margin."""
+    """Rows of ``docs``, all columns as they are, whose language is told by a wide enough margin."""
 
     def run(batches):
         model = Compressors(dictionaries)
-        for frame in batches:
-            yield frame[[model.predict(t)[3] if isinstance(t, str) else False for t in frame[text_col]]]
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            yield batch.filter(pa.array([model.predict(t)[3] for t in texts], type=pa.bool_()))
 
-    return map_frames(docs, run, docs.schema)
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

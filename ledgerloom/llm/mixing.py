@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import word_count
+from ledgerloom.llm.common import with_row, word_count
 from ledgerloom.llm.ordering import range_sorted, running_total
 from ledgerloom.session import stage
 
@@ -67,11 +67,12 @@ def fair_mix(
     weights: tuple[int, ...] = WEIGHTS,
     budget_share: float = BUDGET_SHARE,
     passes: int = MAX_PASSES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Words the mix takes of every document.
 
     Returns one row per row of ``docs``: ``id_col``, ``size`` (words; null text 0), ``source_size``,
-    ``target`` of its source and ``taken``. Every source is a queue of its documents in shuffled
+    ``target`` of its source, ``taken`` and the columns named in ``carry``. Every source is a queue of its documents in shuffled
     order, gone through ``passes`` times. A copy's virtual finish time is the words of its source
     up to its end divided by the target. All copies are range-sorted by finish time and taken
     while their words fit into the total budget. Whole copies are taken, so ``taken`` is a multiple
@@ -79,7 +80,8 @@ def fair_mix(
     their own; an empty table or one without words takes nothing.
     """
     sizes = stage(
-        docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
+        docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"),
+            F.struct(F.lit(0), *carry).alias("_carry"))
         .withColumn("place", shuffle_key("_id")),
         "sizes",
     )
@@ -92,7 +94,7 @@ def fair_mix(
     placed = stage(
         queued.join(starts, queued["source"].eqNullSafe(starts["source"]))
         .select(
-            "_id", "size", "place", "source_rank", "source_size", "target", "budget",
+            "_id", "_carry", "size", "place", "source_rank", "source_size", "target", "budget",
             (F.col("_so_far") - F.col("_start")).alias("_words"),
             F.monotonically_increasing_id().alias("_row"),
         ),
@@ -113,4 +115,13 @@ def fair_mix(
         "source_size",
         "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        *[F.col("_carry")[c].alias(c) for c in carry],
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them: not at all, once, or once for each pass."""
+    rows, row = with_row(docs, "documents")
+    mix = fair_mix(rows, id_col, text_col, source_col, carry=(row,))
+    times = mix.where("taken > 0").select(row, F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
+    return rows.join(times.select(row), row).select(docs.columns)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_frames, text_slices
+from ledgerloom.llm.common import map_frames, text_slices, with_row
 from ledgerloom.llm.components import components
 from ledgerloom.session import stage
 
@@ -71,23 +71,40 @@ def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 
 
+def _rooted(classes: DataFrame) -> DataFrame:
+    """``classes`` (distinct ``fp``) with the ``root`` of each one's component."""
+    roots = components(ball_links(classes.select("fp"))).withColumnRenamed("node", "fp")
+    return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint and near-duplicate class of every document.
 
     Returns ``id_col``, ``fingerprint`` (16 lower-case hex digits) and ``component_id`` (smallest
-    id reachable over links of at most two differing bits, itself included; a null id only
-    stands for a class in which every id is null). Equal fingerprints are collapsed
-    before any comparison, so copies of one text cost one row. Repeated rows stay, an empty
-    table gives no rows, other columns of ``docs`` are not read.
+    id reachable over links of at most two differing bits, itself included; null only if every
+    id of the class is null). Equal fingerprints are collapsed before any comparison, so
+    copies of one text cost one row. Repeated rows stay, an empty table gives no rows, other
+    columns of ``docs`` are not read.
     """
     staged = stage(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = stage(staged.groupBy("fp").agg(F.min(id_col).alias("first_id")), "classes")
-    roots = components(ball_links(classes.select("fp")))
-    linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
+    linked = stage(_rooted(classes), "rooted")
     firsts = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = linked.join(firsts, "root").select("fp", "component_id")
     return staged.join(by_fp, "fp").select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` with one document of each near-duplicate class: that of the smallest id.
+
+    Null ids come last; rows that repeat an id count one by one, so exactly one row stays.
+    """
+    rows, row = with_row(docs, "documents")
+    own = rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    staged = stage(fingerprints(own, "row").join(own.select("row", "id"), "row"), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
+    classes = stage(staged.groupBy("fp").agg(first), "classes")
+    kept = _rooted(classes).groupBy("root").agg(F.min("first").alias("first"))
+    return rows.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(docs.columns)

@@ -35,17 +35,23 @@ _OPEN, _SENT, _REPEAT, _SPLIT = range(4)  # states of a sample, see _sample_fram
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``ord`` (place in the order of ids), ``id`` and ``text``. Unique integers are their own place."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """``ord`` (place in the order of ids), ``id``, ``text`` and all columns as struct ``rest``.
+
+    Unique non-negative integers are their own place.
+    """
+    base = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+        F.struct([c for c in docs.columns if c != text_col]).alias("rest"),
+    )
     if isinstance(base.schema["id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         twice = base.groupBy("id").agg(F.count("*").alias("n")).where("id IS NULL OR id < 0 OR n > 1")
         if twice.isEmpty():
-            return base.select(F.col("id").cast("long").alias("ord"), "id", "text")
+            return base.select(F.col("id").cast("long").alias("ord"), "id", "text", "rest")
     rows = stage(base.withColumn("row", F.monotonically_increasing_id()), "texts")
     order = [F.col("id").asc_nulls_last(), F.col("row")]
     slim = range_sorted(rows.select("id", "row", F.lit(1).alias("one")), order, "order")
     places = running_total(slim, order, "one", "ord").select("row", F.col("ord").cast("long").alias("ord"))
-    return rows.join(stage(places, "places"), "row").select("ord", "id", "text")
+    return rows.join(stage(places, "places"), "row").select("ord", "id", "text", "rest")
 
 
 def _pack(at, low, high, state):
@@ -136,17 +142,14 @@ def _ranked_samples(texts: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def _packed_texts(texts: DataFrame) -> DataFrame:
-    """``ord``, ``id`` and the text's UTF-8 bytes, compressed for the shuffle."""
-    kind = texts.schema["id"].dataType.simpleString()
+    """``ord`` and the text's UTF-8 bytes, compressed for the shuffle."""
 
     def run(batches):
         coder = zstandard.ZstdCompressor(level=3)
         for part in text_slices(batches):
-            yield pd.DataFrame(
-                {"ord": part["ord"], "id": part["id"], "packed": [coder.compress(t.encode()) for t in part["text"]]}
-            )
+            yield pd.DataFrame({"ord": part["ord"], "packed": [coder.compress(t.encode()) for t in part["text"]]})
 
-    return map_frames(texts.select("ord", "id", "text"), run, f"ord long, id {kind}, packed binary")
+    return map_frames(texts.select("ord", "text"), run, "ord long, packed binary")
 
 
 def _thirds(texts: DataFrame, split: DataFrame, window: int, seed: int) -> DataFrame:
@@ -219,25 +222,10 @@ def _repeated_windows(thirds: DataFrame, window: int) -> DataFrame:
     )
 
 
-def remove_repeats(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    window: int = WINDOW,
-    seed: int = SEED,
-) -> DataFrame:
-    """Texts without the bytes covered by a ``window``-byte string that also starts earlier.
-
-    Earlier is a smaller id, or an earlier start in the same text; strings are judged on the
-    input and may overlap. Returns per row ``id_col``, ``n_bytes``, ``spans`` (maximal removed
-    runs, array of start and end) and ``kept`` (the other bytes; cut anywhere, so maybe within
-    a character). Null texts are empty. Rows that repeat an id are texts in the order of their
-    reading, rows without an id come last. ``seed`` is a power of two below ``window`` (at most
-    127 longer). Memory of a task follows its longest text.
-    """
+def _cut(texts: DataFrame, window: int, seed: int) -> DataFrame:
+    """``ord``, ``n_bytes``, ``spans`` and ``kept`` of numbered texts."""
     if seed & (seed - 1) or not 0 <= window - seed <= 127:
         raise ValueError("seed must be a power of two, at most 127 below window")
-    texts = _numbered(docs, id_col, text_col)
     marks = stage(_ranked_samples(texts, window, seed), "marks")
     single = _repeated_windows(_thirds(texts, marks.where("split"), window, seed), window)
     at = F.shiftright("at", 16)
@@ -249,21 +237,61 @@ def remove_repeats(
     spans = whole.unionByName(single).groupBy("ord").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")
     )
-    kind = texts.schema["id"].dataType.simpleString()
 
     def cut(batches):
         coder = zstandard.ZstdDecompressor()
         for frame in batches:
             rows = []
-            for id_, packed, own in zip(frame["id"], frame["packed"], frame["spans"], strict=True):
+            for order, packed, own in zip(frame["ord"], frame["packed"], frame["spans"], strict=True):
                 raw = coder.decompress(packed)
                 pairs = np.array([(x["start"], x["end"]) for x in (own if own is not None else ())], dtype=np.int64)
                 start, end = P.merge_spans(*pairs.reshape(-1, 2).T)
                 runs = [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                rows.append((id_, len(raw), runs, P.cut_spans(raw, start, end)))
-            out = pd.DataFrame(rows, columns=["id", "n_bytes", "spans", "kept"])
-            yield out.astype({"id": frame["id"].dtype})
+                rows.append((order, len(raw), runs, P.cut_spans(raw, start, end)))
+            yield pd.DataFrame(rows, columns=["ord", "n_bytes", "spans", "kept"])
+
+    joined = _packed_texts(texts).join(spans, "ord", "left").select("ord", "packed", "spans")
+    schema = "ord long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+    return map_frames(joined, cut, schema)
+
 
-    joined = _packed_texts(texts).join(spans, "ord", "left").select("id", "packed", "spans")
-    schema = f"id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    return map_frames(joined, cut, schema).withColumnRenamed("id", id_col)
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    seed: int = SEED,
+) -> DataFrame:
+    """Texts without the bytes covered by a ``window``-byte string that also starts earlier.
+
+    Earlier is a smaller id, or an earlier start in the same text; strings are judged on the
+    input and may overlap. Returns per row ``id_col``, ``n_bytes``, ``spans`` (maximal removed
+    runs, array of start and end) and ``kept`` (the other bytes; cut anywhere, so maybe within
+    a character). Null texts are empty. Rows that repeat an id are texts in the order of their
+    reading, rows without an id come last. ``seed`` is a power of two below ``window`` (at most
+    127 less). Memory of a task follows its longest text.
+    """
+    texts = _numbered(docs, id_col, text_col)
+    cut = _cut(texts, window, seed)
+    return cut.join(texts.select("ord", "id"), "ord").select(F.col("id").alias(id_col), "n_bytes", "spans", "kept")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` with repeated passages cut out of the text; a column ``n_chars`` follows it.
+
+    A character that a cut leaves incomplete goes too. Texts that are repeats throughout stay
+    as empty texts.
+    """
+    texts = _numbered(docs, id_col, text_col)
+    cut = _cut(texts, WINDOW, SEED)
+
+    def decode(batches):
+        for frame in batches:
+            yield pd.DataFrame({"ord": frame["ord"], "text": [k.decode(errors="ignore") for k in frame["kept"]]})
+
+    cut = map_frames(cut.select("ord", "kept"), decode, "ord long, text string")
+    joined = cut.join(texts.select("ord", "rest"), "ord")
+    columns = {c: F.col("text") if c == text_col else F.col("rest")[c] for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[value.alias(name) for name, value in columns.items()])
