@@ -8,13 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import embeddings, langid, mixing, packing, quality_model, quality_rules, simhash, suffix, warc
+from ledgerloom.llm import embeddings, langid, mixing, packing, ppm, quality_model, quality_rules, simhash, suffix, warc
 from ledgerloom.llm.common import fold, table
 from ledgerloom.session import stage, staging_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths by partial matching; learned outside fold 2 of 7."""
+    held_out = fold("doc_id", 7) == 2
+    scored = ppm.score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient-boosted quality score; learned from folds 1 to 4 of 5."""
     held_out = fold("doc_id", 5) == 0
@@ -100,6 +109,7 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_ppm_scoring": op1_ppm_scoring,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_fair_mix": op4_fair_mix,
