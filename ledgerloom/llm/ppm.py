@@ -21,7 +21,7 @@ from ledgerloom.llm.common import map_frames
 from ledgerloom.session import stage
 
 # Longest context in bytes; a symbol and its context are packed into 9 bits each.
-ORDER = 4
+ORDER = 5
 BITS = 9
 END, START = 256, 257
 SYMBOLS = 257  # bytes and the end of the text
@@ -141,13 +141,14 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def trie_levels(counted: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
     """Edges and nodes of each context length 0..order, from the grams' training counts.
 
-    Edges: ``edge`` (context and symbol), ``c``. Nodes: ``ctx``, ``t`` (sum of c), ``d`` (symbols seen)
+    Edges: ``edge`` (context and symbol), ``c``. The longest contexts count occurrences, shorter ones
+    (update exclusion) the different longer contexts that the symbol follows. Nodes: ``ctx``, ``t`` (sum of c), ``d`` (symbols seen)
     and ``x``, the counts that those symbols have in the next shorter context: what symbol exclusion takes off there.
     """
     edges = [stage(counted.where("c > 0").select(F.col("key").alias("edge"), "c"), "edges")]
     for k in range(order - 1, -1, -1):
         shorter = F.col("edge").bitwiseAND((1 << (BITS * (k + 1))) - 1)
-        edges.insert(0, stage(edges[0].groupBy(shorter.alias("edge")).agg(F.sum("c").alias("c")), "edges"))
+        edges.insert(0, stage(edges[0].groupBy(shorter.alias("edge")).agg(F.count("*").alias("c")), "edges"))
     levels = []
     for k, own in enumerate(edges):
         ctx = F.shiftright("edge", BITS).alias("ctx")
@@ -165,8 +166,8 @@ def trie_levels(counted: DataFrame, order: int = ORDER) -> list[tuple[DataFrame,
 def code_lengths(keys: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     """log10 probability (``lp``) of each gram ``key``.
 
-    From the longest context down: a symbol seen in the context gets c / (t + d); otherwise the
-    coder escapes with d / (t + d), and the symbols of that context are excluded from the next shorter one's
+    From the longest context down: a symbol seen in the context gets (c - 1/2) / t; otherwise the
+    coder escapes with (d / 2) / t (escape estimation D), and the symbols of that context are excluded from the next shorter one's
     t and d. Contexts never seen are skipped. Behind the empty context, all symbols that were never seen
     are equally likely. Levels with at most 2**18 rows by construction are broadcast.
     """
@@ -188,8 +189,8 @@ def code_lengths(keys: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) ->
                 "key",
                 (
                     F.col("lp")
-                    + F.when(F.col("c").isNotNull(), F.log10(F.col("c") / (t + d)))
-                    .when(d > 0, F.log10(d / (t + d)))
+                    + F.when(F.col("c").isNotNull(), F.log10((F.col("c") - 0.5) / t))
+                    .when(d > 0, F.log10(d / 2 / t))
                     .otherwise(0.0)
                 ).alias("lp"),
                 F.coalesce("x", F.lit(0)).alias("x0"),
