@@ -98,6 +98,17 @@ def samples(data: np.ndarray, window: int, seed: int):
     return at[new], low[new], high[last], value[new]
 
 
+class SpanHasher:
+    """``span_hashes`` of one text, with its prefix sums computed once if the text is short."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        self.prefix = Prefix(data) if len(data) <= CHUNK else None
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.prefix.hashes(start, end) if self.prefix else span_hashes(self.data, start, end)
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of every span ``start..end``; starts are ascending and spans far shorter than a chunk."""
     out = np.zeros(len(start), dtype=np.uint64)

@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import passages as P
-from ledgerloom.llm.common import map_frames, text_slices
+from ledgerloom.llm.common import map_frames, ship, text_slices
 from ledgerloom.llm.ordering import range_sorted, running_total
 from ledgerloom.session import stage
 
@@ -153,19 +154,20 @@ def _packed_texts(texts: DataFrame) -> DataFrame:
 
 
 def _thirds(texts: DataFrame, split: DataFrame, window: int, seed: int) -> DataFrame:
-    """A row for each third of the windows of the samples to split, with the hashes of all its windows."""
+    """A row for each third of the windows of the samples to split, with the hashes of all its windows.
+
+    Every window of a third holds its core, so the core never reaches over an end of the text.
+    """
     step = -(-(window - seed + 1) // THIRDS)
     by_doc = split.groupBy("ord").agg(F.collect_list(F.struct("at", "seed")).alias("samples"))
     joined = _packed_texts(texts).join(by_doc, "ord").select("ord", "packed", "samples")
 
-    def one_text(order, packed, own):
-        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8)
-        code = np.array([x["at"] for x in own], dtype=np.int64)
-        seeds = np.array([x["seed"] for x in own], dtype=np.int64)
+    def one_text(order, data, code, seeds):
         sort = np.argsort(code, kind="stable")
         code, seeds = code[sort], seeds[sort]
         at = code >> 16
         low, high = at - (code >> 9 & 127), at - (code >> 2 & 127)
+        hashes = P.SpanHasher(data)
         for k in range(THIRDS):
             near, far = k * step, min(window - seed, (k + 1) * step - 1)
             first, last = np.maximum(low, at - far), np.minimum(high, at - near)
@@ -173,28 +175,31 @@ def _thirds(texts: DataFrame, split: DataFrame, window: int, seed: int) -> DataF
             if not some.any():
                 continue
             a, x, y, s = at[some], first[some], last[some], seeds[some].astype(np.uint64)
-            core = P.span_hashes(data, np.maximum(a - near, 0), np.minimum(a - far + window, len(data)))
-            core ^= P.scramble(s + np.uint64(k))
-            hull = P.span_hashes(data, x, y + window) ^ P.scramble((((a - x) << 8) + (a - y)).astype(np.uint64))
+            core = hashes(a - near, a - far + window) ^ P.scramble(s + np.uint64(k))
+            hull = hashes(x, y + window) ^ P.scramble((((a - x) << 8) + (a - y)).astype(np.uint64))
             count = y - x + 1
             starts = np.repeat(x - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-            each = P.span_hashes(data, starts, starts + window).astype(np.int64)
-            yield pd.DataFrame(
-                {
-                    "core": core.astype(np.int64),
-                    "hull": hull.astype(np.int64),
-                    "ord": order,
-                    "low": x,
-                    "windows": np.split(each, np.cumsum(count)[:-1]),
-                }
-            )
+            yield core, hull, np.full(len(x), order), x, count, hashes(starts, starts + window)
 
     def run(batches):
-        for frame in batches:
-            for row in zip(frame["ord"], frame["packed"], frame["samples"], strict=True):
-                yield from one_text(*row)
-
-    return map_frames(joined, run, "core long, hull long, ord long, low long, windows array<long>")
+        coder = zstandard.ZstdDecompressor()
+        for batch in batches:
+            own = batch.column("samples")
+            edges = own.offsets.to_numpy().tolist()
+            code, seeds = (own.values.field(c).to_numpy() for c in ("at", "seed"))
+            found = []
+            for i, (order, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ord", "packed")), strict=True)):
+                data = np.frombuffer(coder.decompress(packed), dtype=np.uint8)
+                found += one_text(order, data, code[edges[i] : edges[i + 1]], seeds[edges[i] : edges[i + 1]])
+            if found:
+                core, hull, order, low, count, each = map(np.concatenate, zip(*found, strict=True))
+                ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(each.astype(np.int64)))
+                flat = [pa.array(x.astype(np.int64)) for x in (core, hull, order, low)]
+                yield pa.RecordBatch.from_arrays([*flat, lists], ["core", "hull", "ord", "low", "windows"])
+
+    ship(texts.sparkSession)
+    return joined.mapInArrow(run, "core long, hull long, ord long, low long, windows array<long>")
 
 
 def _repeated_windows(thirds: DataFrame, window: int) -> DataFrame:
@@ -222,8 +227,8 @@ def _repeated_windows(thirds: DataFrame, window: int) -> DataFrame:
     )
 
 
-def _cut(texts: DataFrame, window: int, seed: int) -> DataFrame:
-    """``ord``, ``n_bytes``, ``spans`` and ``kept`` of numbered texts."""
+def _cut(texts: DataFrame, window: int, seed: int, carry: str) -> DataFrame:
+    """Column ``carry`` of numbered texts with ``n_bytes``, ``spans`` and ``kept``."""
     if seed & (seed - 1) or not 0 <= window - seed <= 127:
         raise ValueError("seed must be a power of two, at most 127 below window")
     marks = stage(_ranked_samples(texts, window, seed), "marks")
@@ -240,19 +245,27 @@ def _cut(texts: DataFrame, window: int, seed: int) -> DataFrame:
 
     def cut(batches):
         coder = zstandard.ZstdDecompressor()
-        for frame in batches:
-            rows = []
-            for order, packed, own in zip(frame["ord"], frame["packed"], frame["spans"], strict=True):
+        for batch in batches:
+            sizes, runs, kept = [], [], []
+            for packed, own in zip(*(batch.column(c).to_pylist() for c in ("packed", "spans")), strict=True):
                 raw = coder.decompress(packed)
-                pairs = np.array([(x["start"], x["end"]) for x in (own if own is not None else ())], dtype=np.int64)
+                pairs = np.array([(x["start"], x["end"]) for x in own or ()], dtype=np.int64)
                 start, end = P.merge_spans(*pairs.reshape(-1, 2).T)
-                runs = [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                rows.append((order, len(raw), runs, P.cut_spans(raw, start, end)))
-            yield pd.DataFrame(rows, columns=["ord", "n_bytes", "spans", "kept"])
+                sizes.append(len(raw))
+                runs.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+                kept.append(P.cut_spans(raw, start, end))
+            span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(carry), pa.array(sizes, pa.int64()), pa.array(runs, pa.list_(span)), pa.array(kept, pa.binary())],
+                [carry, "n_bytes", "spans", "kept"],
+            )
 
-    joined = _packed_texts(texts).join(spans, "ord", "left").select("ord", "packed", "spans")
-    schema = "ord long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    return map_frames(joined, cut, schema)
+    # everything is joined before the texts are unpacked, so they are shuffled once here
+    joined = _packed_texts(texts).join(spans, "ord", "left").join(texts.select("ord", carry), "ord")
+    field = texts.schema[carry]
+    schema = T.StructType([field]).add("n_bytes", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
+    ship(texts.sparkSession)
+    return joined.select(carry, "packed", "spans").mapInArrow(cut, schema)
 
 
 def remove_repeats(
@@ -272,8 +285,7 @@ def remove_repeats(
     127 less). Memory of a task follows its longest text.
     """
     texts = _numbered(docs, id_col, text_col)
-    cut = _cut(texts, window, seed)
-    return cut.join(texts.select("ord", "id"), "ord").select(F.col("id").alias(id_col), "n_bytes", "spans", "kept")
+    return _cut(texts, window, seed, "id").withColumnRenamed("id", id_col)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,14 +295,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as empty texts.
     """
     texts = _numbered(docs, id_col, text_col)
-    cut = _cut(texts, WINDOW, SEED)
+    cut = _cut(texts, WINDOW, SEED, "rest").select("rest", "kept")
 
     def decode(batches):
-        for frame in batches:
-            yield pd.DataFrame({"ord": frame["ord"], "text": [k.decode(errors="ignore") for k in frame["kept"]]})
+        for batch in batches:
+            text = pa.array([k.decode(errors="ignore") for k in batch.column("kept").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), text], ["rest", "text"])
 
-    cut = map_frames(cut.select("ord", "kept"), decode, "ord long, text string")
-    joined = cut.join(texts.select("ord", "rest"), "ord")
+    joined = cut.mapInArrow(decode, T.StructType([texts.schema["rest"]]).add("text", "string"))
     columns = {c: F.col("text") if c == text_col else F.col("rest")[c] for c in docs.columns}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
