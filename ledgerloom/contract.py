@@ -164,6 +164,9 @@ ISSUES = {
         "该行已从分析数据中排除",
     ),
     "MISSING_AMOUNT": (DONE_AMOUNT, "成本明细金额为空，已按 0 参与汇总", "金额置为 0 后继续计算"),
+    "NUMBER_OUT_OF_RANGE": (None, "number does not fit the decimals", "row or amount left out, kept here as text"),
+    "NUMBER_ROUNDED": (None, "number has more decimals than are kept", "rounded half up"),
+    "SUM_OUT_OF_RANGE": (None, "sum of a work order does not fit the decimals", "left empty and marked for review"),
     "DUPLICATE_WORK_ORDER_KEY": (
         "工单主键",
         "数量页存在重复工单主键",

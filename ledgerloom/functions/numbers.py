@@ -2,8 +2,9 @@
 
 Money is DECIMAL(28,10), quantities are DECIMAL(18,6). Their quotient is then
 DECIMAL(38,14), so a unit cost keeps 14 decimals without leaving decimal space.
-Text that is no number, or needs more than 18 integer digits, becomes NULL and is
-reported by the issue log where a missing amount is reported.
+Text that is no number becomes NULL and counts as missing. A number that does not fit, being
+too large or smaller than the last decimal, becomes NULL as well, and one with further decimals
+is rounded; :func:`misfit` names both cases, and the issue log reports them with their text.
 """
 
 from __future__ import annotations
@@ -28,3 +29,24 @@ def as_decimal(df: DataFrame, name: str, kind: str = MONEY) -> Column:
         return c.try_cast(kind)
     # dates and other kinds carry no amount
     return F.lit(None).cast(kind)
+
+
+TOO_WIDE, ROUNDED = "out_of_range", "rounded"
+
+
+def misfit(df: DataFrame, name: str, kind: str = MONEY) -> Column:
+    """``out_of_range`` or ``rounded`` where ``kind`` can't hold the cell's number as it is, else NULL."""
+    source = df.schema[name].dataType
+    held = as_decimal(df, name, kind)
+    if isinstance(source, T.StringType):
+        cell = clean(F.col(f"`{name}`"))
+    elif isinstance(source, T.NumericType):
+        cell = F.col(f"`{name}`")
+    else:
+        return F.lit(None).cast("string")
+    near = cell.try_cast("double")
+    is_number = near.isNotNull() & ~F.isnan(near) & (F.abs(near) < float("inf"))
+    lost = is_number & (held.isNull() | ((held == 0) & (near != 0)))
+    # 20 integer digits and 18 decimals see every rounding of a number that fits
+    exact = cell.try_cast("decimal(38,18)")
+    return F.when(lost, TOO_WIDE).when(held.cast("decimal(38,18)") != exact, ROUNDED)

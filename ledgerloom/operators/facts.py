@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import contract as C
-from ledgerloom.functions.numbers import MONEY, QUANTITY, as_decimal
+from ledgerloom.functions.numbers import MONEY, QUANTITY, TOO_WIDE, as_decimal, misfit
 from ledgerloom.functions.text import cell_text, clean, key_value, whole_number
 from ledgerloom.operators import joins
 from ledgerloom.operators.normalize import require
@@ -20,7 +20,9 @@ AMOUNT = "amount"
 DONE = "done_qty"
 TOTAL = "done_total"
 VALIDITY = "validity"
-VALID, BAD_QTY, NO_TOTAL = "valid", "invalid_qty", "missing_total"
+VALID, BAD_QTY, NO_TOTAL, OUT_OF_RANGE = "valid", "invalid_qty", "missing_total", TOO_WIDE
+# what the decimals could not hold: of the amount and of the quantity
+AMOUNT_MISFIT, QTY_MISFIT = "amount_misfit", "qty_misfit"
 BASE_BUCKETS = tuple(C.BUCKET_LABELS)
 COMPONENTS = tuple(C.OVERHEAD_ITEMS)
 
@@ -52,16 +54,17 @@ def cost_bucket(item: Column, standalone: dict[str, str], trimmed: bool = False)
 def bucket_sums(standalone: dict[str, str], bucket: str = BUCKET, amount: str = AMOUNT) -> list[Column]:
     """One exact sum per bucket; a component counts in the overhead total as well.
 
-    A NULL amount counts as zero. Sums return to MONEY so that later arithmetic keeps its scale.
+    A bucket without any amount is zero. Sums return to MONEY so that later arithmetic keeps its
+    scale; a sum that does not fit is NULL, never zero.
     """
-    zero = f"CAST(0 AS {MONEY})"
-    sums = {
-        b: f"coalesce(try_cast(sum(CASE WHEN {bucket} = '{b}' THEN {amount} END) AS {MONEY}), {zero})"
-        for b in (*BASE_BUCKETS, *standalone)
-    }
-    parts = " + ".join(sums[b] for b in ("moh", *COMPONENTS))
-    sums["moh"] = f"try_cast({parts} AS {MONEY})"
-    return [F.expr(f"{text} AS {b}") for b, text in sums.items()]
+    counted = {b: (b,) for b in (*BASE_BUCKETS, *standalone)} | {"moh": ("moh", *COMPONENTS)}
+    found = []
+    for name, buckets in counted.items():
+        mine = f"{bucket} IN ({', '.join(repr(b) for b in buckets)}) AND {amount} IS NOT NULL"
+        # rows of other buckets add zero, so that only a sum that does not fit is NULL
+        total = f"try_sum(CASE WHEN {mine} THEN {amount} ELSE CAST(0 AS {MONEY}) END)"
+        found.append(F.expr(f"try_cast({total} AS {MONEY}) AS {name}"))
+    return found
 
 
 # ------------------------------------------------------------------ prepared rows
@@ -84,7 +87,9 @@ def _with_bucket(df: DataFrame, rules: RuleSet, rows: Column | None = None) -> D
 def prepare_detail(detail: DataFrame, rules: RuleSet) -> DataFrame:
     """Detail rows with key, bucket and amount; an amount that is no number is NULL."""
     require(detail, C.REQUIRED_DETAIL, C.DETAIL_DATASET)
-    return _with_bucket(_with_key(detail), rules).withColumn(AMOUNT, as_decimal(detail, C.DONE_AMOUNT))
+    return _with_bucket(_with_key(detail), rules).withColumns(
+        {AMOUNT: as_decimal(detail, C.DONE_AMOUNT), AMOUNT_MISFIT: misfit(detail, C.DONE_AMOUNT)}
+    )
 
 
 def prepare_qty(qty: DataFrame) -> DataFrame:
@@ -93,13 +98,29 @@ def prepare_qty(qty: DataFrame) -> DataFrame:
     The quantity is tested first: a bad quantity with a missing total counts once.
     """
     require(qty, C.REQUIRED_QTY, C.QTY_DATASET)
-    rows = _with_key(qty).withColumns({DONE: as_decimal(qty, C.DONE_QTY, QUANTITY), AMOUNT: as_decimal(qty, C.DONE_AMOUNT)})
-    return rows.withColumn(VALIDITY, _validity())
+    return _with_key(qty).withColumns(_decimals(qty)).withColumn(VALIDITY, _validity())
+
+
+def _decimals(rows: DataFrame) -> dict[str, Column]:
+    return {
+        AMOUNT: as_decimal(rows, C.DONE_AMOUNT),
+        DONE: as_decimal(rows, C.DONE_QTY, QUANTITY),
+        AMOUNT_MISFIT: misfit(rows, C.DONE_AMOUNT),
+        QTY_MISFIT: misfit(rows, C.DONE_QTY, QUANTITY),
+    }
 
 
 def _validity() -> Column:
+    """A number that the decimals can't hold is out of range: neither invalid nor missing."""
     positive = F.coalesce(F.col(DONE) > 0, F.lit(False))
-    return F.when(~positive, BAD_QTY).when(F.col(AMOUNT).isNull(), NO_TOTAL).otherwise(VALID)
+    wide = [F.col(c).eqNullSafe(TOO_WIDE) for c in (QTY_MISFIT, AMOUNT_MISFIT)]
+    return (
+        F.when(wide[0], OUT_OF_RANGE)
+        .when(~positive, BAD_QTY)
+        .when(wide[1], OUT_OF_RANGE)
+        .when(F.col(AMOUNT).isNull(), NO_TOTAL)
+        .otherwise(VALID)
+    )
 
 
 def valid_qty(prepared: DataFrame) -> DataFrame:
@@ -123,9 +144,7 @@ def prepare_routed(routed: DataFrame, rules: RuleSet) -> DataFrame:
     """A routed ledger with what :func:`prepare_detail` and :func:`prepare_qty` add, in one pass."""
     for which, needed in ((C.DETAIL_DATASET, C.REQUIRED_DETAIL), (C.QTY_DATASET, C.REQUIRED_QTY)):
         require(routed, needed, which)
-    rows = _with_bucket(_with_key(routed), rules, F.col(ROUTE) == DETAIL).withColumns(
-        {AMOUNT: as_decimal(routed, C.DONE_AMOUNT), DONE: as_decimal(routed, C.DONE_QTY, QUANTITY)}
-    )
+    rows = _with_bucket(_with_key(routed), rules, F.col(ROUTE) == DETAIL).withColumns(_decimals(routed))
     return rows.withColumn(VALIDITY, F.when(F.col(ROUTE) == QTY, _validity()))
 
 
@@ -137,6 +156,7 @@ def work_order_summary(prepared: DataFrame, rules: RuleSet) -> DataFrame:
     is_valid = F.col(VALIDITY) == VALID
     return prepared.groupBy(KEY).agg(
         *bucket_sums(rules.standalone_buckets()),
+        F.count(BUCKET).alias("detail_rows"),
         F.count_if(is_valid).alias("key_rows"),
         F.min(F.when(is_valid, F.col(ROW_ID))).alias("first_row"),
     )
@@ -145,27 +165,40 @@ def work_order_summary(prepared: DataFrame, rules: RuleSet) -> DataFrame:
 def join_facts(
     valid: DataFrame, summary: DataFrame, rules: RuleSet, rows_per_salt: int = joins.ROWS_PER_SALT
 ) -> DataFrame:
-    """Valid quantity rows LEFT JOIN their key's summary; absent amounts are zero.
+    """Valid quantity rows LEFT JOIN their key's summary.
 
-    Duplicates keep their amounts. ``is_first`` marks the first row of each key.
+    Amounts of a key without summary are zero; sums that did not fit stay NULL. Duplicates keep their
+    amounts. ``is_first`` marks the first row of each key.
     """
-    hot = joins.hot_keys(valid, [KEY], rows_per_salt)
+    hot = joins.hot_of_counts(summary.select(KEY, F.col("key_rows").alias("_n")), [KEY], rows_per_salt)
     joined = joins.lookup_join(valid, summary, [KEY], hot, ROW_ID)
     buckets = (*BASE_BUCKETS, *rules.standalone_buckets())
-    kept = [f"`{c}`" for c in joined.columns if c not in buckets and c != "first_row"]
-    zeroed = [f"coalesce({b}, CAST(0 AS {MONEY})) AS {b}" for b in buckets]
+    kept = [f"`{c}`" for c in joined.columns if c not in (*buckets, "first_row", "detail_rows")]
+    # a summary without detail_rows may lack the sums of a key altogether
+    absent = "key_rows IS NULL" if "detail_rows" in joined.columns else f"coalesce({', '.join(buckets)}) IS NULL"
+    zeroed = [f"CASE WHEN {absent} THEN CAST(0 AS {MONEY}) ELSE {b} END AS {b}" for b in buckets]
     return joined.selectExpr(*kept, *zeroed, f"{ROW_ID} = first_row AS is_first")
 
 
 # ------------------------------------------------------------------ checks and unit costs
 def with_checks(facts: DataFrame, rules: RuleSet) -> DataFrame:
     """Exact reconciliation of components and total, with reason text and status."""
-    components = " + ".join(COMPONENTS)
-    derived = " + ".join(("dm", "dl", "moh", *rules.standalone_buckets()))
+    def added(names) -> str:
+        total = names[0]
+        for name in names[1:]:
+            total = f"try_add({total}, {name})"
+        return f"try_cast({total} AS {MONEY})"
+
+    derived = ("dm", "dl", "moh", *rules.standalone_buckets())
     sums = facts.selectExpr(
-        "*", f"CAST({components} AS {MONEY}) AS moh_components", f"CAST({derived} AS {MONEY}) AS derived_total"
+        "*", f"{added(COMPONENTS)} AS moh_components", f"{added(derived)} AS derived_total"
+    )
+    # a sum that does not fit matches nothing
+    checked = sums.selectExpr(
+        "*",
+        "coalesce(moh_components = moh, false) AS moh_matches",
+        f"coalesce(derived_total = {TOTAL}, false) AS total_matches",
     )
-    checked = sums.selectExpr("*", "moh_components = moh AS moh_matches", f"derived_total = {TOTAL} AS total_matches")
     reason = F.concat_ws(
         ";",
         F.when(~F.col("moh_matches"), C.MOH_CHECK_REASON),

@@ -101,8 +101,7 @@ def ordered_fill(
     space_of = {c: F.get("_spaces", F.lit(i)) for i, c in enumerate(texts)}
 
     # One short row per block: written once, so that no later step scans the rows for it again.
-    in_place = [c for c in free if c in columns]
-    ends = _block_ends(data, keys, row, [in_place, [c for c in free if c not in in_place]])
+    ends = _block_ends(data, keys, row, free)
     carries = _carry(stage(ends, "block_ends"), scope_keys, free)
     for guard in guards:
         held = [columns[o] for o in guard.columns if o in columns]
@@ -155,20 +154,34 @@ def _is_value(c: Column, value: str) -> Column:
     return F.coalesce(clean(c.cast("string")) == value, F.lit(False))
 
 
-def _block_ends(data: DataFrame, keys: list[str], row: str, groups: list[list[str]]) -> DataFrame:
-    """Last non-blank value of each column per block, combined on the map side.
+def _block_ends(data: DataFrame, keys: list[str], row: str, columns: list[str]) -> DataFrame:
+    """Last non-blank value of each column per block.
 
-    Columns that are usually set on the same rows share a group; rows that set none of a
-    group's columns are dropped before its aggregate.
+    Row numbers are fixed-width, so one hash aggregate finds the last row of every column; values are
+    fetched for those rows alone, at most one for each block and column.
     """
-    found = data.select(*keys).distinct()
-    for group in filter(None, groups):
-        slim = data.select(*keys, F.col(row).alias("_at"), *[f"`{c}`" for c in group])
-        ends = slim.where(reduce(or_, [F.col(f"`{c}`").isNotNull() for c in group])).groupBy(*keys).agg(
-            *[F.max_by(f"`{c}`", F.when(F.col(f"`{c}`").isNotNull(), F.col("_at"))).alias(c) for c in group]
-        )
-        found = found.join(ends, keys, "left")
-    return found
+    ends = data.groupBy(*keys).agg(
+        *[F.max(F.when(F.col(f"`{c}`").isNotNull(), F.col(row))).alias(f"_at{i}") for i, c in enumerate(columns)]
+    )
+    return _fetch(data, stage(ends, "ends"), keys, row, {f"_at{i}": (c, c) for i, c in enumerate(columns)})
+
+
+def _fetch(data: DataFrame, ends: DataFrame, keys: list[str], row: str, cells: dict[str, tuple[str, str]]) -> DataFrame:
+    """Replace row numbers in ``ends`` by values: ``cells`` maps a number's column to (source, output)."""
+    wanted = ends.select(F.explode(F.array_distinct(F.array(*cells))).alias("_want")).where("_want IS NOT NULL").distinct()
+    # one short row per wanted ledger row, written first so that its size is known to the join
+    wanted = stage(wanted, "wanted")
+    sources = list(dict.fromkeys(source for source, _ in cells.values()))
+    rows = data.select(*keys, F.col(row).alias("_want"), *[f"`{c}`" for c in sources]).join(wanted, "_want", "left_semi")
+    # the values of a block meet its row numbers; any of the few rows with the number holds the value
+    numbers = ends.select(*keys, *cells)
+    joined = numbers.join(rows, keys, "left")
+    return joined.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("_want") == F.col(at), F.col(f"`{source}`"))).alias(out)
+            for at, (source, out) in cells.items()
+        ]
+    )
 
 
 def _guarded_ends(

@@ -13,7 +13,11 @@ ROWS_PER_SALT = 1_000_000
 
 def hot_keys(rows: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """At most MAX_HOT_KEYS keys with more than ``rows_per_salt`` rows, with ``_salts``."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return hot_of_counts(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, rows_per_salt)
+
+
+def hot_of_counts(counts: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """:func:`hot_keys` from known counts ``_n`` per key, without another pass over the rows."""
     busy = counts.where(F.col("_n") > rows_per_salt).orderBy(F.desc("_n")).limit(MAX_HOT_KEYS)
     return busy.select(*keys, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts"))
 

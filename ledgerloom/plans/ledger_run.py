@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -48,7 +49,7 @@ class CostRun:
 
     @property
     def issues(self) -> DataFrame:
-        return issues.issue_log(self.prepared.where(F.col(ROUTE) == DETAIL), self.facts, self.rules)
+        return issues.issue_log(self.prepared, self.facts, self.rules)
 
     @property
     def counts(self) -> DataFrame:
@@ -74,20 +75,30 @@ class CostRun:
         return quality.run_record(self.rules.name, span, self.counts, self.quality, counts, inputs, outputs)
 
     def publish(self, target: str, fmt: str = "parquet", inputs: DataFrame | None = None) -> dict[str, str]:
-        """Write the tables, the issue log, the input list and, last of all, the run record."""
-        outputs = tables.publish(
+        """Publish the tables, the issue log, the input list and, last of all, the run record.
+
+        All targets are checked first and everything is written aside, then moved: a run is published
+        as a whole or not at all, but for a failure between two renames, which a missing run record shows.
+        """
+        spark, target = self.facts.sparkSession, target.rstrip("/")
+        names = [*C.OUTPUT_TABLES, tables.ISSUE_LOG, *([tables.INPUT_LIST] if inputs is not None else []), tables.RUN_RECORD]
+        tables.check_free(spark, target, names)
+        aside = f"{target}/_unpublished-{uuid.uuid4().hex}"
+        tables.publish(
             {
                 C.DETAIL_TABLE: tables.typed(self.detail_table),
                 C.QTY_TABLE: tables.typed(self.quantity_table),
                 C.ANALYSIS_TABLE: self.analysis_table(ordered=True),
             },
-            target,
+            aside,
             fmt,
         )
-        tables.publish_log(self.issues.orderBy(*issues.ORDER).select(*issues.FIELDS), target, tables.ISSUE_LOG)
+        outputs = {name: f"{target}/{name}" for name in C.OUTPUT_TABLES}
+        tables.publish_log(self.issues.orderBy(*issues.ORDER).select(*issues.FIELDS), aside, tables.ISSUE_LOG)
         if inputs is not None:
-            tables.publish_log(inputs, target, tables.INPUT_LIST)
-        tables.publish_log(self.record(inputs, outputs), target, tables.RUN_RECORD)
+            tables.publish_log(inputs, aside, tables.INPUT_LIST)
+        tables.publish_log(self.record(inputs, outputs), aside, tables.RUN_RECORD)
+        tables.promote(spark, aside, target, names)
         return outputs
 
 

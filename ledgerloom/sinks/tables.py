@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom import contract as C
+from ledgerloom.functions.text import clean
 from ledgerloom.errors import InvalidInput, OutputExists
 
 RUN_RECORD = "run_record"
@@ -38,7 +39,7 @@ def typed(df: DataFrame, kind: str = "decimal(38,18)") -> DataFrame:
     ]
     if not texts:
         return df
-    number = {c: F.btrim(F.col(f"`{c}`")).try_cast(kind) for c in texts}
+    number = {c: clean(F.col(f"`{c}`")).try_cast(kind) for c in texts}
     odd = F.array(
         *[
             F.when(F.col(f"`{c}`").isNotNull() & number[c].isNull(), F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("text")))
@@ -51,6 +52,29 @@ def typed(df: DataFrame, kind: str = "decimal(38,18)") -> DataFrame:
     )
 
 
+def check_free(spark: SparkSession, target: str, names) -> None:
+    """Raise OutputExists if any of the outputs is there already."""
+    for name in names:
+        path = f"{target.rstrip('/')}/{name}"
+        if exists(spark, path):
+            raise OutputExists(path)
+
+
+def promote(spark: SparkSession, staged: str, target: str, names) -> None:
+    """Move finished outputs from folder ``staged`` into ``target``, in order, then drop the folder.
+
+    Outputs are written aside first, so a run that fails leaves nothing in its target and can be
+    repeated. Moves are renames of whole folders on the target's own file system.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    check_free(spark, target, names)
+    for name in names:
+        if not system.rename(path(staged, name), path(target, name)):
+            raise OutputExists(f"{target.rstrip('/')}/{name}")
+    system.delete(path(staged), True)
+
+
 def publish(tables: dict[str, DataFrame], target: str, fmt: str = "parquet") -> dict[str, str]:
     """Write exactly the three output tables in their fixed order, never over existing ones.
 

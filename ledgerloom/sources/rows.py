@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import stage
+
 SRC_ID = "_src_id"
 ROW_ID = "_row_id"
 FILE, PART, ROW = "_file", "_part", "_row"
@@ -64,4 +66,6 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
         F.col("_metadata.row_index").alias(ROW),
     ]
     wanted = [F.col(f"`{c}`") for c in (columns or scan.columns)]
-    return attach(scan.select(*wanted, *position), chunk_table(scan.select(*position)))
+    # written first, so that Spark knows its size and broadcasts it: the ledger itself stays in place
+    chunks = stage(chunk_table(scan.select(*position)), "chunks")
+    return attach(scan.select(*wanted, *position), chunks)

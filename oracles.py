@@ -495,6 +495,43 @@ def all_oracles() -> dict[str, str]:
               FROM keys WHERE note = 'n/a' GROUP BY ALL""",
         ),
         "run_contract_diff": both_runs(),
+        "amount_limits": f"""WITH q AS (SELECT l_orderkey * 8 + l_linenumber AS source_row, l_partkey % 7 AS a, l_suppkey % 5 AS b,
+            CAST(l_linenumber AS VARCHAR) AS n FROM lineitem),
+          found AS (SELECT source_row, CASE WHEN a = 2 THEN 'NUMBER_ROUNDED' ELSE 'NUMBER_OUT_OF_RANGE' END AS issue_type,
+              '{C.DONE_QTY}' AS field_name,
+              CASE a WHEN 0 THEN n || '000000000000' WHEN 1 THEN '0.0000004' ELSE n || '.1234567' END AS original_value
+            FROM q WHERE a <= 2
+            UNION ALL SELECT source_row, CASE WHEN b = 1 THEN 'NUMBER_ROUNDED' ELSE 'NUMBER_OUT_OF_RANGE' END,
+              '{C.DONE_AMOUNT}', n || CASE b WHEN 0 THEN '000000000000000000' ELSE '.12345678901' END FROM q WHERE b <= 1)
+          SELECT v.source_row, v.validity, issue_type, field_name, original_value
+          FROM (SELECT DISTINCT source_row, CASE WHEN a <= 1 OR b = 0 THEN 'out_of_range' WHEN b = 3 THEN 'missing_total'
+            ELSE 'valid' END AS validity FROM q) v LEFT JOIN found ON found.source_row = v.source_row""",
+        "cell_diff_columns": """SELECT o_orderkey, 'o_custkey' AS column_name, 'storage_type_mismatch' AS mismatch_kind,
+            'n' AS expected_type, 'blank' AS actual_type FROM orders WHERE o_custkey IS NOT NULL
+          UNION ALL SELECT o_orderkey, 'note', 'storage_type_mismatch', 'blank', 's' FROM orders WHERE o_orderkey % 3 = 0""",
+        "cell_diff_repeated_keys": """WITH n AS (SELECT l_orderkey, count(*) AS n_e, count(*) FILTER (l_linenumber <> 2) AS n_a
+            FROM lineitem GROUP BY 1)
+          SELECT l_orderkey, CASE WHEN n_e = 1 THEN 'qty' END AS column_name,
+            CASE WHEN n_e = 1 THEN 'storage_type_mismatch' ELSE 'repeated_key' END AS mismatch_kind,
+            CASE WHEN n_e = 1 THEN 'n' END AS expected_type, CASE WHEN n_e = 1 THEN 'blank' END AS actual_type
+          FROM n WHERE n_e > 1 OR n_a = 0""",
+        "shape_diff": """SELECT 'part' AS table_name, 'shape_mismatch' AS mismatch_kind
+          UNION ALL SELECT DISTINCT 'orders', 'shape_mismatch' FROM orders WHERE o_orderkey % 101 = 0""",
+        "run_compare": with_(
+            VERSIONS,
+            CELLS,
+            select="""SELECT 'orders' AS table_name, CAST(NULL AS VARCHAR) AS coordinate, CAST(NULL AS VARCHAR) AS column_name,
+                'shape_mismatch' AS mismatch_kind WHERE (SELECT count(*) FROM e) <> (SELECT count(*) FROM a)
+              UNION ALL SELECT 'orders', '{"o_orderkey":' || o_orderkey || '}', column_name, mismatch_kind FROM cells
+              UNION ALL SELECT 'orders', '{"o_orderkey":' || o_orderkey || '}', NULL, mismatch_kind FROM (
+                SELECT o_orderkey, CASE WHEN a.o_custkey IS NULL THEN 'missing_in_actual'
+                  WHEN abs(e.price - a.price) > 1e-9 THEN 'group_total_mismatch' END AS mismatch_kind
+                FROM e LEFT JOIN a USING (o_orderkey)) WHERE mismatch_kind IS NOT NULL
+              UNION ALL SELECT 'orders', NULL, 'price', 'column_total_mismatch'
+                WHERE abs((SELECT sum(price) FROM e) - (SELECT sum(price) FROM a)) > 1e-8""",
+        ),
+        "text_identity": """SELECT doc_id, strlen(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS sha256
+          FROM documents""",
         "product_dim_check": with_(
             PRODUCTS,
             """found AS (SELECT 'blank_code' AS problem, * FROM dim WHERE trim(code) = ''

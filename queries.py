@@ -239,6 +239,23 @@ def qty_validity(spark, sf_dir):
     return facts.prepare_qty(qty).groupBy(facts.VALIDITY).agg(F.count(F.lit(1)).alias("qty_rows"))
 
 
+def amount_limits(spark, sf_dir):
+    """Validity and findings of quantities and totals at the limits of the decimals."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        f"l_orderkey * 8 + l_linenumber AS {ROW_ID}", f"'2025年1期' AS `{C.PERIOD}`",
+        f"CAST(l_partkey AS string) AS `{C.PRODUCT_CODE}`", f"'x' AS `{C.PRODUCT_NAME}`",
+        f"CAST(l_orderkey AS string) AS `{C.ORDER_NO}`", f"CAST(l_linenumber AS string) AS `{C.ORDER_LINE}`",
+        f"""CASE l_partkey % 7 WHEN 0 THEN concat(l_linenumber, '000000000000') WHEN 1 THEN '0.0000004'
+            WHEN 2 THEN concat(l_linenumber, '.1234567') ELSE '7' END AS `{C.DONE_QTY}`""",
+        f"""CASE l_suppkey % 5 WHEN 0 THEN concat(l_linenumber, '000000000000000000')
+            WHEN 1 THEN concat(l_linenumber, '.12345678901') WHEN 3 THEN 'none' ELSE '5' END AS `{C.DONE_AMOUNT}`""",
+    )
+    prepared = facts.prepare_qty(rows)
+    found = issues.qty_issues(prepared).select("source_row", "issue_type", "field_name", "original_value")
+    validity = prepared.select(F.col(ROW_ID).alias("source_row"), facts.VALIDITY).distinct()
+    return validity.join(found, "source_row", "left")
+
+
 def duplicate_keys(spark, sf_dir):
     qty = split.part(_plain_ledger(spark, sf_dir), split.QTY)
     return facts.key_counts(facts.valid_qty(facts.prepare_qty(qty))).where("key_rows > 1")
@@ -469,6 +486,14 @@ def content_identity(spark, sf_dir):
     return files.select(F.substring_index("path", "/", -1).alias("file"), "size", "sha256")
 
 
+def text_identity(spark, sf_dir):
+    """Content identity of every document: bytes and SHA-256, row by row and so without a size limit."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("sha256")
+    )
+
+
 def text_ledger_scan(spark, sf_dir):
     """Orders written as delimited ledger files with metadata and header rows, then scanned back.
 
@@ -527,6 +552,34 @@ def cell_diff(spark, sf_dir):
     return diff.cell_diff(*_order_versions(spark, sf_dir), ["o_orderkey"])
 
 
+def cell_diff_columns(spark, sf_dir):
+    """Columns that only one side has."""
+    base, _ = _order_versions(spark, sf_dir)
+    other = base.drop("o_custkey").withColumn("note", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'x' END"))
+    return diff.cell_diff(base, other, ["o_orderkey"])
+
+
+def cell_diff_repeated_keys(spark, sf_dir):
+    """Line items keyed by order alone: most keys repeat on a side."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "CAST(l_quantity AS decimal(18,2)) AS qty")
+    return diff.cell_diff(lines.drop("l_linenumber"), lines.where("l_linenumber <> 2").drop("l_linenumber"), ["l_orderkey"])
+
+
+def shape_diff(spark, sf_dir):
+    orders, parts = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    lines = table(spark, sf_dir, "lineitem")
+    return diff.shape_diff(
+        {"orders": orders, "lines": lines, "part": parts},
+        {"orders": orders.where("o_orderkey % 101 <> 0"), "lines": lines, "part": parts.drop("p_name")},
+    )
+
+
+def run_compare(spark, sf_dir):
+    """Every difference of two versions of a table in one report."""
+    versions = [{"orders": v} for v in _order_versions(spark, sf_dir)]
+    return diff.compare_runs(*versions, {"orders": ["o_orderkey"]}, {"orders": ["price"]})
+
+
 def cell_diff_report(spark, sf_dir):
     """The first twenty mismatches by coordinate; the limit is the report's own."""
     found = diff.cell_diff(*_order_versions(spark, sf_dir), ["o_orderkey"])
@@ -600,6 +653,7 @@ def all_queries():
         analysis_table, weighted_median, weighted_mad, modified_zscore, grade_counts, quality_metrics, run_counts,
         month_filtered_quality, run_record, null_profile, content_identity, text_ledger_scan, cell_diff,
         cell_diff_report, column_totals_diff, group_totals_diff, dup_blank_keys, numeric_problems,
-        run_contract_diff, product_dim_check, rules_fingerprint,
+        run_contract_diff, product_dim_check, rules_fingerprint, amount_limits, cell_diff_columns,
+        cell_diff_repeated_keys, shape_diff, run_compare, text_identity,
     )
     return {q.__name__: q for q in chosen}

@@ -131,3 +131,27 @@ def test_quantity_table_layout(spark):
     ]
     row = out.first()
     assert row["委外加工费单位完工成本"] == D("0.5") and row["数据校验状态"] == "通过" and row["异常原因说明"] == ""
+
+
+def test_sums_that_overflow_are_never_zero(spark):
+    big = "900000000000000000"
+    rows = detail(spark, ("直接材料", big), ("直接材料", big), ("直接人工", "1"))
+    prepared, done = build(spark, rows, qty(spark, ("1", "5")))
+    row = done.first()
+    assert row["dm"] is None and row["dl"] == 1 and row["derived_total"] is None
+    assert not row["total_matches"] and row["check_status"] == C.NEEDS_REVIEW
+    found = {(r["issue_type"], r["field_name"]) for r in issues.fact_issues(done, GB).collect()}
+    assert {("SUM_OUT_OF_RANGE", "dm"), ("SUM_OUT_OF_RANGE", "derived_total")} <= found
+
+
+def test_numbers_at_the_limits_are_reported(spark):
+    rows = qty(spark, ("2000000000000", "5"), ("0.0000004", "5"), ("1", "1000000000000000000"), ("1", "0.12345678901"), ("x", "5"), ("1", None), ("1", "5"))
+    prepared = facts.prepare_qty(rows)
+    assert [r[0] for r in prepared.orderBy(ROW_ID).select(facts.VALIDITY).collect()] == [
+        facts.OUT_OF_RANGE, facts.OUT_OF_RANGE, facts.OUT_OF_RANGE, facts.VALID, facts.BAD_QTY, facts.NO_TOTAL, facts.VALID,
+    ]
+    got = sorted((r["source_row"], r["issue_type"], r["original_value"]) for r in issues.qty_issues(prepared).collect())
+    assert got == [
+        (100, "NUMBER_OUT_OF_RANGE", "2000000000000"), (101, "NUMBER_OUT_OF_RANGE", "0.0000004"),
+        (102, "NUMBER_OUT_OF_RANGE", "1000000000000000000"), (103, "NUMBER_ROUNDED", "0.12345678901"),
+    ]

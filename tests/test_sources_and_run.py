@@ -162,15 +162,47 @@ def pair(spark):
 
 
 def test_cell_diff_respects_tolerance_and_types(spark):
-    got = sorted(tuple(r) for r in diff.cell_diff(*pair(spark), ["k"]).collect())
+    got = sorted((tuple(r) for r in diff.cell_diff(*pair(spark), ["k"]).collect()), key=str)
     assert got == [
         ("b", "n", "value_mismatch", "n", "n"), ("b", "t", "storage_type_mismatch", "blank", "s"),
         ("c", "n", "storage_type_mismatch", "n", "blank"), ("c", "t", "storage_type_mismatch", "s", "blank"),
+        ("d", None, "repeated_key", None, None),
     ]
     assert diff.bounded_report(diff.cell_diff(*pair(spark), ["k"]), ["k", "column_name"], 3).count() == 3
     assert diff.cell_diff(pair(spark)[0], pair(spark)[0], ["k"]).count() == 0
 
 
+def test_cell_diff_sees_columns_of_one_side(spark):
+    expected = spark.createDataFrame([("a", 1, "x"), ("b", 2, None)], "k string, lost int, same string")
+    actual = spark.createDataFrame([("a", "x", 5), ("b", None, None)], "k string, same string, new int")
+    got = sorted(tuple(r)[:3] for r in diff.cell_diff(expected, actual, ["k"]).collect())
+    kind = "storage_type_mismatch"
+    assert got == [("a", "lost", kind), ("a", "new", kind), ("b", "lost", kind)]
+
+
+def test_compare_runs_names_every_kind(spark):
+    one, two = pair(spark)
+    found = diff.compare_runs({"t": one}, {"t": two}, {"t": ["k"]}, {"t": ["n"]})
+    kinds = {(r["column_name"], r["mismatch_kind"]) for r in found.collect()}
+    assert (None, "repeated_key") in kinds and (None, "duplicate_group_key") in kinds
+    assert ("n", "column_total_mismatch") in kinds and (None, "missing_in_actual") in kinds
+    assert diff.compare_runs({"t": one}, {"t": one}, {"t": ["k"]}, {"t": ["n"]}).count() == 0
+    assert diff.issue_totals_diff(*[spark.createDataFrame([("A", n)], "issue_type string, issue_count bigint") for n in (1, 1)]).count() == 0
+
+
+def test_old_outputs_stop_a_run_before_it_writes(spark, tmp_path):
+    out = tmp_path / "out"
+    stale = out / tables.ISSUE_LOG
+    stale.mkdir(parents=True)
+    with pytest.raises(OutputExists):
+        tables.check_free(spark, str(out), (*C.OUTPUT_TABLES, tables.ISSUE_LOG))
+    assert [p.name for p in out.iterdir()] == [tables.ISSUE_LOG]
+    tables.check_free(spark, str(out), C.OUTPUT_TABLES)
+    spark.range(3).write.parquet(str(out / "_part" / "x"))
+    tables.promote(spark, str(out / "_part"), str(out), ["x"])
+    assert spark.read.parquet(str(out / "x")).count() == 3 and not (out / "_part").exists()
+
+
 def test_totals_leave_out_repeated_and_blank_keys(spark):
     expected, actual = pair(spark)
     assert [tuple(r) for r in diff.column_totals_diff(expected, actual, ["k"], ["n"]).collect()] == [("n", False)]
