@@ -11,6 +11,7 @@ from ledgerloom.operators import robust
 from ledgerloom.operators.facts import DONE, TOTAL
 from ledgerloom.rules import MAX_BROADCAST_PRODUCTS, RuleSet
 from ledgerloom.session import stage
+from ledgerloom.sources.rows import ROW_ID
 
 RANK = "product_rank"
 POOL = ["pool_code", "pool_name", "scope"]
@@ -43,7 +44,10 @@ def _ranked(df: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 def display_order(df: DataFrame, period: str, order_no: str, line: str) -> list[Column]:
-    """Sort key: list position, period, order number, then numeric lines before text lines."""
+    """Sort key: list position, period, order number, then numeric lines before text lines.
+
+    Rows that are alike in all of these stay in ledger order.
+    """
     text = clean(cell_text(df, line))
     number = text.try_cast("decimal(38,10)")
     return [
@@ -53,6 +57,7 @@ def display_order(df: DataFrame, period: str, order_no: str, line: str) -> list[
         number.isNull(),
         number,
         F.when(number.isNull(), text),
+        *([F.col(ROW_ID)] if ROW_ID in df.columns else []),
     ]
 
 
@@ -228,7 +233,10 @@ def analysis_columns(rules: RuleSet) -> list[str]:
 
 
 def analysis_table(scored: DataFrame, rules: RuleSet, ordered: bool = False) -> DataFrame:
-    """Analysis output under its labels; ``ordered`` adds the global display sort."""
+    """Analysis output under its labels; ``ordered`` adds the global display sort.
+
+    Without a whitelist the display order is that of the ledger.
+    """
     month = C.MONTH if C.MONTH in scored.columns else C.PERIOD
     values = {
         "月份": month, "成本中心": C.COST_CENTER, "产品编码": C.PRODUCT_CODE, "产品名称": C.PRODUCT_NAME,
@@ -251,5 +259,7 @@ def analysis_table(scored: DataFrame, rules: RuleSet, ordered: bool = False) ->
         return F.col(f"`{name}`") if name in scored.columns else F.lit(None).cast("string")
 
     if ordered:
-        scored = scored.orderBy(*display_order(scored, month, C.ORDER_NO, C.ORDER_LINE))
+        as_read = not rules.products and ROW_ID in scored.columns
+        order = [F.col(ROW_ID)] if as_read else display_order(scored, month, C.ORDER_NO, C.ORDER_LINE)
+        scored = scored.orderBy(*order)
     return scored.select(*[value(c).alias(c) for c in analysis_columns(rules)])

@@ -27,14 +27,16 @@ def widths(*steps: float) -> tuple[Bucket, ...]:
 
 
 # Logs of unit costs lie within -33..56, which bounds the first histogram at 712 rows per
-# pool; the second has at most 1024. Values sharing a fine bucket differ by 0.013 %.
-LOG_BUCKETS = widths(2.0**-3, 2.0**-13)
+# pool; each further one has at most 1024. The search ends early, at the first level whose
+# crossing buckets are small enough to order, and that is nearly always the second.
+LOG_BUCKETS = widths(2.0**-3, 2.0**-13, 2.0**-23, 2.0**-33)
+SORTED_ROWS = 100_000
 
 
-def _crossing(weights: DataFrame, pool: list[str], by: str, weight: str = "_w") -> DataFrame:
+def _crossing(weights: DataFrame, pool: list[str], by: str, weight: str = "_w", *more: str) -> DataFrame:
     """The row per pool where the running weight passes half, with the weight ``_below`` it.
 
-    Input columns ``_below`` and ``_total`` of an earlier step are carried along.
+    Input columns ``_below`` and ``_total`` of an earlier step are carried along, as are ``more``.
     """
     keys = ", ".join(pool)
     upto = f"sum({weight}) OVER (PARTITION BY {keys} ORDER BY {by} ROWS UNBOUNDED PRECEDING)"
@@ -45,10 +47,10 @@ def _crossing(weights: DataFrame, pool: list[str], by: str, weight: str = "_w")
             f"sum({weight}) OVER (PARTITION BY {keys}) AS _total",
             f"sum(_n) OVER (PARTITION BY {keys}) AS _pool_n",
         ]
-    running = weights.selectExpr(*pool, by, weight, *carried, f"{upto} AS _upto")
+    running = weights.selectExpr(*pool, by, weight, *more, *carried, f"{upto} AS _upto")
     before = f"_below + _upto - {weight}"
     return running.where(f"(_below + _upto) * 2 > _total AND ({before}) * 2 <= _total").selectExpr(
-        *pool, by, f"CAST({before} AS {WEIGHT}) AS _below", f"CAST(_total AS {WEIGHT}) AS _total", "_pool_n"
+        *pool, by, f"CAST({before} AS {WEIGHT}) AS _below", f"CAST(_total AS {WEIGHT}) AS _total", "_pool_n", *more
     )
 
 
@@ -71,13 +73,17 @@ def weighted_median(
     for bucket in buckets:
         rows = rows.withColumn("_b", bucket(F.col("_v")))
         histogram = rows.groupBy(*pool, "_b", *carried).agg(
-            F.sum("_w").cast(WEIGHT).alias("_w"), *([] if carried else [F.count(F.lit(1)).alias("_n")])
+            F.sum("_w").cast(WEIGHT).alias("_w"),
+            F.count(F.lit(1)).alias("_rows"),
+            *([] if carried else [F.count(F.lit(1)).alias("_n")]),
         )
         # One row per pool. Being written, its size is known to the planner: it broadcasts a
         # small table, so the rows are not shuffled, and merges with a large one.
-        found = stage(_crossing(histogram, pool, "_b"), "crossing")
-        rows = rows.drop(*carried).join(found, [*pool, "_b"])
+        found = stage(_crossing(histogram, pool, "_b", "_w", "_rows"), "crossing")
+        rows = rows.drop(*carried).join(found.drop("_rows"), [*pool, "_b"])
         carried = ["_below", "_total", "_pool_n"]
+        if (found.agg(F.max("_rows")).first()[0] or 0) <= SORTED_ROWS:
+            break
     distinct = rows.groupBy(*pool, "_v", *carried).agg(
         F.sum("_w").cast(WEIGHT).alias("_w"), *([] if carried else [F.count(F.lit(1)).alias("_n")])
     )

@@ -105,14 +105,15 @@ class CostRun:
 def run(
     ledger: DataFrame, rules: RuleSet, months: MonthRange | None = None, blank_text: bool = True
 ) -> CostRun:
-    """Plan a run. Two tables are staged: every output is derived from one of them.
+    """Plan a run. Two tables and the number of rows read are staged.
 
     The routed ledger holds keys, buckets and decimals of every row, so they are computed
     once. It is partitioned by route, so each output reads only its own part;
     the facts hold one row per valid quantity row. ``blank_text=False`` is for ledgers whose
     blank cells are NULL already, such as those of the text reader.
     """
-    reader_rows = ledger.agg(F.count(F.lit(1)).alias("reader_rows"))
+    # counted once: every count, metric and record of the run reads this one row
+    reader_rows = stage(ledger.agg(F.count(F.lit(1)).alias("reader_rows")), "reader_rows")
     routed = facts.prepare_routed(route(normalize(ledger, months, blank_text=blank_text)), rules)
     routed = stage(routed, "routed", partition_by=(ROUTE,))
     prepared = routed.where(F.col(ROUTE).isin(QTY, DETAIL))

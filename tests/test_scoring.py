@@ -142,3 +142,19 @@ def test_quality_rates(spark):
     assert values == ["9", "4", "4", "0", "0", "4", "0.00%", "0", "0", "25.00%"]
     empty = quality.quality_metrics(counts.withColumn("ledger_rows", F.lit(0)), months_filtered=True).orderBy("position").collect()
     assert [r["value"] for r in empty][6] == "N/A" and empty[9]["description"] == C.EMPTY_FILTER_TEXT
+
+
+def test_dense_pool_goes_on_to_finer_buckets(spark, monkeypatch):
+    monkeypatch.setattr(robust, "SORTED_ROWS", 50)
+    rows = spark.range(20_000).selectExpr("'p' AS p", "CAST(1 + ((id * 7919) % 20000) * 0.005 / 20000 AS double) AS v", "1 + id % 3 AS w")
+    got = robust.weighted_median(rows, ["p"], "v", "w").first()
+    values = sorted((r["v"], r["w"]) for r in rows.collect())
+    total, running = sum(w for _, w in values), 0
+    for v, w in values:
+        running += w
+        if running * 2 > total:
+            break
+    assert (got["median"], got["pool_rows"]) == (v, 20_000)
+    # the last step orders no more than the rows of one bucket of the last level
+    finest = max(sum(1 for x, _ in values if x // 2.0**-33 == y // 2.0**-33) for y, _ in values[::97])
+    assert finest <= 50
