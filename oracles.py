@@ -318,7 +318,7 @@ def all_oracles() -> dict[str, str]:
     def named(values: dict[str, str]) -> str:
         return ", ".join(f"{v} AS {k}" for k, v in values.items())
 
-    return {
+    texts = {
         "total_row_filter": "SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT contains(o_orderpriority, 'LOW')",
         "period_key_label": with_(PERIODS, select="SELECT o_orderkey, period_key, month_label FROM labelled"),
         "month_range_filter": with_(
@@ -544,3 +544,10 @@ def all_oracles() -> dict[str, str]:
             select="SELECT problem, count(*) AS problem_rows, CAST(sum(display_order) AS BIGINT) AS order_sum FROM found GROUP BY 1",
         ),
     }
+    # what is published is what the run's table shows
+    texts["published_quantity"] = texts["quantity_table"]
+    items = ",".join(f'"{i}"' for i in C.STANDALONE_ITEMS["sk"])
+    texts["rules_fingerprint"] = f"""WITH p AS (SELECT p_brand AS code, p_type AS name, min(p_partkey) AS d FROM part GROUP BY 1, 2)
+      SELECT 'sk' AS rule_set, sha256('{{"name":"sk","products":[' || string_agg('{{"display_order":' || d || ',"code":"' || code ||
+        '","name":"' || name || '"}}', ',' ORDER BY d, code, name) || '],"standalone_items":[{items}]}}') AS fingerprint FROM p"""
+    return texts

@@ -291,6 +291,16 @@ def quantity_table(spark, sf_dir):
     )
 
 
+def published_quantity(spark, sf_dir):
+    """The quantity output as published: the whole run is written, moved into place and read back."""
+    target = f"{staging_root(spark)}/ledgerloom/{uuid.uuid4().hex}/published"
+    paths = derived_run(spark, sf_dir).publish(target)
+    return spark.read.parquet(paths[C.QTY_TABLE]).select(
+        *[F.col(c).alias(a) for c, a in QTY_OUTPUT.items()],
+        *[F.round(F.col(c), 8).cast("double").alias(a) for c, a in QTY_UNITS.items()],
+    )
+
+
 QTY_OUTPUT = {
     C.MONTH: "month", C.COST_CENTER: "cost_center", C.PRODUCT_CODE: "product_code", C.PRODUCT_NAME: "product_name",
     C.SPEC: "spec", C.ORDER_NO: "order_no", C.ORDER_LINE: "order_line", "本期完工直接材料合计完工金额": "dm_amount",
@@ -654,6 +664,6 @@ def all_queries():
         month_filtered_quality, run_record, null_profile, content_identity, text_ledger_scan, cell_diff,
         cell_diff_report, column_totals_diff, group_totals_diff, dup_blank_keys, numeric_problems,
         run_contract_diff, product_dim_check, rules_fingerprint, amount_limits, cell_diff_columns,
-        cell_diff_repeated_keys, shape_diff, run_compare, text_identity,
+        cell_diff_repeated_keys, shape_diff, run_compare, text_identity, published_quantity,
     )
     return {q.__name__: q for q in chosen}
