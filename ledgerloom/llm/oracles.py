@@ -38,5 +38,38 @@ FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN
 """
 
 
+OP3 = """
+WITH RECURSIVE sound AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+    ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+        AND list_cosine_similarity(a.v, b.v) >= 0.93
+), reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+), roots AS (
+    SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a
+), counts AS (
+    SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN roots USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+OP5 = """
+WITH payloads AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first, payload_bytes >= 100 AS long_enough FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN long_enough AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN long_enough AND first <> page_id THEN first END AS refers_to FROM firsts
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op4_fair_mix": OP4}
+    return {"op3_embedding_dedup": OP3, "op4_fair_mix": OP4, "op5_warc": OP5}
