@@ -143,6 +143,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         .where("n > 1")
         .select("digest", "first")
     )
+    # written first: if few payloads repeat, Spark sees that and leaves the pages where they are
+    firsts = stage(firsts, "firsts")
     refers = F.when(F.col("first") != F.col("row"), F.col("first"))
     named = rows.join(firsts, "digest", "left").select(
         "row", F.col("id").cast("string").alias("id"), "url",
