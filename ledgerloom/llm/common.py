@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ from ledgerloom.session import stage
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 # Characters a task handles at a time, so that its memory follows the longest text only.
 SLICE_CHARS = 4_000_000
+# Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = str(8 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +57,42 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             out.write(path, path.relative_to(root.parent))
     context.addPyFile(str(archive))
+    # rows hold whole texts, so batches are bounded by bytes; a setting of the user's own stays
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     _shipped[context.applicationId] = folder
 
 
+def _returning(function: Callable) -> Callable:
+    """``function`` on the batches of a task, handing freed memory back when the task ends.
+
+    Python workers live on from task to task and beside each other. What the allocators keep of one task's
+    peak would otherwise count against the executor while the next operator runs.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def map_frames(df: DataFrame, function: Callable, schema) -> DataFrame:
     """``mapInPandas`` with the package shipped."""
     ship(df.sparkSession)
-    return df.mapInPandas(function, schema)
+    return df.mapInPandas(_returning(function), schema)
+
+
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with the package shipped."""
+    ship(df.sparkSession)
+    return df.mapInArrow(_returning(function), schema)
 
 
 def text_slices(

@@ -154,7 +154,6 @@ def near_duplicates(
     base = vectors.select(
         F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label")
     )
-    kind = dict(base.dtypes)["embedding"]
     rows = stage(base.withColumn("row", F.monotonically_increasing_id()), "vectors")
     sound = rows.where(
         F.col("label").isNotNull()

@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_frames, ship, text_slices
+from ledgerloom.llm.common import map_batches, map_frames, text_slices
 
 UNKNOWN = "und"
 # Bounds of the training sample of a language: documents, characters of each, dictionary bytes.
@@ -117,5 +117,4 @@ def accepted_rows(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str
             texts = batch.column(text_col).to_pylist()
             yield batch.filter(pa.array([model.predict(t)[3] for t in texts], type=pa.bool_()))
 
-    ship(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

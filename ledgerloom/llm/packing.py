@@ -22,7 +22,7 @@ DIMENSIONS = 3
 BITS = 16
 BUCKETS = 512
 # Words an encoder remembers before the older half is forgotten.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 150_000
 # White space to Python's split() beyond the six bytes that words are cut at.
 _SPACES = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")

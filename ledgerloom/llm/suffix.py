@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import passages as P
-from ledgerloom.llm.common import map_frames, ship, text_slices
+from ledgerloom.llm.common import map_batches, map_frames, text_slices
 from ledgerloom.llm.ordering import range_sorted, running_total
 from ledgerloom.session import stage
 
@@ -198,8 +198,7 @@ def _thirds(texts: DataFrame, split: DataFrame, window: int, seed: int) -> DataF
                 flat = [pa.array(x.astype(np.int64)) for x in (core, hull, order, low)]
                 yield pa.RecordBatch.from_arrays([*flat, lists], ["core", "hull", "ord", "low", "windows"])
 
-    ship(texts.sparkSession)
-    return joined.mapInArrow(run, "core long, hull long, ord long, low long, windows array<long>")
+    return map_batches(joined, run, "core long, hull long, ord long, low long, windows array<long>")
 
 
 def _repeated_windows(thirds: DataFrame, window: int) -> DataFrame:
@@ -264,8 +263,7 @@ def _cut(texts: DataFrame, window: int, seed: int, carry: str) -> DataFrame:
     joined = _packed_texts(texts).join(spans, "ord", "left").join(texts.select("ord", carry), "ord")
     field = texts.schema[carry]
     schema = T.StructType([field]).add("n_bytes", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
-    ship(texts.sparkSession)
-    return joined.select(carry, "packed", "spans").mapInArrow(cut, schema)
+    return map_batches(joined.select(carry, "packed", "spans"), cut, schema)
 
 
 def remove_repeats(
@@ -302,7 +300,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             text = pa.array([k.decode(errors="ignore") for k in batch.column("kept").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("rest"), text], ["rest", "text"])
 
-    joined = cut.mapInArrow(decode, T.StructType([texts.schema["rest"]]).add("text", "string"))
+    joined = map_batches(cut, decode, T.StructType([texts.schema["rest"]]).add("text", "string"))
     columns = {c: F.col("text") if c == text_col else F.col("rest")[c] for c in docs.columns}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
