@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import docstats, langid, mixing, ppm, quality_model, quality_rules, simhash, suffix
+from ledgerloom.llm import docstats, langid, mixing, near_copies, ppm, quality_model, quality_rules, simhash, suffix
 from tests.llm.helpers import documents, linked_roots, sample_texts
 
 
@@ -310,3 +310,54 @@ def test_sha_of_whole_text():
     from ledgerloom.llm import passages
 
     assert passages.sha256(b"abc") == hashlib.sha256(b"abc").hexdigest()
+
+
+# ------------------------------------------------------------------ near copies of the pipeline
+def naive_shingles(text: str | None) -> frozenset:
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def near_roots(texts: dict) -> dict:
+    sets = {i: naive_shingles(t) for i, t in texts.items()}
+    return linked_roots(sorted(sets), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+
+
+def edited(rng: random.Random, text: str, n: int) -> str:
+    words = text.split()
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_near_copies_match_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    bases = [" ".join(f"v{rng.randrange(500)}" for _ in range(rng.randint(80, 300))) for _ in range(12)]
+    texts = sample_texts(6) + [edited(rng, b, n) for b in bases for n in (0, 1, 2, 3, 5, 8)]
+    chain = bases[0].split()
+    texts += [" ".join(chain[k:] + [f"c{j}" for j in range(k)]) for k in range(0, 40, 4)]
+    roots = near_roots(dict(enumerate(texts)))
+    docs = documents(spark, texts).repartition(3)
+    for rounds, few in ((near_copies.PIVOT_ROUNDS, near_copies.FEW), (6, 0), (0, 0)):
+        monkeypatch.setattr(near_copies, "PIVOT_ROUNDS", rounds)
+        monkeypatch.setattr(near_copies, "FEW", few)
+        kept = near_copies.keep_one(docs)
+        assert kept.columns == docs.columns
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots.values()))
+    # the two-bit balls of op9 leave near copies behind
+    assert simhash.keep_one(docs).count() > len(set(roots.values()))
+
+
+def test_pipeline_drops_near_copies(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    roots = near_roots({r["doc_id"]: r["text"] for r in docs.collect()})
+    kept = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, sf_dir)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots.values()))
+
+
+def test_near_copies_null_ids_and_empty(spark):
+    docs = documents(spark, ["same text here", "Same  text here", None, " "], ids=[None, None, 2**60 + 1, 2**60 + 2])
+    assert [r["doc_id"] for r in near_copies.keep_one(docs).orderBy("doc_id").collect()] == [None, 2**60 + 1]
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
