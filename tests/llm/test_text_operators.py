@@ -256,6 +256,19 @@ def test_language_by_compression(spark):
     assert langid.learn_dictionaries(docs.limit(0), F.lit(True)) == {}
 
 
+def test_language_of_very_long_text(spark):
+    rng = random.Random(4)
+    vocab = {lang: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(2_000)] for lang in ("aa", "bb", "cc")}
+    draw = lambda lang, n: " ".join(rng.choice(vocab[lang]) for _ in range(n))
+    learned = {lang: draw(lang, 10_000).encode() for lang in vocab}
+    model = langid.Compressors(learned)
+    texts = [(k, draw(lang, 600_000)) for k, lang in enumerate(vocab)]
+    for lang, (_, text) in zip(vocab, texts, strict=True):
+        found, margins = zip(*[(p[0], p[2]) for p in map(model.predict, (text[:10_000], text[:300_000], text))], strict=True)
+        assert set(found) == {lang} and max(margins) < 2 * min(margins)
+    assert langid.accepted_rows(spark.createDataFrame(texts, "doc_id long, text string"), learned).count() == 3
+
+
 # ------------------------------------------------------------------ 9: simhash
 def naive_fingerprint(text: str | None) -> int:
     words = (text or "").encode().lower().split()
