@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import map_batches, map_frames, text_slices
 
 UNKNOWN = "und"
-# Bounds of the training sample of a language: documents, characters of each, dictionary bytes.
-SAMPLE_DOCS = 128
-SAMPLE_CHARS = 2_000
+# Bounds of the training sample of a language: distinct texts, characters of the piece of each, dictionary bytes.
+SAMPLE_TEXTS = 1_024
+PIECE_CHARS = 500
 DICTIONARY_BYTES = 64_000
 MAX_LANGUAGES = 200
 LEVEL = 6
@@ -35,22 +35,23 @@ def learn_dictionaries(
 ) -> dict[str, bytes]:
     """Raw dictionary of every language from rows where ``train`` holds and text and language are set.
 
-    A language is learned from its SAMPLE_DOCS rows of the smallest id hash, SAMPLE_CHARS
-    characters of each, DICTIONARY_BYTES in all: a bounded sample of fixed size per language. More than
-    MAX_LANGUAGES languages are an error, as the dictionaries are sent to every task.
+    A language is learned from its distinct texts of the smallest hash: a piece of PIECE_CHARS characters of
+    each, from a place in the whole text that its hash gives, until DICTIONARY_BYTES are full or SAMPLE_TEXTS texts
+    are used. Copies of a text count once. More than MAX_LANGUAGES languages are an error, as the dictionaries
+    are sent to every task.
     """
-    mark = F.xxhash64(F.col(id_col).cast("string"), F.lit("langid"))
-    picked = (
-        docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.trim(text_col) != ""))
-        .select(
-            F.col(lang_col).alias("lang"),
-            F.substring(text_col, 1, SAMPLE_CHARS).alias("text"),
-            mark.alias("mark"),
-        )
-        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "text")))
-        .where(F.col("n") <= SAMPLE_DOCS)
+    mark = F.xxhash64(text_col, F.lit("langid"))
+    usable = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.trim(text_col) != ""))
+    texts = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), mark.alias("mark"))
+    ranked = texts.select("lang", "mark").distinct().withColumn(
+        "n", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
     )
-    sampled = picked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("rows"))
+    picked = texts.join(F.broadcast(ranked.where(F.col("n") <= SAMPLE_TEXTS)), ["lang", "mark"])
+    places = F.greatest(F.char_length("text") - PIECE_CHARS, F.lit(0)) + 1
+    start = F.pmod(F.xxhash64("mark", F.lit("piece")), places.cast("long")).cast("int") + 1
+    pieces = picked.select("lang", "n", F.substring("text", start, F.lit(PIECE_CHARS)).alias("text"))
+    one = pieces.groupBy("lang", "n").agg(F.min("text").alias("text"))
+    sampled = one.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("rows"))
     rows = sampled.limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")

@@ -269,6 +269,22 @@ def test_language_of_very_long_text(spark):
     assert langid.accepted_rows(spark.createDataFrame(texts, "doc_id long, text string"), learned).count() == 3
 
 
+def test_language_sample_takes_distinct_pieces(spark):
+    rng = random.Random(5)
+    opening = "".join(rng.choice("abcdefgh ") for _ in range(3_000))
+    own = lambda k: "".join(rng.choice("ijklmnop ") for _ in range(9_000)) + f" {k}"
+    copy = own(-1)
+    rows = [(k, opening + own(k), "aa") for k in range(150)] + [(200 + k, copy, "bb") for k in range(60)]
+    rows += [(300 + k, own(k), "bb") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.learn_dictionaries(docs, F.lit(True))
+    assert len(learned["aa"]) == langid.DICTIONARY_BYTES
+    # mostly what follows the shared opening, and no piece twice
+    assert sum(c in b"ijklmnop" for c in learned["aa"]) > langid.DICTIONARY_BYTES / 2
+    pieces = learned["bb"].split(b"\n")
+    assert len(pieces) == len(set(pieces)) == 6 and {len(p) for p in pieces} == {langid.PIECE_CHARS}
+
+
 # ------------------------------------------------------------------ 9: simhash
 def naive_fingerprint(text: str | None) -> int:
     words = (text or "").encode().lower().split()
