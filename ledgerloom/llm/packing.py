@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_frames, text_slices
+from ledgerloom.llm.common import WORD_PATTERN, map_frames, text_slices
 from ledgerloom.llm.ordering import range_sorted, running_total
 from ledgerloom.session import stage
 
@@ -21,26 +23,29 @@ END_ID = 2
 DIMENSIONS = 3
 BITS = 16
 BUCKETS = 512
-# Words an encoder remembers before the older half is forgotten.
-REMEMBERED_WORDS = 150_000
-# White space to Python's split() beyond the six bytes that words are cut at.
-_SPACES = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_PRINTABLE = re.compile(r"[!-~]+")
+# Pieces an encoder remembers before the older half is forgotten, and characters it cuts at a time.
+REMEMBERED = 200_000
+SEGMENT_CHARS = 1_000_000
+# Texts of printable ASCII, Latin-1 and the six bytes that words are cut at: none of their characters changes or
+# joins another when a text is normalised, but for the case.
+_PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff\x20\x09-\x0d]*")
+_SPACE = re.compile(r"[\x20\x09-\x0d]")
+_WORD = re.compile(WORD_PATTERN)
 _encoders: dict[str, Encoder] = {}
 
 
-class Encoder:
-    """Token ids of texts, exactly as the tokenizer gives them, with words remembered.
+class Encoder(dict):
+    """Token ids of texts, exactly as the tokenizer gives them, with pieces of words remembered.
 
     Only for tokenizers that drop white space and never join across it: then a text's ids are those of
-    its words in turn. Words of printable ASCII are cut by the tokenizer's own pattern and
-    go to its model directly; all others go through the whole tokenizer.
+    its words in turn. Plain texts are cut by the tokenizer's own pattern, whose pieces go to its model
+    directly; of all others each word that is not plain goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
@@ -50,40 +55,72 @@ class Encoder:
             raise ValueError(f"{path} doesn't drop white space between words")
         lowers = any(n["type"] == "Lowercase" for n in setup["normalizer"]["normalizers"])
         self.lower = str.lower if lowers else str
-        self.pieces = regex.compile(split["pattern"]["Regex"])
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in setup["added_tokens"]) or r"(?!)")
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
-        self.new: dict[str, bytes] = {}
+        self.special = [t["content"] for t in setup["added_tokens"]]
+        # the classes of the pattern, spelled out for the characters of plain texts
+        pattern = split["pattern"]["Regex"]
+        for name in ("L", "N"):
+            chars = regex.findall(rf"\p{{{name}}}", "".join(map(chr, range(0x21, 0x100))))
+            pattern = pattern.replace(rf"\p{{{name}}}", "".join(map(re.escape, chars)))
+        self.pattern = re.compile(pattern)
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 65_536 else "I"
+        self.kind = "<u2" if self.code == "H" else "<u4"
+        self.bytes_as = _byte_letters()
         self.old: dict[str, bytes] = {}
-        self.piece_ids: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.piece_ids.get(piece)
+    def __missing__(self, piece: str) -> bytes:
+        """Ids of a piece of a plain text, or of a whole word that is not plain."""
+        ids = self.old.get(piece)
         if ids is None:
-            if len(self.piece_ids) >= REMEMBERED_WORDS:
-                self.piece_ids.clear()
-            ids = np.array([t.id for t in self.model.tokenize(piece)], dtype=self.kind).tobytes()
-            self.piece_ids[piece] = ids
+            if piece.isascii():
+                found = [t.id for t in self.model.tokenize(piece)]
+            else:
+                found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes_as))]
+            ids = array(self.code, found).tobytes()
+        self[piece] = ids
         return ids
 
-    def _learn(self, words: set[str]) -> None:
-        rest = []
-        for word in words:
-            if word in self.old:
-                self.new[word] = self.old[word]
-            elif _PRINTABLE.fullmatch(word) and not self.special.search(word):
-                self.new[word] = b"".join(map(self._piece, self.pieces.findall(self.lower(word))))
-            else:
-                rest.append(word)
-        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.new[word] = np.array(found.ids, dtype=self.kind).tobytes()
+    def _plain(self, text: str) -> bytes:
+        found = []
+        for part in _segments(text):
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            found.append(b"".join(map(self.__getitem__, self.pattern.findall(self.lower(part)))))
+        return b"".join(found)
+
+    def _other(self, text: str) -> bytes:
+        """Ids of a text with characters that are not plain, or with a special token."""
+        words = _WORD.findall(text)
+        odd = [w for w in set(words) if not self._is_plain(w)]
+        known = {}
+        for at in range(0, len(odd), 10_000):
+            part = odd[at : at + 10_000]
+            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[word] = array(self.code, got.ids).tobytes()
+        return b"".join(known[w] if w in known else self._plain(w) for w in words)
+
+    def _is_plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.new) >= REMEMBERED_WORDS:
-            self.old, self.new = self.new, {}
-        cut = [_WORD.findall(t) if _SPACES.search(t) else t.split() for t in texts]
-        self._learn({w for words in cut for w in words} - self.new.keys())
-        return [np.frombuffer(b"".join(map(self.new.__getitem__, words)), dtype=self.kind) for words in cut]
+        found = (self._plain(t) if self._is_plain(t) else self._other(t) for t in texts)
+        return [np.frombuffer(ids, dtype=self.kind) for ids in found]
+
+
+def _segments(text: str) -> Iterator[str]:
+    """Parts of about SEGMENT_CHARS characters, cut at white space."""
+    at = 0
+    while len(text) - at > SEGMENT_CHARS and (space := _SPACE.search(text, at + SEGMENT_CHARS)):
+        yield text[at : space.start()]
+        at = space.end()
+    yield text[at:]
+
+
+def _byte_letters() -> dict[int, str]:
+    """Letter that byte-level models write for each byte: printable Latin-1 stays, others follow from U+0100 on."""
+    stay = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    moved = [b for b in range(256) if b not in set(stay)]
+    return {b: chr(b) for b in stay} | {b: chr(0x100 + n) for n, b in enumerate(moved)}
 
 
 def encoder(path: str) -> Encoder:

@@ -150,7 +150,8 @@ def test_encoder_is_the_tokenizer():
 
 
 def test_encoder_forgets(monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 3)
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    monkeypatch.setattr(packing, "SEGMENT_CHARS", 12)
     encoder, plain = packing.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
     for text in ("a b c d e", "a b c d e", "f g", "a f é", "é z", "a b"):
         assert encoder.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
