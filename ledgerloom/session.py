@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,4 +60,49 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     spark = df.sparkSession
     path = f"{staging_root(spark)}/ledgerloom/{uuid.uuid4().hex}/{name}"
     df.write.partitionBy(*partition_by).parquet(path)
+    if _scopes:
+        _scopes[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class StagingScope:
+    """Folders staged while the scope is open."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leave the table that was staged last, which ``df`` reads, out of the scope."""
+        kept = self.paths.pop()
+        if len(_scopes) > 1 and _scopes[-1] is self:
+            _scopes[-2].paths.append(kept)
+        return df
+
+    def drop(self) -> None:
+        """Delete the folders. Results that still read them can't be computed any more."""
+        jvm = self.spark._jvm
+        conf = self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        self.paths.clear()
+
+
+_scopes: list[StagingScope] = []
+
+
+@contextmanager
+def staging_scope(spark: SparkSession, drop: bool = True) -> Iterator[StagingScope]:
+    """Collect what is staged inside and, where ``drop`` holds, delete it at the end.
+
+    Tables that the result still reads are kept with ``keep``. Without ``drop`` the caller
+    deletes the folders once the result is written.
+    """
+    scope = StagingScope(spark)
+    _scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _scopes.remove(scope)
+        if drop:
+            scope.drop()
