@@ -2,42 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_frames, text_slices, with_row
+from ledgerloom.llm.common import map_frames, text_slices
 from ledgerloom.llm.components import components
+from ledgerloom.llm.shingles import SEED, shingle_hashes
 from ledgerloom.session import stage
 
 SHINGLE_WORDS = 3
-SEED = 42
 RADIUS = 2
 
 
+def fingerprint(blocks: Iterable[np.ndarray]) -> int:
+    """SimHash of 64-bit hashes, as a signed 64-bit integer; zero for none."""
+    counts, total = np.zeros(64, dtype=np.int64), 0
+    for block in blocks:
+        total += len(block)
+        for at in range(0, len(block), 65_536):
+            raw = block[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits(counts * 2 > total, bitorder="little")
+    return int(bits.view("<i8")[0])
+
+
 def text_fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """SimHash of the word shingles of a text, as a signed 64-bit integer.
 
-    A-Z is lower-cased, repeats count, a text of fewer words is one shingle, none gives zero.
+    A-Z is lower-cased, repeats count, a text of fewer words is one shingle, none gives zero. A long text is
+    hashed a part at a time.
     """
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return 0
-    joined = b" ".join(tokens)
-    last = np.cumsum([len(t) + 1 for t in tokens]) - 1
-    first = np.concatenate(([0], last[:-1] + 1))
-    width = min(words, len(tokens))
-    first, last = first[: len(tokens) - width + 1].tolist(), last[width - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)], dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65_536):
-        bits = np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return fingerprint(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,17 +93,3 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return staged.join(by_fp, "fp").select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` with one document of each near-duplicate class: that of the smallest id.
-
-    Null ids come last; rows that repeat an id count one by one, so exactly one row stays.
-    """
-    rows, row = with_row(docs, "documents")
-    own = rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    staged = stage(fingerprints(own, "row").join(own.select("row", "id"), "row"), "fingerprints")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    classes = stage(staged.groupBy("fp").agg(first), "classes")
-    kept = _rooted(classes).groupBy("root").agg(F.min("first").alias("first"))
-    return rows.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(docs.columns)
