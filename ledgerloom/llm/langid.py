@@ -12,7 +12,7 @@ from ledgerloom.llm.common import map_batches, map_frames, text_slices
 
 UNKNOWN = "und"
 # Bounds of the training sample of a language: distinct texts, characters of the piece of each, dictionary bytes.
-SAMPLE_TEXTS = 1_024
+SAMPLE_TEXTS = 1_000
 PIECE_CHARS = 500
 DICTIONARY_BYTES = 64_000
 MAX_LANGUAGES = 200
@@ -43,18 +43,23 @@ def learn_dictionaries(
     mark = F.xxhash64(text_col, F.lit("langid"))
     usable = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.trim(text_col) != ""))
     texts = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), mark.alias("mark"))
-    ranked = texts.select("lang", "mark").distinct().withColumn(
-        "n", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    langs = texts.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if langs > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    # no more rows than Spark ranks with a limit in every task before the shuffle
+    ranked = (
+        texts.select("lang", "mark")
+        .distinct()
+        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark")))
+        .where(F.col("n") <= SAMPLE_TEXTS)
     )
-    picked = texts.join(F.broadcast(ranked.where(F.col("n") <= SAMPLE_TEXTS)), ["lang", "mark"])
+    picked = texts.join(F.broadcast(ranked), ["lang", "mark"])
     places = F.greatest(F.char_length("text") - PIECE_CHARS, F.lit(0)) + 1
     start = F.pmod(F.xxhash64("mark", F.lit("piece")), places.cast("long")).cast("int") + 1
     pieces = picked.select("lang", "n", F.substring("text", start, F.lit(PIECE_CHARS)).alias("text"))
     one = pieces.groupBy("lang", "n").agg(F.min("text").alias("text"))
     sampled = one.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("rows"))
-    rows = sampled.limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    rows = sampled.collect()
     return {r["lang"]: "\n".join(x["text"] for x in r["rows"]).lower().encode()[:DICTIONARY_BYTES] for r in rows}
 
 
@@ -115,7 +120,11 @@ def identify(
 
 
 def accepted_rows(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns as they are, whose language is told by a wide enough margin."""
+    """Rows of ``docs``, all columns as they are, whose language is told by a wide enough margin.
+
+    Null texts, texts without a letter and, if no language was learned, all rows go. Equal sizes of two languages
+    are margin 0, so such rows go too. Repeated rows stay, an empty table stays empty.
+    """
 
     def run(batches):
         model = Compressors(dictionaries)

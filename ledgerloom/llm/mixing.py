@@ -120,7 +120,12 @@ def fair_mix(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Rows of ``docs`` as often as the mix takes them: not at all, once, or once for each pass."""
+    """Rows of ``docs`` as often as the mix takes them: not at all, once, or once for each pass.
+
+    All columns stay as they are, whatever their names. Null and empty texts have no words and are never taken; null sources are one
+    source, the last; rows that repeat an id or a text are taken one by one, ties in the order are settled by id and row. An empty table
+    stays empty.
+    """
     rows, row = with_row(docs, "documents")
     mix = fair_mix(rows, id_col, text_col, source_col, carry=(row,))
     times = mix.where("taken > 0").select(row, F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))

@@ -290,7 +290,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Rows of ``docs`` with repeated passages cut out of the text; a column ``n_chars`` follows it.
 
     A character that a cut leaves incomplete goes too. Texts that are repeats throughout stay
-    as empty texts.
+    as empty texts, as do null ones. No row goes: rows that repeat an id are texts in the order of their reading,
+    null ids come last. Other columns stay as they are, whatever their names; an empty table stays empty.
     """
     texts = _numbered(docs, id_col, text_col)
     cut = _cut(texts, WINDOW, SEED, "rest").select("rest", "kept")
