@@ -64,7 +64,7 @@ class Encoder(dict):
         self.pattern = re.compile(pattern)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 65_536 else "I"
         self.kind = "<u2" if self.code == "H" else "<u4"
-        self.bytes_as = _byte_letters()
+        self.bytes_as = byte_letters()
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -116,7 +116,7 @@ def _segments(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """Letter that byte-level models write for each byte: printable Latin-1 stays, others follow from U+0100 on."""
     stay = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     moved = [b for b in range(256) if b not in set(stay)]

@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import embeddings, langid, mixing, packing, ppm, quality_model, quality_rules, simhash, suffix, warc
+from ledgerloom.llm import (
+    align, collocations, decontaminate, embeddings, langid, mixing, packing, ppm, quality_model, quality_rules, simhash,
+    suffix, warc,
+)
 from ledgerloom.llm.common import fold, table
 from ledgerloom.session import stage, staging_root
 
@@ -107,6 +110,36 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and id links of two tokenizers over all documents."""
+    import public_tokenizers
+
+    return align.alignment_digests(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that benchmark windows of ten words cover."""
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    n_hit = decontaminate.hit_words("spans")
+    return decontaminate.find_contamination(docs, benchmark).select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_ppm_scoring": op1_ppm_scoring,
@@ -119,4 +152,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
         "op10_curve_packing": op10_curve_packing,
+        "op11_tokenizer_alignment": op11_tokenizer_alignment,
+        "op12_phrase_mining": op12_phrase_mining,
+        "op13_decontamination": op13_decontamination,
     }

@@ -188,7 +188,7 @@ def test_packing_is_gapless(spark):
 @pytest.mark.parametrize("name", sorted(llm_oracles()))
 def test_queries_match_sql(spark, sf_dir, name):
     connection = duckdb.connect()
-    for name_of in ("documents", "embeddings", "pages"):
+    for name_of in ("documents", "embeddings", "pages", "benchmark"):
         connection.execute(f"CREATE VIEW {name_of} AS SELECT * FROM '{sf_dir}/{name_of}.parquet'")
     expected = connection.execute(llm_oracles()[name]).df()
     got = llm_queries()[name](spark, sf_dir).toPandas()[list(expected.columns)]
