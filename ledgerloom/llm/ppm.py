@@ -108,6 +108,18 @@ def _gram_steps(texts: list[bytes], order: int):
         yield flush()
 
 
+class _Places(dict):
+    """Places of words, found by their hash in ``by_key`` when first asked for."""
+
+    def __init__(self, by_key: dict[int, int]):
+        super().__init__()
+        self.by_key = by_key
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = self.by_key[word_key(word)]
+        return place
+
+
 def _requests(order: int):
     """Rows ``kind``, ``key``, ``run``, ``n``: training count in a run of each word and gram it holds."""
 
@@ -229,10 +241,9 @@ def score_texts(
         asked.withColumns(
             {
                 "c": F.sum("n").over(by_key),
-                "runs": F.count("*").over(by_key),
                 "head": F.row_number().over(by_key.orderBy("run")) == 1,
             }
-        ).select("kind", "key", "run", "n", "c", "runs", "head"),
+        ).select("kind", "key", "run", "n", "c", "head"),
         "counts",
     )
     words = counts.where(F.col("kind") == _WORD_ROW)
@@ -242,10 +253,8 @@ def score_texts(
     grams = counts.where(F.col("kind") == _GRAM_ROW)
     heads = grams.where("head").select("key", "c")
     lengths = code_lengths(heads.select("key"), trie_levels(heads, order))
-    # words of one run only need no answer: that run's own count is the total
     answers = (
-        words.where("runs > 1")
-        .select("run", "kind", "key", F.col("c").cast("double").alias("value"))
+        words.select("run", "kind", "key", F.col("c").cast("double").alias("value"))
         .unionByName(grams.select("run", "kind", "key").join(lengths.withColumnRenamed("lp", "value"), "key"))
     )
 
@@ -269,23 +278,23 @@ def score_texts(
         coder = zstandard.ZstdDecompressor()
         data = [coder.decompress(p) for p in frame["packed"]]
         is_word = (known["kind"] == _WORD_ROW).to_numpy()
-        totals = dict(zip(known["key"][is_word].tolist(), known["value"][is_word].tolist(), strict=True))
-        local = _train_words(data, frame["train"].to_numpy(dtype=bool))
-        tokens = {w: totals.get(word_key(w), float(n)) for w, n in local.items()}
-        base_of = {w: np.log10((c + 1) / (n_train + n_distinct + 1)) for w, c in tokens.items()}
+        counts = known["value"][is_word].to_numpy()
+        place = dict(zip(known["key"][is_word].tolist(), range(len(counts)), strict=True))
+        base_of = np.log10((counts + 1) / (n_train + n_distinct + 1))
+        # a word's place among the answers is looked up by its hash once, then by the word itself
+        places = _Places(place)
         n_tokens, n_known, base = [], [], []
         for text in data:
             own = text.split()
             own.append(_END_TOKEN)
+            at = np.fromiter(map(places.__getitem__, own), dtype=np.int64, count=len(own))
             n_tokens.append(len(own))
-            n_known.append(sum(tokens[w] > 0 for w in own))
-            base.append(float(np.sum([base_of[w] for w in own])))
-        grams = known[~is_word].sort_values("key")
-        keys, lp = grams["key"].to_numpy(), grams["value"].to_numpy()
+            n_known.append(int(np.count_nonzero(counts[at])))
+            base.append(float(base_of[at].sum()))
+        lp, index = known["value"][~is_word].to_numpy(), pd.Index(known["key"][~is_word].to_numpy())
         scores = np.zeros(len(data))
         for found, owner in _gram_steps(data, order):
-            code, distinct = pd.factorize(found)
-            scores += np.bincount(owner, lp[np.searchsorted(keys, distinct)][code], len(data))
+            scores += np.bincount(owner, lp[index.get_indexer(found)], len(data))
         return pd.DataFrame(
             {
                 "id": frame["id"],
