@@ -23,6 +23,8 @@ SIMILARITY = (4, 5)
 BANDS, BAND_ROWS = 24, 5
 # Shingles that are min-hashed at a time.
 STEP = 1_024
+# Bits, as a power of two, of the parity map of a set: two sets differ in at least as many shingles as their maps in bits.
+MAP_BITS = 10
 # Rounds of comparisons with up to PIVOTS nodes each, before all pairs that are still apart are compared;
 # that comes at once where it takes no more than FEW pairs a row.
 PIVOT_ROUNDS, PIVOTS, FEW = 3, 4, 4
@@ -74,17 +76,26 @@ def _signatures(own: DataFrame) -> DataFrame:
     return map_batches(own, run, f"row long, id {kind}, ident binary, fp long, bands array<long>")
 
 
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """Longs of 2**MAP_BITS bits; a bit says whether an odd number of shingles fell on it."""
+    odd = np.bincount((shingles >> np.uint64(64 - MAP_BITS)).astype(np.int64), minlength=1 << MAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sets(own: DataFrame) -> DataFrame:
-    """``node``, ``size`` and ``shingles`` of every text."""
+    """``node``, ``size``, ``shingles`` and their parity ``map`` of every text."""
 
     def run(batches):
         for batch in batches:
-            found = [shingle_set(text.as_py()).view(np.int64) for text in batch.column("text")]
+            found = [shingle_set(text.as_py()) for text in batch.column("text")]
             sizes = pa.array([len(x) for x in found], pa.int64())
-            lists = pa.array(found, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), sizes, lists], names=["node", "size", "shingles"])
+            lists, maps = (
+                pa.array(x, pa.list_(pa.int64())) for x in ([f.view(np.int64) for f in found], list(map(parity_map, found)))
+            )
+            columns = [batch.column("row"), sizes, lists, maps]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "shingles", "map"])
 
-    return map_batches(own.select("row", "text"), run, "node long, size long, shingles array<long>")
+    return map_batches(own.select("row", "text"), run, "node long, size long, shingles array<long>, map array<long>")
 
 
 def _met(classes: DataFrame, balls: DataFrame) -> DataFrame:
@@ -171,13 +182,17 @@ def _pivot_pairs(now: DataFrame, turn: int) -> DataFrame:
     return chosen.select("node", F.explode("c.other").alias("other"))
 
 
-def _all_pairs(now: DataFrame) -> DataFrame:
+def _all_pairs(now: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of a key with different roots that can reach the similarity.
 
-    One of the two is outside the largest root, and the smaller set meets the other in its first ninth.
+    One of the two is outside the largest root, and the smaller set meets the other in its first ninth. Pairs whose
+    parity maps differ in more bits than such sets can differ in shingles are not formed.
     """
-    member = F.struct("node", "size", "at", "root")
+    now = now.join(sets.select("node", "map"), "node")
+    member = F.struct("node", "size", "at", "root", "map")
     low, high = SIMILARITY
+    apart = " + ".join(f"bit_count(x.map[{i}] ^ y.map[{i}])" for i in range(1 << (MAP_BITS - 6)))
+    alike = F.expr(f"({apart}) * {low + high} <= (x.size + y.size) * {high - low}")
     probes = F.col("at") * (low + high) <= F.col("size") * (high - low)
     outside, inside = F.col("root") != F.col("big"), F.lit(True)
     found = []
@@ -185,7 +200,7 @@ def _all_pairs(now: DataFrame) -> DataFrame:
         x = now.where(small & probes).select("key", member.alias("x"))
         y = now.where(large).select("key", member.alias("y"))
         ordered = F.expr("x.root <> y.root AND (x.size < y.size OR (x.size = y.size AND x.node <> y.node))")
-        found.append(x.join(y, "key").where(ordered & _possible("x", "y")))
+        found.append(x.join(y, "key").where(ordered & _possible("x", "y") & alike))
     return found[0].unionByName(found[1]).select(F.col("x.node").alias("node"), F.col("y.node").alias("other"))
 
 
@@ -218,7 +233,7 @@ def _links(sets: DataFrame, balls: DataFrame) -> DataFrame:
             break
         # a key's rest is summed once for each of its rows: as many pairs as its last comparison would have
         last = turn == PIVOT_ROUNDS or pairs_at_most <= FEW * rows
-        found = _all_pairs(now) if last else _pivot_pairs(now, turn)
+        found = _all_pairs(now, sets) if last else _pivot_pairs(now, turn)
         pairs = found.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
         new = stage(_compared(stage(pairs.join(checked, ["u", "v"], "left_anti"), "pairs"), sets), "compared")
         checked = checked.unionByName(new)
