@@ -51,7 +51,7 @@ def staging_root(spark: SparkSession) -> str:
     return _own_root
 
 
-def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec: str = "snappy") -> DataFrame:
     """Write ``df`` once as a columnar table in the shared folder and read it back.
 
     Used where several consumers need the same rows: the written table cuts the
@@ -59,7 +59,7 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/ledgerloom/{uuid.uuid4().hex}/{name}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).option("compression", codec).parquet(path)
     if _scopes:
         _scopes[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -78,14 +78,14 @@ class StagingScope:
             _scopes[-2].paths.append(kept)
         return df
 
-    def drop(self) -> None:
-        """Delete the folders. Results that still read them can't be computed any more."""
+    def drop(self, paths: list[str] | None = None) -> None:
+        """Delete the folders, or only ``paths``. Results that still read them can't be computed any more."""
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
-        for path in self.paths:
+        for path in list(self.paths if paths is None else paths):
             folder = jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(conf).delete(folder, True)
-        self.paths.clear()
+            self.paths.remove(path)
 
 
 _scopes: list[StagingScope] = []
