@@ -24,14 +24,13 @@ from ledgerloom.session import stage
 SEGMENT_CHARS = 500_000
 RUN_CHARS = 8_000_000
 # Units that are remembered before the older half is forgotten.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 # Links of a group beyond which its pairs are counted from distinct ids, and how many pairs that makes at a time.
 LARGE_GROUP = 65_536
-# A unit begins with a space that follows no white space, and reaches up to the next such space: there both
+# A unit begins with a space or line feed that follows no white space, and reaches up to the next such one: there both
 # tokenizers end a token, whatever comes before or after.
-_UNIT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
-_ODD = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S) ")
+_UNIT = re.compile(r"[ \n][^ \n]*(?:(?<=\s)[ \n][^ \n]*)*")
+_CUT = re.compile(r"(?<=\S)[ \n]")
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
@@ -54,8 +53,8 @@ class Aligner(dict):
         entries = sorted(self.a.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
         self.a_bytes = [bytes(map(letters.__getitem__, map(ord, entry))) for entry, _ in entries]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any("▁" in piece.lstrip("▁") for piece in pieces):
-            raise ValueError(f"{b_path} has pieces that reach over a space")
+        if any("▁" in piece.lstrip("▁") or "\n" in piece for piece in pieces):
+            raise ValueError(f"{b_path} has pieces that reach over a space or line feed")
         self.b_bytes = [
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in enumerate(pieces)
@@ -73,7 +72,7 @@ class Aligner(dict):
         return b"".join([self.a_bytes[i] for i in a]) == data == b"".join([self.b_bytes[i] for i in b])
 
     def learn(self, units: list[str]) -> None:
-        """Remember all of ``units``, which begin with a space."""
+        """Remember all of ``units``, which begin with a space or line feed."""
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -88,10 +87,13 @@ class Aligner(dict):
         if not new:
             return
         by_a = self.a.encode_batch_fast(new, add_special_tokens=False)
-        # B adds a space itself, but not to an empty text
-        by_b = self.b.encode([unit[1:] for unit in new], num_threads=1)
+        # B adds a space itself, but not to an empty text; before a line feed it is one too many
+        by_b = self.b.encode([unit.removeprefix(" ") for unit in new], num_threads=1)
         for unit, a, b in zip(new, by_a, by_b, strict=True):
-            b = b if len(unit) > 1 else [self.space]
+            if unit[0] == "\n":
+                b = b[1:] if b[0] == self.space else []
+            elif len(unit) == 1:
+                b = [self.space]
             self[unit] = (array("H", a.ids).tobytes(), array("H", b).tobytes()) if self._spells(unit, a.ids, b) else None
 
     def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
@@ -139,9 +141,7 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 
 
 def units_of(text: str) -> list[str]:
-    """Units of a text that begins with a space."""
-    if _ODD.search(text) is None:
-        return [f" {x}" for x in text[1:].split(" ")]
+    """Units of a text that begins with a space or line feed."""
     return _UNIT.findall(text)
 
 
@@ -341,7 +341,7 @@ def alignment_digests(
     empty digest. Rows that repeat an id are documents of their own, other columns are not read, an empty table gives no rows.
 
     Runs of documents ask for the counts of the distinct pairs they hold, and Spark brings the answers back to the
-    run. A text is aligned a part at a time; memory of a task follows a run and its longest stretch without a space.
+    run. A text is aligned a part at a time; memory of a task follows a run and its longest stretch without a space or line feed.
     """
     # ids travel as text: lists of integers with nulls would become floats
     slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))

@@ -10,13 +10,13 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_batches, ship
 from ledgerloom.llm.ordering import range_sorted, running_total
 from ledgerloom.llm.shingles import segments
-from ledgerloom.session import stage
+from ledgerloom.session import stage, staging_scope
 
 MOST_WORDS = 3
 LEAST_COUNT = 10
@@ -165,7 +165,7 @@ def _paired(streams: DataFrame, answers: DataFrame, last: bool) -> DataFrame:
         ranks = np.where(stream >= 0, rank_of[np.maximum(stream, 0)], -1)
         at = np.flatnonzero((ranks[:-1] >= 0) & (ranks[1:] >= 0))
         l, r, n, number = counted_pairs(ranks[at], ranks[at + 1])
-        out = pd.DataFrame({"part": key[0], "stream": None, "code": np.arange(len(l)), "l": ids[l], "r": ids[r], "n": n})
+        out = pd.DataFrame({"part": key[0], "stream": None, "code": None if last else np.arange(len(l)), "l": ids[l], "r": ids[r], "n": n})
         if not last:
             pairs = np.full(len(stream), -1, dtype=np.int32)
             pairs[at] = number
@@ -185,6 +185,31 @@ def _ranked(counts: DataFrame, order: list[Column], name: str) -> DataFrame:
     return stage(numbered.drop("one"), name)
 
 
+def _frequent(asked: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
+    """``part``, ``code`` and ``keys`` of what occurs ``least`` times in all, with its occurrences ``f``.
+
+    Parts have counted before, so a key has as many rows as parts hold it; one shuffle brings them together and keeps
+    the way back.
+    """
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    return stage(asked.withColumn("f", total).where(F.col("f") >= least).select("part", "code", *keys, "f"), name, codec="zstd")
+
+
+def _level(ranked: DataFrame, before: DataFrame, words: int) -> DataFrame:
+    """Phrases of ``words`` words from the ranked pairs of phrases ``before``."""
+    left = before.select(
+        F.col("id").alias("l"), "lang", F.col("words").alias("l_words"), F.col("f").alias("l_f"), F.col("heads").alias("l_heads")
+    )
+    right = before.select(
+        F.col("id").alias("r"), F.col("words").alias("r_words"), F.col("f").alias("r_f"), F.col("tails").alias("r_tails")
+    )
+    last_word = F.slice("r_words", F.lit(words - 1), F.lit(1))
+    return ranked.join(left, "l").join(right, "r").select(
+        "id", "l", "r", "lang", F.concat("l_words", last_word).alias("words"), "f",
+        F.concat("l_heads", F.array("l_f")).alias("heads"), F.concat(F.array("r_f"), "r_tails").alias("tails"),
+    )
+
+
 def phrase_levels(
     docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most_words: int = MOST_WORDS, least: int = LEAST_COUNT
 ) -> tuple[DataFrame, list[DataFrame]]:
@@ -195,39 +220,32 @@ def phrase_levels(
     and without the first word. A phrase can only occur so often if these two do, so only those are paired.
     """
     slim = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
-    rows = stage(_coded_runs(slim), "coded")
-    asked = rows.where("stream IS NULL").select("part", "lang", "word", "code", "n")
-    totals = stage(asked.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
-    sizes = totals.groupBy("lang").agg(F.sum("f").alias("n"))
     none = F.array().cast("array<long>")
-    level = _ranked(totals.where(F.col("f") >= least), [F.col("lang"), F.col("word")], "ranked_words")
-    answers = asked.join(level.select("lang", "word", "id"), ["lang", "word"]).select("part", "code", "id")
-    levels = [level.select("id", "lang", F.array("word").alias("words"), "f", none.alias("heads"), none.alias("tails"))]
-    streams = rows.where("stream IS NOT NULL").select("part", "stream")
-    for words in range(2, most_words + 1):
-        rows = stage(_paired(streams, answers, words == most_words), "paired")
-        asked = rows.where("stream IS NULL").select("part", "code", "l", "r", "n")
-        counts = asked.groupBy("l", "r").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        ranked = _ranked(counts, [F.col("l"), F.col("r")], "ranked_pairs")
-        left = levels[-1].select(
-            F.col("id").alias("l"), "lang", F.col("words").alias("l_words"), F.col("f").alias("l_f"), F.col("heads").alias("l_heads")
-        )
-        right = levels[-1].select(
-            F.col("id").alias("r"), F.col("words").alias("r_words"), F.col("f").alias("r_f"), F.col("tails").alias("r_tails")
-        )
-        made = ranked.join(left, "l").join(right, "r")
-        last_word = F.slice("r_words", F.lit(words - 1), F.lit(1))
-        levels.append(
-            stage(
-                made.select(
-                    "id", "l", "r", "lang", F.concat("l_words", last_word).alias("words"), "f",
-                    F.concat("l_heads", F.array("l_f")).alias("heads"), F.concat(F.array("r_f"), "r_tails").alias("tails"),
-                ),
-                "phrases",
-            )
-        )
-        answers = asked.join(ranked.select("l", "r", "id"), ["l", "r"]).select("part", "code", "id")
-        streams = rows.where("stream IS NOT NULL").select("part", "stream")
+    with staging_scope(docs.sparkSession) as scope:
+        rows = stage(_coded_runs(slim), "coded", codec="zstd")
+        asked = rows.where("stream IS NULL").select("part", "lang", "word", "code", "n")
+        sizes = scope.keep(stage(asked.groupBy("lang").agg(F.sum("n").alias("n")), "sizes"))
+        seen = _frequent(asked, ["lang", "word"], least, "seen_words")
+        level = seen.groupBy("lang", "word").agg(F.max("f").alias("f"))
+        level = scope.keep(_ranked(level, [F.col("lang"), F.col("word")], "ranked_words"))
+        answers = seen.join(level.select("lang", "word", "id"), ["lang", "word"]).select("part", "code", "id")
+        levels = [level.select("id", "lang", F.array("word").alias("words"), "f", none.alias("heads"), none.alias("tails"))]
+        for words in range(2, most_words + 1):
+            last, read = words == most_words, list(scope.paths)
+            streams = rows.where("stream IS NOT NULL").select("part", "stream")
+            rows = stage(_paired(streams, answers, last), "paired", codec="zstd")
+            # the level before has been read for the last time
+            scope.drop(read)
+            asked = rows.where("stream IS NULL").select("part", "code", "l", "r", "n")
+            if last:
+                counts = asked.groupBy("l", "r").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+            else:
+                seen = _frequent(asked, ["l", "r"], least, "seen_pairs")
+                counts = seen.groupBy("l", "r").agg(F.max("f").alias("f"))
+            ranked = _ranked(counts, [F.col("l"), F.col("r")], "ranked_pairs")
+            levels.append(scope.keep(stage(_level(ranked, levels[-1], words), "phrases")))
+            if not last:
+                answers = seen.join(ranked.select("l", "r", "id"), ["l", "r"]).select("part", "code", "id")
     return sizes, levels
 
 
