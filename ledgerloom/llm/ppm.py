@@ -8,6 +8,8 @@ trie, and the code lengths go back to the run that asked.
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -26,7 +28,7 @@ BITS = 9
 END, START = 256, 257
 SYMBOLS = 257  # bytes and the end of the text
 # Texts of a run are counted and scored together; arrays are built over STEP symbols at a time.
-RUN_CHARS = 32_000_000
+RUN_CHARS = 24_000_000
 STEP = 1 << 20
 _WORD_ROW, _GRAM_ROW = 0, 1
 _END_TOKEN = b" "  # no word holds a space
@@ -109,14 +111,18 @@ def _gram_steps(texts: list[bytes], order: int):
 
 
 class _Places(dict):
-    """Places of words, found by their hash in ``by_key`` when first asked for."""
+    """Places of words among sorted hashes, found when first asked for."""
 
-    def __init__(self, by_key: dict[int, int]):
+    def __init__(self, keys: np.ndarray):
         super().__init__()
-        self.by_key = by_key
+        self.keys = array("q", keys.astype(np.int64).tobytes())
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = place = self.by_key[word_key(word)]
+        key = word_key(word)
+        place = bisect_left(self.keys, key)
+        if place == len(self.keys) or self.keys[place] != key:
+            raise RuntimeError("the texts were cut into other runs than when they were counted")
+        self[word] = place
         return place
 
 
@@ -278,11 +284,11 @@ def score_texts(
         coder = zstandard.ZstdDecompressor()
         data = [coder.decompress(p) for p in frame["packed"]]
         is_word = (known["kind"] == _WORD_ROW).to_numpy()
-        counts = known["value"][is_word].to_numpy()
-        place = dict(zip(known["key"][is_word].tolist(), range(len(counts)), strict=True))
+        words, grams = known[is_word].sort_values("key"), known[~is_word]
+        counts, places = words["value"].to_numpy(copy=True), _Places(words["key"].to_numpy())
+        lp, index = grams["value"].to_numpy(copy=True), pd.Index(grams["key"].to_numpy(copy=True))
+        del known, words, grams, is_word
         base_of = np.log10((counts + 1) / (n_train + n_distinct + 1))
-        # a word's place among the answers is looked up by its hash once, then by the word itself
-        places = _Places(place)
         n_tokens, n_known, base = [], [], []
         for text in data:
             own = text.split()
@@ -291,7 +297,7 @@ def score_texts(
             n_tokens.append(len(own))
             n_known.append(int(np.count_nonzero(counts[at])))
             base.append(float(base_of[at].sum()))
-        lp, index = known["value"][~is_word].to_numpy(), pd.Index(known["key"][~is_word].to_numpy())
+        del places, counts, base_of
         scores = np.zeros(len(data))
         for found, owner in _gram_steps(data, order):
             scores += np.bincount(owner, lp[index.get_indexer(found)], len(data))
