@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import contract as C
 from ledgerloom.functions.text import cell_text, clean
 from ledgerloom.operators import robust
-from ledgerloom.operators.facts import DONE, TOTAL
+from ledgerloom.operators.facts import DONE, TOTAL, positive
 from ledgerloom.rules import MAX_BROADCAST_PRODUCTS, RuleSet
 from ledgerloom.session import stage
 from ledgerloom.sources.rows import ROW_ID
@@ -71,7 +71,7 @@ def production_scope(doc_type: Column) -> Column:
 def with_scope(rows: DataFrame) -> DataFrame:
     """Production scope, and whether the row can be analyzed at all."""
     rows = rows.withColumn("scope", production_scope(cell_text(rows, C.DOC_TYPE)))
-    fit = (F.col(DONE) > 0) & (F.col("unit_total") > 0) & (F.col("scope") != C.SCOPE_UNKNOWN)
+    fit = positive(rows) & (F.col("unit_total") > 0) & (F.col("scope") != C.SCOPE_UNKNOWN)
     return rows.withColumn("can_analyze", F.coalesce(fit, F.lit(False)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import contract as C
-from ledgerloom.functions.numbers import MONEY, QUANTITY, TOO_WIDE, as_decimal, misfit
+from ledgerloom.functions.numbers import MONEY, PART, QUANTITY, TOO_WIDE, difference, is_positive, is_zero, with_number
 from ledgerloom.functions.text import cell_text, clean, key_value, whole_number
 from ledgerloom.operators import joins
 from ledgerloom.operators.normalize import require
@@ -21,8 +21,9 @@ DONE = "done_qty"
 TOTAL = "done_total"
 VALIDITY = "validity"
 VALID, BAD_QTY, NO_TOTAL, OUT_OF_RANGE = "valid", "invalid_qty", "missing_total", TOO_WIDE
-# what the decimals could not hold: of the amount and of the quantity
+# numbers beyond all bounds, and what the decimals could not hold of the others: of the amount and of the quantity
 AMOUNT_MISFIT, QTY_MISFIT = "amount_misfit", "qty_misfit"
+AMOUNT_REST, QTY_REST = "amount_rest", "qty_rest"
 BASE_BUCKETS = tuple(C.BUCKET_LABELS)
 COMPONENTS = tuple(C.OVERHEAD_ITEMS)
 
@@ -51,15 +52,19 @@ def cost_bucket(item: Column, standalone: dict[str, str], trimmed: bool = False)
     return bucket
 
 
+def _counted(standalone: dict[str, str]) -> dict[str, tuple[str, ...]]:
+    """Buckets whose amounts count in each sum."""
+    return {b: (b,) for b in (*BASE_BUCKETS, *standalone)} | {"moh": ("moh", *COMPONENTS)}
+
+
 def bucket_sums(standalone: dict[str, str], bucket: str = BUCKET, amount: str = AMOUNT) -> list[Column]:
     """One exact sum per bucket; a component counts in the overhead total as well.
 
     A bucket without any amount is zero. Sums return to MONEY so that later arithmetic keeps its
     scale; a sum that does not fit is NULL, never zero.
     """
-    counted = {b: (b,) for b in (*BASE_BUCKETS, *standalone)} | {"moh": ("moh", *COMPONENTS)}
     found = []
-    for name, buckets in counted.items():
+    for name, buckets in _counted(standalone).items():
         mine = f"{bucket} IN ({', '.join(repr(b) for b in buckets)}) AND {amount} IS NOT NULL"
         # rows of other buckets add zero, so that only a sum that does not fit is NULL
         total = f"try_sum(CASE WHEN {mine} THEN {amount} ELSE CAST(0 AS {MONEY}) END)"
@@ -87,9 +92,7 @@ def _with_bucket(df: DataFrame, rules: RuleSet, rows: Column | None = None) -> D
 def prepare_detail(detail: DataFrame, rules: RuleSet) -> DataFrame:
     """Detail rows with key, bucket and amount; an amount that is no number is NULL."""
     require(detail, C.REQUIRED_DETAIL, C.DETAIL_DATASET)
-    return _with_bucket(_with_key(detail), rules).withColumns(
-        {AMOUNT: as_decimal(detail, C.DONE_AMOUNT), AMOUNT_MISFIT: misfit(detail, C.DONE_AMOUNT)}
-    )
+    return _with_amount(_with_bucket(_with_key(detail), rules))
 
 
 def prepare_qty(qty: DataFrame) -> DataFrame:
@@ -98,25 +101,32 @@ def prepare_qty(qty: DataFrame) -> DataFrame:
     The quantity is tested first: a bad quantity with a missing total counts once.
     """
     require(qty, C.REQUIRED_QTY, C.QTY_DATASET)
-    return _with_key(qty).withColumns(_decimals(qty)).withColumn(VALIDITY, _validity())
+    rows = _with_quantity(_with_amount(_with_key(qty)))
+    return rows.withColumn(VALIDITY, _validity(rows))
+
+
+def _with_amount(rows: DataFrame) -> DataFrame:
+    return with_number(rows, C.DONE_AMOUNT, MONEY, AMOUNT, AMOUNT_REST, AMOUNT_MISFIT)
+
+
+def _with_quantity(rows: DataFrame) -> DataFrame:
+    return with_number(rows, C.DONE_QTY, QUANTITY, DONE, QTY_REST, QTY_MISFIT)
 
 
-def _decimals(rows: DataFrame) -> dict[str, Column]:
-    return {
-        AMOUNT: as_decimal(rows, C.DONE_AMOUNT),
-        DONE: as_decimal(rows, C.DONE_QTY, QUANTITY),
-        AMOUNT_MISFIT: misfit(rows, C.DONE_AMOUNT),
-        QTY_MISFIT: misfit(rows, C.DONE_QTY, QUANTITY),
-    }
+def positive(rows: DataFrame, value: str = DONE, rest: str = QTY_REST) -> Column:
+    """Whether a number is above zero, with its rest."""
+    plain = F.coalesce(F.col(value) > 0, F.lit(False))
+    if rest not in rows.columns:
+        return plain
+    return F.when(F.col(rest).isNull(), plain).otherwise(F.expr(is_positive(value, rest)))
 
 
-def _validity() -> Column:
-    """A number that the decimals can't hold is out of range: neither invalid nor missing."""
-    positive = F.coalesce(F.col(DONE) > 0, F.lit(False))
+def _validity(rows: DataFrame) -> Column:
+    """A number beyond all bounds is out of range: neither invalid nor missing."""
     wide = [F.col(c).eqNullSafe(TOO_WIDE) for c in (QTY_MISFIT, AMOUNT_MISFIT)]
     return (
         F.when(wide[0], OUT_OF_RANGE)
-        .when(~positive, BAD_QTY)
+        .when(~positive(rows), BAD_QTY)
         .when(wide[1], OUT_OF_RANGE)
         .when(F.col(AMOUNT).isNull(), NO_TOTAL)
         .otherwise(VALID)
@@ -132,7 +142,27 @@ def valid_qty(prepared: DataFrame) -> DataFrame:
 def bucket_amounts(prepared_detail: DataFrame, rules: RuleSet) -> DataFrame:
     """One row per key with all bucket sums; unmapped rows take no part."""
     mapped = prepared_detail.where(F.col(BUCKET).isNotNull())
-    return mapped.groupBy(KEY).agg(*bucket_sums(rules.standalone_buckets()))
+    return _with_rests(mapped.groupBy(KEY).agg(*bucket_sums(rules.standalone_buckets())), prepared_detail, rules)
+
+
+def _with_rests(sums: DataFrame, prepared: DataFrame, rules: RuleSet) -> DataFrame:
+    """Add ``rest_<bucket>`` to the sums of a key: what the rests of its amounts add to them.
+
+    Only rows with a rest are read for it, so the table to join is small or empty.
+    """
+    if AMOUNT_REST not in prepared.columns:
+        return sums
+    counted = _counted(rules.standalone_buckets())
+    rests = []
+    for name, buckets in counted.items():
+        mine = f"{BUCKET} IN ({', '.join(repr(b) for b in buckets)})"
+        fields = [
+            f"'{field}', try_cast(try_sum(CASE WHEN {mine} THEN {AMOUNT_REST}.{field} END) AS {kind})"
+            for field, kind in (("whole", "decimal(38,0)"), ("part", PART))
+        ]
+        rests.append(F.expr(f"named_struct({', '.join(fields)}) AS rest_{name}"))
+    odd = prepared.where(F.col(AMOUNT_REST).isNotNull() & F.col(BUCKET).isNotNull())
+    return sums.join(odd.groupBy(KEY).agg(*rests), KEY, "left")
 
 
 def key_counts(valid: DataFrame) -> DataFrame:
@@ -144,8 +174,8 @@ def prepare_routed(routed: DataFrame, rules: RuleSet) -> DataFrame:
     """A routed ledger with what :func:`prepare_detail` and :func:`prepare_qty` add, in one pass."""
     for which, needed in ((C.DETAIL_DATASET, C.REQUIRED_DETAIL), (C.QTY_DATASET, C.REQUIRED_QTY)):
         require(routed, needed, which)
-    rows = _with_bucket(_with_key(routed), rules, F.col(ROUTE) == DETAIL).withColumns(_decimals(routed))
-    return rows.withColumn(VALIDITY, F.when(F.col(ROUTE) == QTY, _validity()))
+    rows = _with_quantity(_with_amount(_with_bucket(_with_key(routed), rules, F.col(ROUTE) == DETAIL)))
+    return rows.withColumn(VALIDITY, F.when(F.col(ROUTE) == QTY, _validity(rows)))
 
 
 def work_order_summary(prepared: DataFrame, rules: RuleSet) -> DataFrame:
@@ -154,12 +184,13 @@ def work_order_summary(prepared: DataFrame, rules: RuleSet) -> DataFrame:
     Detail and quantity rows share the key, so one shuffle of partial sums serves both.
     """
     is_valid = F.col(VALIDITY) == VALID
-    return prepared.groupBy(KEY).agg(
+    sums = prepared.groupBy(KEY).agg(
         *bucket_sums(rules.standalone_buckets()),
         F.count(BUCKET).alias("detail_rows"),
         F.count_if(is_valid).alias("key_rows"),
         F.min(F.when(is_valid, F.col(ROW_ID))).alias("first_row"),
     )
+    return _with_rests(sums, prepared, rules)
 
 
 def join_facts(
@@ -193,11 +224,21 @@ def with_checks(facts: DataFrame, rules: RuleSet) -> DataFrame:
     sums = facts.selectExpr(
         "*", f"{added(COMPONENTS)} AS moh_components", f"{added(derived)} AS derived_total"
     )
-    # a sum that does not fit matches nothing
+
+    def matches(added_up: str, names, other: str, other_rest: str) -> str:
+        """Exact equality of a sum of buckets and another column; a sum that does not fit matches nothing."""
+        plain = f"{added_up} = {other}"
+        rests = [(f"rest_{n}", 1) for n in names] + [(other_rest, -1)]
+        rests = [(c, sign) for c, sign in rests if c in facts.columns]
+        if not rests:
+            return f"coalesce({plain}, false)"
+        odd = f"coalesce({', '.join(f'{c}.whole' for c, _ in rests)}) IS NOT NULL"
+        return f"coalesce(CASE WHEN {odd} THEN {is_zero(difference([added_up], [other], rests))} ELSE {plain} END, false)"
+
     checked = sums.selectExpr(
         "*",
-        "coalesce(moh_components = moh, false) AS moh_matches",
-        f"coalesce(derived_total = {TOTAL}, false) AS total_matches",
+        f"{matches('moh_components', COMPONENTS, 'moh', 'rest_moh')} AS moh_matches",
+        f"{matches('derived_total', derived, TOTAL, AMOUNT_REST)} AS total_matches",
     )
     reason = F.concat_ws(
         ";",
@@ -211,10 +252,26 @@ def with_checks(facts: DataFrame, rules: RuleSet) -> DataFrame:
 def with_unit_costs(facts: DataFrame, rules: RuleSet) -> DataFrame:
     """``unit_<metric>`` for the total, the eight buckets and the standalone items.
 
-    NULL on a zero divisor or when the quotient does not fit.
+    NULL on a zero divisor or when the quotient does not fit. Where a number has a rest, the
+    quotient is that of doubles.
     """
     sources = {"total": TOTAL, **{b: b for b in (*BASE_BUCKETS, *rules.standalone_buckets())}}
-    return facts.selectExpr("*", *[f"try_divide({c}, {DONE}) AS unit_{m}" for m, c in sources.items()])
+    rests = {"total": AMOUNT_REST} | {b: f"rest_{b}" for b in sources}
+
+    def near(value: str, rest: str) -> str:
+        if rest not in facts.columns:
+            return f"CAST({value} AS double)"
+        return f"(CAST({value} AS double) + coalesce(CAST({rest}.whole AS double) + CAST({rest}.part AS double), 0D))"
+
+    def unit(metric: str, value: str) -> str:
+        odd = [f"{r}.whole IS NOT NULL" for r in (rests[metric], QTY_REST) if r in facts.columns]
+        exact = f"try_divide({value}, {DONE})"
+        if not odd:
+            return exact
+        quotient = f"try_cast(try_divide({near(value, rests[metric])}, {near(DONE, QTY_REST)}) AS decimal(38,14))"
+        return f"CASE WHEN {' OR '.join(odd)} THEN {quotient} ELSE {exact} END"
+
+    return facts.selectExpr("*", *[f"{unit(m, c)} AS unit_{m}" for m, c in sources.items()])
 
 
 def build_facts(

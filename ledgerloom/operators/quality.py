@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import contract as C
 from ledgerloom.functions.text import cell_text
 from ledgerloom.operators.anomaly import production_scope
-from ledgerloom.operators.facts import BAD_QTY, DONE, NO_TOTAL, TOTAL, VALIDITY
+from ledgerloom.operators.facts import AMOUNT_REST, BAD_QTY, NO_TOTAL, OUT_OF_RANGE, TOTAL, VALIDITY, positive
 from ledgerloom.operators.split import DETAIL, QTY, ROUTE
 
 
@@ -19,6 +19,7 @@ def ledger_counts(prepared: DataFrame) -> DataFrame:
         F.count_if(F.col(ROUTE) == QTY).alias("qty_input_rows"),
         F.count_if(F.col(VALIDITY) == BAD_QTY).alias("invalid_qty_rows"),
         F.count_if(F.col(VALIDITY) == NO_TOTAL).alias("missing_total_rows"),
+        F.count_if(F.col(VALIDITY) == OUT_OF_RANGE).alias("out_of_range_rows"),
     )
 
 
@@ -28,13 +29,14 @@ def fact_counts(facts: DataFrame) -> DataFrame:
     Work orders are the first occurrences, so no distinct count is needed. Coverage tests
     the completed total, not the unit cost.
     """
+    done, total = positive(facts), positive(facts, TOTAL, AMOUNT_REST)
     known = production_scope(cell_text(facts, C.DOC_TYPE)) != C.SCOPE_UNKNOWN
     return facts.agg(
         F.count(F.lit(1)).alias("qty_output_rows"),
         F.count_if("is_first").alias("work_orders"),
         F.count_if(F.col("key_rows") > 1).alias("duplicate_rows"),
-        F.count_if(F.col(DONE) <= 0).alias("non_positive_rows"),
-        F.count_if(F.col("is_first") & (F.col(DONE) > 0) & (F.col(TOTAL) > 0) & known).alias("analyzable"),
+        F.count_if(~done).alias("non_positive_rows"),
+        F.count_if(F.col("is_first") & done & total & known).alias("analyzable"),
     )
 
 
@@ -74,17 +76,6 @@ def quality_metrics(counts: DataFrame, months_filtered: bool = False) -> DataFra
     return counts.select(F.inline(F.array(*entries)))
 
 
-def run_counts(prepared: DataFrame, facts: DataFrame, ledger_rows: int, reader_rows: int) -> DataFrame:
-    """One row with every count of a run; both inputs are single-row aggregates, joined as such."""
-    one = ledger_counts(prepared).withColumn("_k", F.lit(1))
-    two = fact_counts(facts).withColumn("_k", F.lit(1))
-    return (
-        one.join(two, "_k")
-        .drop("_k")
-        .select(F.lit(reader_rows).alias("reader_rows"), F.lit(ledger_rows).alias("ledger_rows"), "*")
-    )
-
-
 def run_record(
     rule_set: str,
     months: tuple[str | None, str | None],

@@ -249,6 +249,7 @@ COUNTS = """counts AS (SELECT
   (SELECT count(*) FROM detail) AS detail_rows, (SELECT count(*) FROM tested) AS qty_input_rows,
   (SELECT count(*) FROM tested WHERE validity = 'invalid_qty') AS invalid_qty_rows,
   (SELECT count(*) FROM tested WHERE validity = 'missing_total') AS missing_total_rows,
+  (SELECT count(*) FROM tested WHERE validity = 'out_of_range') AS out_of_range_rows,
   (SELECT count(*) FROM fit) AS qty_output_rows, (SELECT count(DISTINCT work_order_key) FROM fit) AS work_orders,
   (SELECT count(*) FROM fit WHERE key_rows > 1) AS duplicate_rows, (SELECT count(*) FROM fit WHERE qty <= 0) AS non_positive_rows,
   (SELECT count(*) FROM fit WHERE is_first AND qty > 0 AND amount > 0 AND scope <> '未归类') AS analyzable)"""
@@ -497,14 +498,11 @@ def all_oracles() -> dict[str, str]:
         "run_contract_diff": both_runs(),
         "amount_limits": f"""WITH q AS (SELECT l_orderkey * 8 + l_linenumber AS source_row, l_partkey % 7 AS a, l_suppkey % 5 AS b,
             CAST(l_linenumber AS VARCHAR) AS n FROM lineitem),
-          found AS (SELECT source_row, CASE WHEN a = 2 THEN 'NUMBER_ROUNDED' ELSE 'NUMBER_OUT_OF_RANGE' END AS issue_type,
-              '{C.DONE_QTY}' AS field_name,
-              CASE a WHEN 0 THEN n || '000000000000' WHEN 1 THEN '0.0000004' ELSE n || '.1234567' END AS original_value
-            FROM q WHERE a <= 2
-            UNION ALL SELECT source_row, CASE WHEN b = 1 THEN 'NUMBER_ROUNDED' ELSE 'NUMBER_OUT_OF_RANGE' END,
-              '{C.DONE_AMOUNT}', n || CASE b WHEN 0 THEN '000000000000000000' ELSE '.12345678901' END FROM q WHERE b <= 1)
+          found AS (SELECT source_row, 'NUMBER_OUT_OF_RANGE' AS issue_type, '{C.DONE_QTY}' AS field_name,
+              n || repeat('0', 28) AS original_value FROM q WHERE a = 3
+            UNION ALL SELECT source_row, 'NUMBER_ROUNDED', '{C.DONE_AMOUNT}', n || '.' || repeat('1', 29) FROM q WHERE b = 2)
           SELECT v.source_row, v.validity, issue_type, field_name, original_value
-          FROM (SELECT DISTINCT source_row, CASE WHEN a <= 1 OR b = 0 THEN 'out_of_range' WHEN b = 3 THEN 'missing_total'
+          FROM (SELECT DISTINCT source_row, CASE WHEN a = 3 THEN 'out_of_range' WHEN b = 3 THEN 'missing_total'
             ELSE 'valid' END AS validity FROM q) v LEFT JOIN found ON found.source_row = v.source_row""",
         "cell_diff_columns": """SELECT o_orderkey, 'o_custkey' AS column_name, 'storage_type_mismatch' AS mismatch_kind,
             'n' AS expected_type, 'blank' AS actual_type FROM orders WHERE o_custkey IS NOT NULL

@@ -246,9 +246,10 @@ def amount_limits(spark, sf_dir):
         f"CAST(l_partkey AS string) AS `{C.PRODUCT_CODE}`", f"'x' AS `{C.PRODUCT_NAME}`",
         f"CAST(l_orderkey AS string) AS `{C.ORDER_NO}`", f"CAST(l_linenumber AS string) AS `{C.ORDER_LINE}`",
         f"""CASE l_partkey % 7 WHEN 0 THEN concat(l_linenumber, '000000000000') WHEN 1 THEN '0.0000004'
-            WHEN 2 THEN concat(l_linenumber, '.1234567') ELSE '7' END AS `{C.DONE_QTY}`""",
+            WHEN 2 THEN concat(l_linenumber, '.1234567') WHEN 3 THEN concat(l_linenumber, repeat('0', 28)) ELSE '7' END AS `{C.DONE_QTY}`""",
         f"""CASE l_suppkey % 5 WHEN 0 THEN concat(l_linenumber, '000000000000000000')
-            WHEN 1 THEN concat(l_linenumber, '.12345678901') WHEN 3 THEN 'none' ELSE '5' END AS `{C.DONE_AMOUNT}`""",
+            WHEN 1 THEN concat(l_linenumber, '.12345678901') WHEN 2 THEN concat(l_linenumber, '.', repeat('1', 29))
+            WHEN 3 THEN 'none' ELSE '5' END AS `{C.DONE_AMOUNT}`""",
     )
     prepared = facts.prepare_qty(rows)
     found = issues.qty_issues(prepared).select("source_row", "issue_type", "field_name", "original_value")

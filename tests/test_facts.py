@@ -1,10 +1,14 @@
+import decimal
 from decimal import Decimal as D
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom import contract as C
-from ledgerloom.operators import facts, issues, joins
+from ledgerloom.functions import numbers
+from ledgerloom.operators import facts, issues, joins, quality
 from ledgerloom.rules import RuleSet
 from ledgerloom.sources.rows import ROW_ID
 
@@ -75,9 +79,9 @@ def test_issue_payloads_and_order(spark):
 
 
 def test_amount_that_is_no_number_is_reported_with_its_text(spark):
-    prepared = facts.prepare_detail(detail(spark, ("直接材料", "1,000"), ("直接材料", " 2 "), ("直接材料", "9" * 25)), GB)
+    prepared = facts.prepare_detail(detail(spark, ("直接材料", "1,000"), ("直接材料", " 2 "), ("直接材料", "9" * 29)), GB)
     found = issues.detail_issues(prepared).orderBy("source_row").collect()
-    assert [r["original_value"] for r in found] == ["1,000", "9" * 25]
+    assert [r["original_value"] for r in found] == ["1,000", "9" * 29]
     assert facts.bucket_amounts(prepared, GB).first()["dm"] == 2
 
 
@@ -144,14 +148,54 @@ def test_sums_that_overflow_are_never_zero(spark):
     assert {("SUM_OUT_OF_RANGE", "dm"), ("SUM_OUT_OF_RANGE", "derived_total")} <= found
 
 
-def test_numbers_at_the_limits_are_reported(spark):
-    rows = qty(spark, ("2000000000000", "5"), ("0.0000004", "5"), ("1", "1000000000000000000"), ("1", "0.12345678901"), ("x", "5"), ("1", None), ("1", "5"))
+def test_only_numbers_beyond_all_digits_are_reported(spark):
+    rows = qty(
+        spark, ("2000000000000", "5"), ("0.0000004", "5"), ("1", "1000000000000000000"), ("1", "0.12345678901"), ("x", "5"), ("1", None),
+        ("1", "5"), ("9" * 29, "5"), ("1", "1" + "0" * 28), ("1", "0." + "1" * 29), ("0." + "0" * 28 + "4", "5"), ("-0.0000004", "5"), ("4e-7", "5"),
+    )
     prepared = facts.prepare_qty(rows)
     assert [r[0] for r in prepared.orderBy(ROW_ID).select(facts.VALIDITY).collect()] == [
-        facts.OUT_OF_RANGE, facts.OUT_OF_RANGE, facts.OUT_OF_RANGE, facts.VALID, facts.BAD_QTY, facts.NO_TOTAL, facts.VALID,
+        facts.VALID, facts.VALID, facts.VALID, facts.VALID, facts.BAD_QTY, facts.NO_TOTAL,
+        facts.VALID, facts.OUT_OF_RANGE, facts.OUT_OF_RANGE, facts.VALID, facts.BAD_QTY, facts.BAD_QTY, facts.VALID,
     ]
     got = sorted((r["source_row"], r["issue_type"], r["original_value"]) for r in issues.qty_issues(prepared).collect())
     assert got == [
-        (100, "NUMBER_OUT_OF_RANGE", "2000000000000"), (101, "NUMBER_OUT_OF_RANGE", "0.0000004"),
-        (102, "NUMBER_OUT_OF_RANGE", "1000000000000000000"), (103, "NUMBER_ROUNDED", "0.12345678901"),
+        (107, "NUMBER_OUT_OF_RANGE", "9" * 29), (108, "NUMBER_OUT_OF_RANGE", "1" + "0" * 28),
+        (109, "NUMBER_ROUNDED", "0." + "1" * 29), (110, "NUMBER_ROUNDED", "0." + "0" * 28 + "4"),
     ]
+    counts = quality.ledger_counts(prepared.withColumn("route", F.lit("qty"))).first()
+    assert counts["invalid_qty_rows"] + counts["missing_total_rows"] + counts["out_of_range_rows"] + 7 == counts["qty_input_rows"] == 13
+
+
+@given(st.lists(st.tuples(st.integers(0, 10**12), st.integers(0, 28), st.booleans()), min_size=1, max_size=12))
+@settings(max_examples=15, deadline=None)
+def test_number_and_rest_are_the_cell(spark, cells):
+    texts = [("-" if minus else "") + format(D(n).scaleb(-scale), "f") for n, scale, minus in cells] + ["12345678901234567890.5", "1e3", "x", None]
+    df = spark.createDataFrame([(t,) for t in texts], "cell string")
+    for kind in (numbers.MONEY, numbers.QUANTITY):
+        for r in numbers.with_number(df, "cell", kind, "v", "rest", "misfit").collect():
+            if r["cell"] in ("x", None):
+                assert r["v"] is None and r["rest"] is None and r["misfit"] is None
+                continue
+            rest = r["rest"]["whole"] + r["rest"]["part"] if r["rest"] else 0
+            assert decimal.Context(60).add(r["v"], rest) == D(r["cell"]), r
+
+
+def test_reconciliation_compares_all_digits(spark):
+    tiny = "0.0000000000000000000000000001"
+    for other, same in (("0." + "0" * 27 + "2", True), ("0." + "0" * 27 + "3", False), ("0", False)):
+        amounts = [("制造费用_折旧", tiny), ("制造费用_其他", tiny), ("直接材料", "123456789012345678901.25"), ("直接人工", "-123456789012345678901")]
+        total = D("0.25") + D(other)
+        done = build(spark, detail(spark, *amounts), qty(spark, ("1", format(total, "f"))))[1].first()
+        assert done["moh_matches"] and done["total_matches"] == same
+    unknown = [("制造费用_折旧", tiny), ("制造费用_未分类", tiny)]
+    done = build(spark, detail(spark, *unknown), qty(spark, ("1", "0." + "0" * 27 + "2")))[1].first()
+    assert not done["moh_matches"] and done["total_matches"]
+
+
+def test_unit_costs_of_tiny_and_large_quantities(spark):
+    rows = detail(spark, ("直接材料", "9999999999"))
+    quantities = qty(spark, ("0.0000000000000000000000000001", "9999999999"), ("0.0000004", "5"), ("3000000000000", "6"))
+    done = build(spark, rows, quantities)[1].orderBy(ROW_ID).collect()
+    assert [r["unit_total"] for r in done] == [None, D("12500000"), D("0.000000000002")]
+    assert not any(r["field_name"] in ("总单位完工成本",) for r in issues.fact_issues(build(spark, rows, quantities)[1], GB).collect() if r["issue_type"] == "NON_POSITIVE_UNIT_COST")
