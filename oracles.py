@@ -515,6 +515,20 @@ def all_oracles() -> dict[str, str]:
           FROM n WHERE n_e > 1 OR n_a = 0""",
         "shape_diff": """SELECT 'part' AS table_name, 'shape_mismatch' AS mismatch_kind
           UNION ALL SELECT DISTINCT 'orders', 'shape_mismatch' FROM orders WHERE o_orderkey % 101 = 0""",
+        "positional_diff": """WITH kept AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_quantity AS q,
+            l_returnflag AS m FROM lineitem),
+          expected AS (SELECT row_number() OVER (ORDER BY o, n, p, s, q, m) AS row_number, q, m FROM (
+            SELECT * FROM kept UNION ALL SELECT 1152921504606846976 + o, n, p, s, q, m FROM kept WHERE n = 1)),
+          actual AS (SELECT row_number() OVER (ORDER BY o, n, p, s, q, m) AS row_number, q, m FROM (
+            SELECT o, n, p, s, CASE WHEN o % 50 = 0 THEN q + 1 ELSE q END AS q, CASE WHEN p % 40 <> 0 THEN m END AS m FROM kept)),
+          cells AS (SELECT row_number, column_name, e, a, CASE WHEN e THEN kind ELSE 'blank' END AS expected_type,
+              CASE WHEN a THEN kind ELSE 'blank' END AS actual_type, same FROM (
+            SELECT e.row_number, 'l_quantity' AS column_name, 'n' AS kind, e.q IS NOT NULL AS e, a.q IS NOT NULL AS a, e.q = a.q AS same
+            FROM expected e LEFT JOIN actual a USING (row_number)
+            UNION ALL SELECT e.row_number, 'l_returnflag', 's', e.m IS NOT NULL, a.m IS NOT NULL, e.m = a.m
+            FROM expected e LEFT JOIN actual a USING (row_number)))
+          SELECT row_number, column_name, CASE WHEN e <> a THEN 'storage_type_mismatch' ELSE 'value_mismatch' END AS mismatch_kind,
+            expected_type, actual_type FROM cells WHERE e <> a OR (e AND a AND NOT same)""",
         "run_compare": with_(
             VERSIONS,
             CELLS,

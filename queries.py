@@ -585,6 +585,19 @@ def shape_diff(spark, sf_dir):
     )
 
 
+def positional_diff(spark, sf_dir):
+    """Cells of two versions of the order lines, paired by their place alone."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
+    lines = table(spark, sf_dir, "lineitem").select(*order)
+    changed = lines.selectExpr(
+        *order[:4],
+        "CASE WHEN l_orderkey % 50 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity",
+        "CASE WHEN l_partkey % 40 <> 0 THEN l_returnflag END AS l_returnflag",
+    ).where("l_linenumber < 100")
+    longer = lines.unionByName(lines.where("l_linenumber = 1").withColumn("l_orderkey", F.lit(2**60) + F.col("l_orderkey")))
+    return diff.positional_diff(longer, changed, order, ["l_quantity", "l_returnflag"])
+
+
 def run_compare(spark, sf_dir):
     """Every difference of two versions of a table in one report."""
     versions = [{"orders": v} for v in _order_versions(spark, sf_dir)]
@@ -665,6 +678,6 @@ def all_queries():
         month_filtered_quality, run_record, null_profile, content_identity, text_ledger_scan, cell_diff,
         cell_diff_report, column_totals_diff, group_totals_diff, dup_blank_keys, numeric_problems,
         run_contract_diff, product_dim_check, rules_fingerprint, amount_limits, cell_diff_columns,
-        cell_diff_repeated_keys, shape_diff, run_compare, text_identity, published_quantity,
+        cell_diff_repeated_keys, shape_diff, positional_diff, run_compare, text_identity, published_quantity,
     )
     return {q.__name__: q for q in chosen}
