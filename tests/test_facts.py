@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import contract as C
 from ledgerloom.functions import numbers
-from ledgerloom.operators import facts, issues, joins, quality
+from ledgerloom.operators import facts, issues, joins, quality, split
 from ledgerloom.rules import RuleSet
 from ledgerloom.sources.rows import ROW_ID
 
@@ -163,7 +163,7 @@ def test_only_numbers_beyond_all_digits_are_reported(spark):
         (107, "NUMBER_OUT_OF_RANGE", "9" * 29), (108, "NUMBER_OUT_OF_RANGE", "1" + "0" * 28),
         (109, "NUMBER_ROUNDED", "0." + "1" * 29), (110, "NUMBER_ROUNDED", "0." + "0" * 28 + "4"),
     ]
-    counts = quality.ledger_counts(prepared.withColumn("route", F.lit("qty"))).first()
+    counts = quality.ledger_counts(prepared.withColumn(split.ROUTE, F.lit(split.QTY))).first()
     assert counts["invalid_qty_rows"] + counts["missing_total_rows"] + counts["out_of_range_rows"] + 7 == counts["qty_input_rows"] == 13
 
 
