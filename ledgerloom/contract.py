@@ -29,6 +29,9 @@ COST_ITEM = "成本项目名称"
 FILLED_COST_ITEM = "Filled_成本项目"
 DONE_QTY = "本期完工数量"
 DONE_AMOUNT = "本期完工金额"
+DONE_UNIT_COST = "本期完工单位成本"
+ANALYSIS_ORDER_LINE = "工单行"
+ANALYZABLE = "是否可参与分析"
 
 # ---------------------------------------------------------------- fixed values: header rules
 HEADER_ANCHOR = PERIOD
@@ -58,6 +61,7 @@ FILL_COLUMNS = (
 )
 VENDOR_COLUMNS = (VENDOR_CODE, VENDOR_NAME)
 KEY_COLUMNS = (MONTH, PRODUCT_CODE, ORDER_NO, ORDER_LINE)
+ANALYSIS_KEY_COLUMNS = (MONTH, PRODUCT_CODE, ORDER_NO, ANALYSIS_ORDER_LINE)
 REQUIRED_DETAIL = (PRODUCT_CODE, PRODUCT_NAME, ORDER_NO, ORDER_LINE, COST_ITEM, DONE_AMOUNT)
 REQUIRED_QTY = (PRODUCT_CODE, PRODUCT_NAME, ORDER_NO, ORDER_LINE, DONE_QTY, DONE_AMOUNT)
 DETAIL_DATASET = "成本明细"

@@ -226,7 +226,7 @@ def analysis_columns(rules: RuleSet) -> list[str]:
     fallback = C.STANDALONE_ANALYSIS_COLUMNS[C.OUTSOURCED]
     for item in rules.standalone_items:
         pair = C.STANDALONE_ANALYSIS_COLUMNS.get(item.strip(), fallback)
-        for marker, name in zip(("总单位完工成本", "是否可参与分析"), pair, strict=True):
+        for marker, name in zip(("总单位完工成本", C.ANALYZABLE), pair, strict=True):
             if name not in columns:
                 columns.insert(columns.index(marker), name)
     return columns
@@ -253,7 +253,7 @@ def analysis_table(scored: DataFrame, rules: RuleSet, ordered: bool = False) ->
         values.setdefault(unit, f"unit_{bucket}")
 
     def value(label: str) -> Column:
-        if label == "是否可参与分析":
+        if label == C.ANALYZABLE:
             return F.when(F.col("can_analyze"), C.YES).otherwise(C.NO)
         name = values[label]
         return F.col(f"`{name}`") if name in scored.columns else F.lit(None).cast("string")

@@ -287,7 +287,9 @@ def both_runs() -> str:
 SELECT 'metric_mismatch' AS error, category || '/' || metric AS subject
   FROM w_metrics w JOIN s_metrics s USING (category, metric) WHERE w.value <> s.value
 UNION ALL SELECT 'issue_count_mismatch', issue_type FROM w_issues w FULL JOIN s_issues s USING (issue_type)
-  WHERE coalesce(w.n, 0) <> coalesce(s.n, 0)"""
+  WHERE coalesce(w.n, 0) <> coalesce(s.n, 0)
+UNION ALL SELECT 'issue_total_mismatch', ''
+  WHERE (SELECT coalesce(sum(n), 0) FROM w_issues) <> (SELECT coalesce(sum(n), 0) FROM s_issues)"""
     )
 
 
@@ -542,6 +544,16 @@ def all_oracles() -> dict[str, str]:
               UNION ALL SELECT 'orders', NULL, 'price', 'column_total_mismatch'
                 WHERE abs((SELECT sum(price) FROM e) - (SELECT sum(price) FROM a)) > 1e-8""",
         ),
+        "header_policy": f"""WITH k AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS o, l_linenumber AS n FROM lineitem),
+          c AS (SELECT p, '{{"{C.MONTH}":"2026-01","{C.PRODUCT_CODE}":' || p || ',"{C.ORDER_NO}":' || o || ',"{C.ORDER_LINE}":' || n
+            || '}}' AS coordinate FROM k),
+          changed AS (SELECT '{C.QTY_UNIT_COLUMNS["dl"]}' AS lost, '{C.STANDALONE_UNIT_COLUMNS[C.SOFTWARE]}' AS other, '{C.QTY_TABLE}' AS t)
+          SELECT '{C.DETAIL_TABLE}' AS table_name, CAST(NULL AS VARCHAR) AS coordinate, '{C.DONE_AMOUNT}' AS column_name,
+            'column_total_mismatch' AS mismatch_kind WHERE EXISTS (FROM k)
+          UNION ALL SELECT t, NULL, lost, 'required_header_missing' FROM changed
+          UNION ALL SELECT t, NULL, other, 'unexpected_numeric_header' FROM changed
+          UNION ALL SELECT t, coordinate, lost, 'storage_type_mismatch' FROM c, changed WHERE p % 100 = 0
+          UNION ALL SELECT t, coordinate, other, 'storage_type_mismatch' FROM c, changed WHERE p % 90 = 0""",
         "text_identity": """SELECT doc_id, strlen(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS sha256
           FROM documents""",
         "product_dim_check": with_(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom import contract as C
 from ledgerloom import rules as R
 from ledgerloom.functions import text as X
-from ledgerloom.operators import anomaly, diff, facts, issues, normalize, robust, split
+from ledgerloom.operators import anomaly, diff, facts, issues, normalize, policy, robust, split
 from ledgerloom.operators.fill import Guard, ordered_fill
 from ledgerloom.plans import ledger_run
 from ledgerloom.rules import MonthRange, RuleSet
@@ -604,6 +604,33 @@ def run_compare(spark, sf_dir):
     return diff.compare_runs(*versions, {"orders": ["o_orderkey"]}, {"orders": ["price"]})
 
 
+def header_policy(spark, sf_dir):
+    """Two versions of the three output tables under the rule set ``gb``, filled from the order lines.
+
+    The quantity table of the second one lacks a column and has one of the other rule set, its detail amounts differ.
+    """
+    rules = RuleSet.named("gb")
+    numbers, keys = policy.numeric_columns(rules), policy.group_keys()
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey", "l_linenumber").agg(
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(28,10)").alias("price")
+    )
+    source = (F.lit("2026-01"), F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber"))
+    lost, foreign = C.QTY_UNIT_COLUMNS["dl"], C.STANDALONE_UNIT_COLUMNS[C.SOFTWARE]
+
+    def filled(name):
+        values = [F.when(F.col("l_partkey") % 100 == 0, F.col("price")) if c == lost else F.col("price") for c in numbers[name]]
+        labels = [*keys[name], *numbers[name]]
+        return lines.select(*[v.alias(c) for v, c in zip((*source[: len(keys[name])], *values), labels, strict=True)])
+
+    expected = {name: filled(name) for name in C.OUTPUT_TABLES}
+    qty, detail = expected[C.QTY_TABLE], expected[C.DETAIL_TABLE]
+    actual = expected | {
+        C.QTY_TABLE: qty.drop(lost).withColumn(foreign, F.when(F.col(C.PRODUCT_CODE) % 90 == 0, F.lit(1))),
+        C.DETAIL_TABLE: detail.withColumn(C.DONE_AMOUNT, (F.col(C.DONE_AMOUNT) + 1).cast("decimal(28,10)")),
+    }
+    return policy.compare_outputs(expected, actual, rules)
+
+
 def cell_diff_report(spark, sf_dir):
     """The first twenty mismatches by coordinate; the limit is the report's own."""
     found = diff.cell_diff(*_order_versions(spark, sf_dir), ["o_orderkey"])
@@ -678,6 +705,6 @@ def all_queries():
         month_filtered_quality, run_record, null_profile, content_identity, text_ledger_scan, cell_diff,
         cell_diff_report, column_totals_diff, group_totals_diff, dup_blank_keys, numeric_problems,
         run_contract_diff, product_dim_check, rules_fingerprint, amount_limits, cell_diff_columns,
-        cell_diff_repeated_keys, shape_diff, positional_diff, run_compare, text_identity, published_quantity,
+        cell_diff_repeated_keys, shape_diff, positional_diff, run_compare, header_policy, text_identity, published_quantity,
     )
     return {q.__name__: q for q in chosen}

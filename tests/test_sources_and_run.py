@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ledgerloom import contract as C
 from ledgerloom import rules as R
 from ledgerloom.errors import InputNotFound, InvalidInput, OutputExists
-from ledgerloom.operators import diff, issues
+from ledgerloom.operators import diff, issues, policy
 from ledgerloom.plans import ledger_run
 from ledgerloom.rules import MonthRange, RuleSet
 from ledgerloom.sinks import tables
@@ -190,6 +190,43 @@ def test_compare_runs_names_every_kind(spark):
     assert diff.issue_totals_diff(*[spark.createDataFrame([("A", n)], "issue_type string, issue_count bigint") for n in (1, 1)]).count() == 0
 
 
+def test_cell_diff_tells_cells_apart_whose_bits_are_alike(spark):
+    """A day and an integer, decimals of two scales, and a value that moves into a blank neighbour."""
+    expected = spark.sql("SELECT 1 AS k, DATE '1970-01-02' AS d, CAST(1 AS decimal(9,2)) AS n, 7 AS x, CAST(NULL AS int) AS y")
+    actual = spark.sql("SELECT 1 AS k, 1 AS d, CAST(100 AS bigint) AS n, CAST(NULL AS int) AS x, 7 AS y")
+    got = sorted(tuple(r)[1:3] for r in diff.cell_diff(expected, actual, ["k"]).collect())
+    assert got == [("d", "storage_type_mismatch"), ("n", "value_mismatch"), ("x", "storage_type_mismatch"), ("y", "storage_type_mismatch")]
+    same = spark.sql("SELECT CAST(NULL AS string) AS k, CAST('NaN' AS double) AS v, CAST(NULL AS int) AS y")
+    assert diff.cell_diff(same, same.drop("y"), ["k"]).count() == 0
+    plan = diff.cell_diff(expected, expected.withColumn("x", F.lit("t")), ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_header_policy_of_rule_sets():
+    gb, sk = (policy.header_rules(RuleSet.named(n)) for n in ("gb", "sk"))
+    for name in C.OUTPUT_TABLES:
+        assert not set(gb[name][0]) & set(gb[name][1]) and not sk[name][1]
+        assert set(sk[name][0]) - set(gb[name][0]) == set(gb[name][1])
+    assert len(gb[C.QTY_TABLE][1]) == len(gb[C.ANALYSIS_TABLE][1]) == 2 and not gb[C.DETAIL_TABLE][1]
+    assert [len(policy.numeric_columns(RuleSet.named("gb"))[t]) for t in C.OUTPUT_TABLES] == [2, 20, 21]
+
+
+def test_broken_headers_leave_out_totals(spark):
+    one = spark.createDataFrame([("a", 1)], "k string, n int")
+    two = one.withColumn("n", F.lit(5))
+    args = ({"t": one}, {"t": two}, {"t": ["k"]}, {"t": ["n"]})
+    assert sorted(r["mismatch_kind"] for r in diff.compare_runs(*args).collect()) == [
+        "column_total_mismatch", "group_total_mismatch", "value_mismatch",
+    ]
+    got = diff.compare_runs(*args, {"t": (["k", "m"], ["n"])}).collect()
+    assert sorted((r["mismatch_kind"], r["column_name"]) for r in got) == [
+        ("required_header_missing", "m"), ("unexpected_numeric_header", "n"), ("value_mismatch", "n"),
+    ]
+    twice = one.select("k", "n", F.col("n").alias("n"))
+    kinds = [r["mismatch_kind"] for r in diff.compare_runs({"t": twice}, {"t": twice}, {"t": ["k"]}, {"t": ["n"]}).collect()]
+    assert kinds == ["duplicate_header"] * 2
+
+
 def test_old_outputs_stop_a_run_before_it_writes(spark, tmp_path):
     out = tmp_path / "out"
     stale = out / tables.ISSUE_LOG
@@ -230,5 +267,5 @@ def test_run_contract(spark):
     other = spark.createDataFrame([("c", "m", "1"), ("c", "n", "5"), ("c", "extra", "3"), ("c", "extra", "3")], metrics.schema)
     counts = spark.createDataFrame([("A", 2)], "issue_type string, issue_count bigint")
     got = sorted(map(tuple, diff.run_contract_diff(metrics, other, counts, counts.withColumn("issue_count", F.lit(3))).collect()))
-    assert got == [("duplicate_metric", "c/extra"), ("issue_count_mismatch", "A"), ("metric_mismatch", "c/n"), ("missing_metric", "c/o")]
+    assert got == [("duplicate_metric", "c/extra"), ("issue_count_mismatch", "A"), ("issue_total_mismatch", ""), ("metric_mismatch", "c/n"), ("missing_metric", "c/o")]
     assert diff.issue_total_problem(counts, 2).count() == 0 and diff.issue_total_problem(counts, 3).count() == 1
