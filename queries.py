@@ -614,6 +614,7 @@ def header_policy(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey", "l_linenumber").agg(
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(28,10)").alias("price")
     )
+    lines = stage(lines, "policy_lines")
     source = (F.lit("2026-01"), F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber"))
     lost, foreign = C.QTY_UNIT_COLUMNS["dl"], C.STANDALONE_UNIT_COLUMNS[C.SOFTWARE]
 
