@@ -25,6 +25,8 @@ SEGMENT_CHARS = 500_000
 RUN_CHARS = 8_000_000
 # Units that are remembered before the older half is forgotten.
 REMEMBERED = 200_000
+# Units fewer than these are encoded one by one.
+JOINED_UNITS = 8
 # Links of a group beyond which its pairs are counted from distinct ids, and how many pairs that makes at a time.
 LARGE_GROUP = 65_536
 # A unit begins with a space or line feed that follows no white space, and reaches up to the next such one: there both
@@ -76,14 +78,46 @@ class Aligner(dict):
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
-        new = []
-        for unit in set(units):
-            if unit in self:
-                continue
-            if unit in self.old:
-                self[unit] = self.old[unit]
-            else:
-                new.append(unit)
+        new = [unit for unit in set(units) if unit not in self]
+        if old := [unit for unit in new if unit in self.old]:
+            self.update(zip(old, map(self.old.__getitem__, old), strict=True))
+            new = [unit for unit in new if unit not in self.old]
+        # a unit that ends in white space may share a token with what follows it
+        self._learn_one_by_one([unit for unit in new if unit[-1].isspace()])
+        self._learn_joined([unit for unit in new if not unit[-1].isspace()])
+
+    def _learn_joined(self, units: list[str]) -> None:
+        """Encode units that end in no white space as one text and cut its ids where the units end."""
+        first = next((i for i, unit in enumerate(units) if unit[0] == " "), None)
+        if len(units) < JOINED_UNITS or first is None:
+            return self._learn_one_by_one(units)
+        # B adds a space itself: a unit that begins with one goes first
+        units[0], units[first] = units[first], units[0]
+        text = "".join(units)
+        a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+        ends = np.cumsum([len(unit) for unit in (units if text.isascii() else map(str.encode, units))])
+        cuts = self._cuts(a, self.a_size, ends), self._cuts(b, self.b_size, ends)
+        if None in cuts or not self._spells(text, a, b):
+            # some unit isn't spelled: halves without it are still encoded together
+            half = len(units) // 2
+            self._learn_joined(units[:half])
+            return self._learn_joined(units[half:])
+        (a_at, a_ends), (b_at, b_ends) = cuts
+        a, b = array("H", a).tobytes(), array("H", b).tobytes()
+        parts = (map(x.__getitem__, map(slice, at, to)) for x, at, to in ((a, a_at, a_ends), (b, b_at, b_ends)))
+        self.update(zip(units, zip(*parts, strict=True), strict=True))
+
+    @staticmethod
+    def _cuts(ids: list[int], sizes: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]] | None:
+        """Where each unit's ids begin and end, in bytes of two an id; None unless tokens end where all units do."""
+        reached = np.cumsum(sizes[ids])
+        last = np.searchsorted(reached, ends)
+        if not len(reached) or last[-1] >= len(reached) or (reached[last] != ends).any():
+            return None
+        after = ((last + 1) * 2).tolist()
+        return [0, *after[:-1]], after
+
+    def _learn_one_by_one(self, new: list[str]) -> None:
         if not new:
             return
         by_a = self.a.encode_batch_fast(new, add_special_tokens=False)
@@ -98,7 +132,7 @@ class Aligner(dict):
 
     def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of A and B of learned units in turn, or None where tokens don't spell one of them."""
-        found = [self[unit] for unit in units]
+        found = list(map(self.__getitem__, units))
         if None in found:
             return None
         a, b = zip(*found, strict=True)

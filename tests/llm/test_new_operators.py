@@ -106,6 +106,36 @@ def test_parts_of_long_texts_and_large_groups(monkeypatch):
             assert dict(zip(run.keys[-1].tolist(), run.times[-1].tolist(), strict=True)) == pairs
 
 
+
+class CountedCalls:
+    """A tokenizer whose encoding calls are counted."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    def __getattr__(self, name):
+        self.calls += name.startswith("encode")
+        return getattr(self.tokenizer, name)
+
+
+def test_new_units_are_encoded_together():
+    model, rng = align.Aligner(A, B), random.Random(31)
+    units = sorted({f"{rng.choice([' ', chr(10), '  '])}w{rng.randrange(10**9):x}" for _ in range(400)} | {" é", " 名前", " "})
+    counted = []
+    model._spells = lambda unit, a, b: counted.append(unit) or align.Aligner._spells(model, unit, a, b)
+    model.a, model.b = CountedCalls(model.a), CountedCalls(model.b)
+    model.learn(units)
+    # one text of all units and the unit that is white space
+    assert len(counted) == model.a.calls == model.b.calls == 2
+    alone = align.Aligner(A, B)
+    alone._learn_one_by_one(units)
+    assert dict(model) == dict(alone)
+    # units that B spells otherwise are told from the others
+    model.learn(mixed := [f" v{i}" for i in range(40)] + [" ﬁ", "\n½", " ▁"])
+    alone._learn_one_by_one(mixed)
+    assert dict(model) == dict(alone) and model[" ▁"] is None
+
+
 def test_groups_as_rows(spark):
     texts = ["plain words here", None, "é"]
     rows = align.aligned_groups(documents(spark, texts), A, B).collect()
