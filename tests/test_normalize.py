@@ -8,7 +8,7 @@ from ledgerloom.errors import InvalidInput
 from ledgerloom.functions import text as X
 from ledgerloom.operators import normalize as N
 from ledgerloom.operators import split
-from ledgerloom.operators.fill import Guard, ordered_fill
+from ledgerloom.operators.fill import BLOCK, BLOCK_ROWS, Guard, ordered_fill
 from ledgerloom.rules import MonthRange
 from ledgerloom.sources.rows import ROW_ID, SRC_ID
 
@@ -177,3 +177,30 @@ def test_projection_and_required_columns(spark):
     assert N.project(df, C.DETAIL_LAYOUT).columns == ["年期", "工单编号"]
     with pytest.raises(InvalidInput, match="产品数量统计缺少必要字段: 产品名称, 产品编码, 工单行号, 本期完工数量, 本期完工金额"):
         N.require(df, C.REQUIRED_QTY, C.QTY_DATASET)
+
+
+def test_fill_keeps_rows_that_come_dealt_by_block(spark):
+    """Rows dealt by scope and block are not shuffled again, neither alone nor with what blocks inherit."""
+    rows = [(1 + i % 2, i * 3000, "集成车间" if i % 11 == 5 else f"c{i}" if i % 7 == 0 else None, f"v{i}" if i % 9 == 4 else None) for i in range(80)]
+    df = spark.createDataFrame(rows, "_src_id long, _row_id long, center string, vendor string")
+    guard = (Guard("center", "集成车间", ("vendor",)),)
+    fills = {"center": "center", "vendor": "vendor", "center_above": "center"}
+    dealt = df.withColumn(BLOCK, F.floor(F.col("_row_id") / BLOCK_ROWS)).repartition(3, "_src_id", BLOCK)
+    filled = ordered_fill(dealt, fills, guard, blank_text=False)
+    assert filled.columns == [*df.columns, "center_above"]
+    want, state = [], {}
+    for src, at, center, vendor in rows:
+        held = state.setdefault(src, [None, None])
+        held[0] = center or held[0]
+        shut = held[0] == "集成车间"
+        held[1] = held[1] if shut else vendor or held[1]
+        want.append((src, at, held[0], vendor if shut else held[1], held[0]))
+    assert sorted(map(tuple, filled.collect()), key=lambda r: r[1]) == want
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            plan = ordered_fill(dealt, fills, guard, blank_text=False)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        # without a broadcast the short table of blocks alone is dealt
+        assert plan.count("Exchange hashpartitioning") == (1 if limit == "10m" else 2)
