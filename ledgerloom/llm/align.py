@@ -5,8 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +26,8 @@ RUN_CHARS = 8_000_000
 REMEMBERED = 200_000
 # Units fewer than these are encoded one by one.
 JOINED_UNITS = 8
+# Links of a unit beyond which its alignment isn't remembered with its ids.
+UNIT_LINKS = 1_024
 # Links of a group beyond which its pairs are counted from distinct ids, and how many pairs that makes at a time.
 LARGE_GROUP = 65_536
 # A unit begins with a space or line feed that follows no white space, and reaches up to the next such one: there both
@@ -37,9 +38,11 @@ _aligners: dict[tuple[str, str], Aligner] = {}
 
 
 class Aligner(dict):
-    """Token ids that both tokenizers give for the units of texts, with the units remembered.
+    """Token ids that both tokenizers give for the units of texts, and their alignment, with the units remembered.
 
-    A value holds the ids of A and of B as bytes, or is None where the tokens of either don't spell the unit.
+    Both tokenizers end a token where a unit ends, so no group reaches over one. A value holds the ids of A and of B,
+    the linked pairs and the groups' text as bytes, the last two None for a unit of more than UNIT_LINKS links. It is
+    None where the tokens of either don't spell the unit.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -61,12 +64,15 @@ class Aligner(dict):
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in enumerate(pieces)
         ]
+        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
+            raise ValueError("ids are kept in 16 bits: a vocabulary has more entries")
         self.a_size, self.b_size = (np.array([len(x) for x in y], dtype=np.int64) for y in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
         # decimal ids with what follows them: within a group, between its sides, at its end
         numbers = [[str(i) + end for i in range(len(self.a_bytes))] for end in ",|"]
         numbers += [[str(i) + end for i in range(len(self.b_bytes))] for end in ",;"]
         self.texts = np.array([x for part in numbers for x in part], dtype=object)
+        self.text_size = np.array(list(map(len, self.texts)), dtype=np.int64)
         self.old: dict = {}
 
     def _spells(self, unit: str, a: list[int], b: list[int]) -> bool:
@@ -97,25 +103,46 @@ class Aligner(dict):
         a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
         ends = np.cumsum([len(unit) for unit in (units if text.isascii() else map(str.encode, units))])
         cuts = self._cuts(a, self.a_size, ends), self._cuts(b, self.b_size, ends)
-        if None in cuts or not self._spells(text, a, b):
+        if any(cut is None for cut in cuts) or not self._spells(text, a, b):
             # some unit isn't spelled: halves without it are still encoded together
             half = len(units) // 2
             self._learn_joined(units[:half])
             return self._learn_joined(units[half:])
-        (a_at, a_ends), (b_at, b_ends) = cuts
-        a, b = array("H", a).tobytes(), array("H", b).tobytes()
-        parts = (map(x.__getitem__, map(slice, at, to)) for x, at, to in ((a, a_at, a_ends), (b, b_at, b_ends)))
-        self.update(zip(units, zip(*parts, strict=True), strict=True))
+        self._remember(units, a, b, *cuts)
 
     @staticmethod
-    def _cuts(ids: list[int], sizes: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]] | None:
-        """Where each unit's ids begin and end, in bytes of two an id; None unless tokens end where all units do."""
+    def _cuts(ids: list[int], sizes: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """How many ids there are up to the end of each unit; None unless tokens end where all units do."""
         reached = np.cumsum(sizes[ids])
         last = np.searchsorted(reached, ends)
         if not len(reached) or last[-1] >= len(reached) or (reached[last] != ends).any():
             return None
-        after = ((last + 1) * 2).tolist()
-        return [0, *after[:-1]], after
+        return last + 1
+
+    def _remember(self, units: list[str], a: list[int], b: list[int], a_to: np.ndarray, b_to: np.ndarray) -> None:
+        """Align the units' ids, given in turn and up to where each unit's end, and keep both by unit."""
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        values = [_cut(x.astype("<u2").tobytes(), to * 2) for x, to in ((a, a_to), (b, b_to))]
+        a_at, b_at = group_starts(self.a_size[a], self.b_size[b])
+        # links up to the end of each unit, where a group ends
+        so_far = np.cumsum(np.diff(a_at) * np.diff(b_at))[np.searchsorted(a_at, a_to) - 1]
+        wide = np.diff(so_far, prepend=0) > UNIT_LINKS
+        if wide.any():
+            a_ids, b_ids = map(list, values)
+            for i in np.flatnonzero(wide):
+                self[units[i]] = a_ids[i], b_ids[i], None, None
+            rest = np.flatnonzero(~wide)
+            if len(rest):
+                a_n, b_n = (np.diff(to, prepend=0) for to in (a_to, b_to))
+                a, b = a[np.repeat(~wide, a_n)], b[np.repeat(~wide, b_n)]
+                self._remember([units[i] for i in rest], a, b, np.cumsum(a_n[rest]), np.cumsum(b_n[rest]))
+            return
+        pairs = _group_pairs(a, b, a_at, b_at, np.arange(len(a_at) - 1), len(self.b_bytes))
+        codes = _text_codes(self, a, b, a_at, b_at)
+        said = "".join(self.texts[codes].tolist()).encode()
+        # two ids of 16 bits make a pair of 32
+        values += [_cut(pairs.astype("<u4").tobytes(), so_far * 4), _cut(said, np.cumsum(self.text_size[codes])[a_to + b_to - 1])]
+        self.update(zip(units, zip(*values, strict=True), strict=True))
 
     def _learn_one_by_one(self, new: list[str]) -> None:
         if not new:
@@ -123,48 +150,90 @@ class Aligner(dict):
         by_a = self.a.encode_batch_fast(new, add_special_tokens=False)
         # B adds a space itself, but not to an empty text; before a line feed it is one too many
         by_b = self.b.encode([unit.removeprefix(" ") for unit in new], num_threads=1)
+        spelled, all_a, all_b, a_n, b_n = [], [], [], [], []
         for unit, a, b in zip(new, by_a, by_b, strict=True):
             if unit[0] == "\n":
                 b = b[1:] if b[0] == self.space else []
             elif len(unit) == 1:
                 b = [self.space]
-            self[unit] = (array("H", a.ids).tobytes(), array("H", b).tobytes()) if self._spells(unit, a.ids, b) else None
-
-    def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of A and B of learned units in turn, or None where tokens don't spell one of them."""
-        found = list(map(self.__getitem__, units))
-        if None in found:
-            return None
-        a, b = zip(*found, strict=True)
-        return tuple(np.frombuffer(b"".join(x), dtype=np.uint16).astype(np.int64) for x in (a, b))
+            if not self._spells(unit, a.ids, b):
+                self[unit] = None
+                continue
+            spelled.append(unit)
+            all_a += a.ids
+            all_b += b
+            a_n.append(len(a.ids))
+            b_n.append(len(b))
+        if spelled:
+            self._remember(spelled, all_a, all_b, np.cumsum(a_n), np.cumsum(b_n))
+
+    def found(self, part: str) -> list[tuple] | None:
+        """Values of a part's units in turn, or None where tokens don't spell one of them."""
+        units = units_of(part)
+        values = list(map(self.get, units))
+        if not all(values):
+            missing = [i for i, value in enumerate(values) if value is None]
+            self.learn([units[i] for i in missing])
+            for i in missing:
+                values[i] = self[units[i]]
+            if not all(values):
+                return None
+        return values
 
     def segments(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]] | None:
         """Ids of A and B of the parts of space+text, or None where the text has no tokens."""
+        return self._over_parts(text, _ids, lambda a, b: (a, b))
+
+    def aligned(self, text: str) -> Iterator[tuple] | None:
+        """Numbers of A's and B's tokens, groups and links of the parts of space+text, their linked pairs in order, how
+        often each is linked, and the groups' text with a semicolon behind each; None where the text has no tokens."""
+        return self._over_parts(text, self._joined, self._by_ids)
+
+    def _joined(self, values: list[tuple]) -> tuple:
+        a, b, pairs, said = zip(*values, strict=True)
+        if not all(pairs):
+            return self._by_ids(*_ids(values))
+        said, pairs = b"".join(said), np.frombuffer(b"".join(pairs), dtype="<u4")
+        distinct, times = np.unique(pairs, return_counts=True)
+        totals = sum(map(len, a)) // 2, sum(map(len, b)) // 2, said.count(b"|"), len(pairs)
+        return *totals, distinct.astype(np.int64), times.astype(np.int64), said
+
+    def _by_ids(self, a: np.ndarray, b: np.ndarray) -> tuple:
+        a_at, b_at = group_starts(self.a_size[a], self.b_size[b])
+        pairs, n = links(a, b, a_at, b_at, len(self.b_bytes))
+        totals = len(a), len(b), len(a_at) - 1, int(n.sum())
+        return *totals, *_merged(pairs, n), groups_text(self, a, b, a_at, b_at).encode()
+
+    def _over_parts(self, text: str, of_values: Callable, of_ids: Callable) -> Iterator | None:
         if not text:
             return None
         parts = list(_parts(" " + text))
         if len(parts) > 1:
             # all parts must spell the text before the first one counts
-            for part in parts:
-                self.learn(units := units_of(part))
-                if None in map(self.__getitem__, units):
-                    return self._whole(text)
-        else:
-            self.learn(units := units_of(parts[0]))
-            found = self.ids(units)
-            return iter([found]) if found else self._whole(text)
-        return map(self._part, parts)
-
-    def _part(self, part: str) -> tuple[np.ndarray, np.ndarray]:
-        self.learn(units := units_of(part))
-        return self.ids(units)
-
-    def _whole(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]] | None:
-        """The same for a text of which some unit isn't spelled: both tokenizers on the whole text decide."""
+            if any(self.found(part) is None for part in parts):
+                return self._whole(text, of_ids)
+            return (of_values(self.found(part)) for part in parts)
+        values = self.found(parts[0])
+        return iter([of_values(values)]) if values else self._whole(text, of_ids)
+
+    def _whole(self, text: str, of_ids: Callable) -> Iterator | None:
+        """For a text of which some unit isn't spelled: both tokenizers on the whole text decide."""
         a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
         if not self._spells(" " + text, a, b):
             return None
-        return iter([(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))])
+        return iter([of_ids(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))])
+
+
+def _cut(data: bytes, ends: np.ndarray) -> Iterator[bytes]:
+    """Parts of ``data`` that end at ``ends``."""
+    ends = ends.tolist()
+    return map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))
+
+
+def _ids(values: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of A and B of units in turn."""
+    a, b, _, _ = zip(*values, strict=True)
+    return tuple(np.frombuffer(b"".join(x), dtype="<u2").astype(np.int64) for x in (a, b))
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
@@ -237,17 +306,23 @@ def group_starts(a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np
     return (np.append(_ranges(x, groups), size) for x, size in ((i, len(a_size)), (j, len(b_size))))
 
 
-def links(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked id pairs (``a * width + b``) and how often each is linked; a pair may come several times."""
-    n_a, n_b = np.diff(a_at), np.diff(b_at)
-    small = np.flatnonzero(n_a * n_b <= LARGE_GROUP)
-    n_a, n_b = n_a[small], n_b[small]
+def _group_pairs(
+    a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, groups: np.ndarray, width: int
+) -> np.ndarray:
+    """Linked id pairs of the groups chosen, group by group."""
+    n_a, n_b = np.diff(a_at)[groups], np.diff(b_at)[groups]
     sizes = n_a * n_b
-    group = np.repeat(np.arange(len(small)), sizes)
+    group = np.repeat(np.arange(len(groups)), sizes)
     place = np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     row, col = place // n_b[group], place % n_b[group]
-    pairs = [a[a_at[small][group] + row] * width + b[b_at[small][group] + col]]
-    times = [np.ones(len(group), dtype=np.int64)]
+    return a[a_at[groups][group] + row] * width + b[b_at[groups][group] + col]
+
+
+def links(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked id pairs (``a * width + b``) and how often each is linked; a pair may come several times."""
+    small = np.flatnonzero(np.diff(a_at) * np.diff(b_at) <= LARGE_GROUP)
+    pairs = [_group_pairs(a, b, a_at, b_at, small, width)]
+    times = [np.ones(len(pairs[0]), dtype=np.int64)]
     for g in np.flatnonzero(np.diff(a_at) * np.diff(b_at) > LARGE_GROUP):
         own_a, of_a = np.unique(a[a_at[g] : a_at[g + 1]], return_counts=True)
         own_b, of_b = np.unique(b[b_at[g] : b_at[g + 1]], return_counts=True)
@@ -264,6 +339,11 @@ def _merged(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def groups_text(model: Aligner, a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> str:
     """The groups as ``a1,a2|b1;a3|b2,b3;``: with a semicolon behind the last one too."""
+    return "".join(model.texts[_text_codes(model, a, b, a_at, b_at)].tolist())
+
+
+def _text_codes(model: Aligner, a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> np.ndarray:
+    """Places in ``model.texts`` of what is said of each token."""
     of_a, of_b = len(model.a_bytes), len(model.b_bytes)
     code_a, code_b = a.copy(), b + 2 * of_a
     code_a[a_at[1:] - 1] += of_a
@@ -273,7 +353,7 @@ def groups_text(model: Aligner, a: np.ndarray, b: np.ndarray, a_at: np.ndarray,
     codes = np.empty(len(a) + len(b), dtype=np.int64)
     codes[np.arange(len(a)) + np.repeat(b_at[:-1], n_a)] = code_a
     codes[np.arange(len(b)) + np.repeat(a_at[1:], n_b)] = code_b
-    return "".join(model.texts[codes].tolist())
+    return codes
 
 
 class _Run:
@@ -283,20 +363,16 @@ class _Run:
         self.model, self.ids, self.rows, self.keys, self.times, self.chars = model, [], [], [], [], 0
 
     def add(self, row_id, text: str | None) -> None:
-        model, text = self.model, text or ""
+        text = text or ""
         digest, totals = hashlib.sha256(), np.zeros(4, dtype=np.int64)
-        parts, held = model.segments(text), ""
+        parts, held = self.model.aligned(text), b""
         keys, times = [], []
-        for a, b in parts or ():
-            a_at, b_at = group_starts(model.a_size[a], model.b_size[b])
-            pairs, n = links(a, b, a_at, b_at, len(model.b_bytes))
-            totals += (len(a), len(b), len(a_at) - 1, int(n.sum()))
+        for *numbers, pairs, n, said in parts or ():
+            totals += numbers
             # the last semicolon is none of the document's
-            digest.update(held.encode())
-            said = groups_text(model, a, b, a_at, b_at)
-            digest.update(said[:-1].encode())
-            held = ";"
-            pairs, n = _merged(pairs, n)
+            digest.update(held)
+            digest.update(memoryview(said)[:-1])
+            held = b";"
             keys.append(pairs)
             times.append(n)
         if len(keys) > 1:

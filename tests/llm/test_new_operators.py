@@ -136,6 +136,27 @@ def test_new_units_are_encoded_together():
     assert dict(model) == dict(alone) and model[" ▁"] is None
 
 
+@pytest.mark.parametrize("unit_links", [align.UNIT_LINKS, 3])
+def test_units_are_aligned_once(monkeypatch, unit_links):
+    monkeypatch.setattr(align, "UNIT_LINKS", unit_links)
+    walked, runs = [], align.diagonal_runs
+    monkeypatch.setattr(align, "diagonal_runs", lambda a, b: walked.append(len(a)) or runs(a, b))
+    model, text = align.Aligner(A, B), " ".join(f"zq{i}xv" for i in range(50)) + " plain words"
+    texts = [text, text[::-1], text, text + "\n" + text, *ODD, *sample_texts(5)]
+    run = align._Run(model)
+    for i, t in enumerate(texts):
+        run.add(i, t)
+        if i == 2:
+            # the third text is the first one: nothing is left to walk unless its units have too many links
+            assert unit_links == 3 or len(walked) == 2
+        groups = naive_groups(model, t)
+        pairs = Counter(x * len(model.b_bytes) + y for a, b in groups or () for x in a for y in b)
+        assert dict(zip(run.keys[-1].tolist(), run.times[-1].tolist(), strict=True)) == pairs
+        said = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups or ())
+        assert run.rows[-1][-1] == (hashlib.sha256(said.encode()).hexdigest() if groups else "")
+        assert run.rows[-1][2:4] == (len(groups or ()), sum(pairs.values()))
+
+
 def test_groups_as_rows(spark):
     texts = ["plain words here", None, "é"]
     rows = align.aligned_groups(documents(spark, texts), A, B).collect()
