@@ -103,6 +103,16 @@ def test_synthetic_ledger_run(spark, tmp_path):
         run.publish(str(tmp_path / "out"))
 
 
+def test_facts_are_staged_once_and_only_when_read(spark, monkeypatch):
+    staged, stage = [], ledger_run.stage
+    monkeypatch.setattr(ledger_run, "stage", lambda df, name, **kw: staged.append(name) or stage(df, name, **kw))
+    run = ledger_run.run(synthetic_ledger(spark, GB, 3), OPEN_GB)
+    rows, details = run.prepared.count(), run.detail_table.count()
+    assert staged == ["routed"]
+    assert run.quantity_table.count() == 3 == rows - details > 0 == run.counts.first()["reader_rows"] - run.counts.first()["ledger_rows"]
+    assert sorted(staged) == ["facts", "reader_rows", "routed"]
+
+
 def test_month_filter_that_leaves_nothing(spark):
     run = ledger_run.run(synthetic_ledger(spark, GB, 3), OPEN_GB, MonthRange("2030-01"))
     values = [r["value"] for r in run.quality.orderBy("position").collect()]
