@@ -127,6 +127,17 @@ def test_hot_key_join_equals_plain_join(spark):
     )
 
 
+def test_join_without_hot_keys_takes_the_lookup_as_it_was_dealt(spark):
+    rows = spark.range(60).selectExpr("id", "CAST(id % 7 AS string) AS k")
+    lookup = spark.range(30).selectExpr("CAST(id % 5 AS string) AS k").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = joins.lookup_join(rows, lookup, ["k"], joins.hot_keys(rows, ["k"], 1000), "id")
+    assert got.columns == ["k", "id", "n"]
+    assert "_salt" not in got._jdf.queryExecution().toString()
+    assert [tuple(r) for r in got.select("k", "n").distinct().orderBy("k").collect()] == [
+        *[(str(k), 6) for k in range(5)], ("5", None), ("6", None),
+    ]
+
+
 def test_quantity_table_layout(spark):
     _, done = build(spark, detail(spark, ("直接材料", "100"), ("委外加工费", "5")), qty(spark, ("10", "105")))
     out = facts.quantity_table(done, GB)

@@ -113,6 +113,21 @@ def test_facts_are_staged_once_and_only_when_read(spark, monkeypatch):
     assert sorted(staged) == ["facts", "reader_rows", "routed"]
 
 
+def test_numbers_that_a_cast_or_quotient_makes_again_are_not_staged(spark, tmp_path, monkeypatch):
+    staged, stage = {}, ledger_run.stage
+    monkeypatch.setattr(ledger_run, "stage", lambda df, name, **kw: staged.update({name: df.columns}) or stage(df, name, **kw))
+    run = ledger_run.run(synthetic_ledger(spark, GB, 3), OPEN_GB)
+    made = {"amount", "amount_misfit", "done_qty", "qty_misfit"}
+    assert made <= set(run.routed.columns) and not made & set(staged["routed"])
+    fact = run.facts.where("is_first").orderBy("_row_id").first()
+    assert (fact["amount"], fact["done_qty"], fact["unit_total"] * 10) == (fact["done_total"], 10, fact["done_total"])
+    assert "dm" in staged["facts"] and not [c for c in staged["facts"] if c.startswith("unit_")]
+    head = "年期,产品编码,产品名称,工单编号,工单行号,成本项目名称,本期完工数量,本期完工金额\n,,,,,,,\n"
+    (tmp_path / "in.csv").write_text(head + "2026年1期,P,N,W1,1,,10,105\n")
+    run = ledger_run.run(read_ledger(spark, str(tmp_path / "in.csv")), OPEN_GB)
+    assert made <= set(staged["routed"]) and run.facts.first()["unit_total"] == 10.5
+
+
 def test_month_filter_that_leaves_nothing(spark):
     run = ledger_run.run(synthetic_ledger(spark, GB, 3), OPEN_GB, MonthRange("2030-01"))
     values = [r["value"] for r in run.quality.orderBy("position").collect()]
