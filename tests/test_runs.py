@@ -70,3 +70,15 @@ def test_identity_is_staged_once_a_run(spark, monkeypatch):
     run = ledger_run.run(spark.createDataFrame(rows, schema), RuleSet.named("gb"))
     assert staged["routed"].count() == 2
     assert [tuple(r) for r in run.routed.groupBy(facts.KEY).count().collect()] == [("2026年01期|P|W|1", 8)]
+
+
+def test_month_filter_upon_the_whole_run_is_the_filtered_run(spark, monkeypatch):
+    rules, ledger, months = RuleSet.named("gb"), _ledger(spark, 3, True), MonthRange("2026-02", None)
+    whole, alone = ledger_run.run(ledger, rules), ledger_run.run(ledger, rules, months)
+    monkeypatch.setattr(ledger_run, "run", None)
+    monkeypatch.setattr(runs, "pack", None)
+    some = whole.within(months)
+    keyed = [sorted(map(repr, r.routed.select("_row_id", facts.KEY, C.MONTH, facts.BUCKET).collect())) for r in (some, alone)]
+    assert keyed[0] == keyed[1] and 0 < len(keyed[0]) < whole.routed.count()
+    assert some.counts.collect() == alone.counts.collect()
+    assert "_run" not in some.routed.columns and some.reader_rows is whole.reader_rows
